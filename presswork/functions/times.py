@@ -2,7 +2,10 @@
 
 from pyspark.sql import Column, functions as F
 
-EPOCH = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+
+def epoch() -> Column:
+    """1970-01-01 as a zoneless literal."""
+    return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
 
 
 def epoch_seconds(time: Column) -> Column:

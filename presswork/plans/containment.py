@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from presswork.functions import EPOCH, add_seconds, epoch_seconds
+from presswork.functions import add_seconds, epoch, epoch_seconds
 
 # Cell widths in seconds, widest first.
 GRIDS = (4096, 64, 1)
@@ -56,7 +56,7 @@ def latest_end_within(
         return F.floor(epoch_seconds(time) / F.greatest(F.col("grid"), F.lit(1)))
 
     def starts(cell: Column) -> Column:
-        return add_seconds(EPOCH, cell * F.col("grid"))
+        return add_seconds(epoch(), cell * F.col("grid"))
 
     def cell_of(time: Column) -> Column:
         """The start of the cell, so that all grids share one column type."""
@@ -64,7 +64,7 @@ def latest_end_within(
 
     def entry(rising: bool, time: Column, latest: Column) -> Column:
         """A stretch end or a probe, at its place in the running maximum."""
-        place = time - EPOCH if rising else EPOCH - time
+        place = time - epoch() if rising else epoch() - time
         return F.struct(
             F.lit(rising).alias("rising"), cell_of(time).alias("cell"),
             place.alias("place"), latest.alias("latest"),
@@ -91,7 +91,7 @@ def latest_end_within(
                 F.explode(F.sequence(F.col("opened") + 1, F.col("closed") - 1)).alias("between"))
         .withColumn("cell", starts(F.col("between")))
         .select("key", "grid", nothing.alias("probe"), F.lit(True).alias("rising"), "cell",
-                (F.col("cell") - EPOCH).alias("place"), "latest")
+                (F.col("cell") - epoch()).alias("place"), "latest")
     )
 
     until = add_seconds(F.col("probe"), F.lit(after_s))
