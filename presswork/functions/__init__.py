@@ -2,9 +2,9 @@
 
 from presswork.functions.numbers import or_zero, percent, round_to
 from presswork.functions.text import clean, label_or_code
-from presswork.functions.times import add_seconds, epoch, epoch_seconds, hours_between, minute_diff
+from presswork.functions.times import epoch_seconds, hours_between, minute_diff
 
 __all__ = [
-    "add_seconds", "clean", "epoch", "epoch_seconds", "hours_between", "label_or_code",
-    "minute_diff", "or_zero", "percent", "round_to",
+    "clean", "epoch_seconds", "hours_between", "label_or_code", "minute_diff", "or_zero",
+    "percent", "round_to",
 ]

@@ -3,20 +3,11 @@
 from pyspark.sql import Column, functions as F
 
 
-def epoch() -> Column:
-    """1970-01-01 as a zoneless literal."""
-    return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
-
-
 def epoch_seconds(time: Column) -> Column:
     """Whole seconds since 1970, rounded down."""
     return F.unix_timestamp(time)
 
 
-def add_seconds(time: Column, seconds: Column) -> Column:
-    return F.timestamp_add("SECOND", seconds, time)
-
-
 def minute_diff(start: Column, end: Column) -> Column:
     """Number of minute boundaries crossed from ``start`` to ``end``."""
     def minute(time: Column) -> Column:

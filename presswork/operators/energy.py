@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from presswork.filters import EVERYTHING, FilterSpec
 from presswork.functions import hours_between, or_zero, round_to
-from presswork.plans.ranking import ranked
+from presswork.plans.ranking import newest, ranked
 
 # Fixed value of the result.
 UNKNOWN_MACHINE = "Neznámý lis"
@@ -17,7 +17,8 @@ def energy_alerts(
     alerts: DataFrame, spec: FilterSpec = EVERYTHING, limit: int | None = 5000
 ) -> DataFrame:
     """Latest alerts, newest shift first."""
-    selected = spec.apply(alerts, days="shift_start", machines="machine_code").select(
+    selected = spec.apply(alerts, days="shift_start", machines="machine_code")
+    selected = newest(selected, "shift_start", limit).select(
         "shift_start", "shift_end", "machine_code", "shift", "order_type", "event_type",
         "alert_start", "alert_end", round_to(or_zero("kwh"), 2).alias("kwh"))
     return ranked(selected, F.desc("shift_start"), limit=limit)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from presswork.filters import EVERYTHING, FilterSpec, on_matching_machines
 from presswork.functions import label_or_code, round_to
-from presswork.plans.ranking import ranked, share_of_total
+from presswork.plans.ranking import newest, ranked, share_of_total
 
 
 def _by_cause(
@@ -82,7 +82,9 @@ def downtime_log(
     after them: the joins see ``limit`` stops, not all.
     """
     stops = downtimes.select("start_ts", "end_ts", "duration_s", "order_id", "reason_id")
-    latest = stops if limit is None else ranked(stops, F.desc("start_ts"), limit=limit)
+    latest = newest(stops, "start_ts", limit)
+    if limit is not None:
+        latest = ranked(latest, F.desc("start_ts"), limit=limit)
     named = latest.join(
         orders.select(F.col("id").alias("order_id"), "order_code"), "order_id", "left"
     ).join(

@@ -103,11 +103,16 @@ def planned_material_need(
     )
 
 
-def _produced(results: DataFrame, spec: FilterSpec) -> DataFrame:
-    """Runs that belong to an order and a product."""
-    return spec.apply(
+def _used(results: DataFrame, bom: DataFrame, spec: FilterSpec) -> DataFrame:
+    """Runs that belong to an order and a product, once per material of the product.
+
+    Both sides of the join are plain scans, so that a product with very many
+    runs is split at run time where the join shuffles.
+    """
+    runs = spec.apply(
         results.where(not_blank("order_code") & not_blank("product_code")),
         days="shift_start", shift="shift", workshop="workshop", machines="machine_code")
+    return runs.join(spec.apply(bom, material="material_code"), _BOM_KEY)
 
 
 def _spent_pieces() -> Column:
@@ -115,6 +120,10 @@ def _spent_pieces() -> Column:
     return F.when(F.col("recyclable") == 0, or_zero("qty_made")).otherwise(or_zero("qty_good"))
 
 
+def _kilos(pieces: Column) -> Column:
+    return F.col("qty_per_piece") * pieces
+
+
 def material_use_by_order(
     results: DataFrame, bom: DataFrame, consumables: DataFrame, spec: FilterSpec = EVERYTHING,
     limit: int | None = 500,
@@ -126,17 +135,16 @@ def material_use_by_order(
     """
     groups = ["order_code", "machine_code", "machine_name", "product_code", "product_name",
               "material_code"]
+    made, good, scrap = map(or_zero, ("qty_made", "qty_good", "qty_scrap"))
     dose = F.col("qty_per_piece")
     sums = {
-        "pieces": or_zero("qty_made"), "good_pieces": or_zero("qty_good"),
-        "scrap_pieces": or_zero("qty_scrap"), "total_kg": dose * _spent_pieces(),
-        "good_kg": dose * or_zero("qty_good"), "scrap_kg": dose * or_zero("qty_scrap"),
+        "pieces": made, "good_pieces": good, "scrap_pieces": scrap,
+        "total_kg": _kilos(_spent_pieces()), "good_kg": _kilos(good), "scrap_kg": _kilos(scrap),
         "_doses": dose, "_dosed": F.when(dose.isNotNull(), 1).otherwise(0),
     }
     texts = ["material_name", "unit"]
     use = (
-        _produced(results, spec)
-        .join(spec.apply(bom, material="material_code"), _BOM_KEY)
+        _used(results, bom, spec)
         .groupBy(*groups)
         .agg(*(F.sum(c).alias(name) for name, c in sums.items()),
              F.min("shift_start").alias("first_start"), F.max("shift_end").alias("last_end"))
@@ -145,18 +153,19 @@ def material_use_by_order(
         .agg(*(F.sum(name).alias(name) for name in sums),
              F.min("first_start").alias("first_start"), F.max("last_end").alias("last_end"))
         .where(F.col("pieces") > 0)
-        .select(*groups, *texts, "pieces", "good_pieces", "scrap_pieces",
-                *(round_to(F.col(c), 2).alias(c) for c in ("total_kg", "good_kg", "scrap_kg")),
-                F.when(F.col("_dosed") > 0, F.col("_doses") / F.col("_dosed")).alias("_dose"),
-                "first_start", "last_end")
+        .withColumn("total_kg", round_to(F.col("total_kg"), 2))
+        .select(*groups, *texts, *sums, "first_start", "last_end")
     )
+    mean_dose = F.when(F.col("_dosed") > 0, F.col("_doses") / F.col("_dosed"))
     return ranked(use, F.desc("total_kg"), limit=limit).select(
         "order_code", "machine_code",
         label_or_code("machine_name", "machine_code").alias("machine_name"),
         "product_code", label_or_code("product_name", "product_code").alias("product_name"),
         "material_code", label_or_code("material_name", "material_code").alias("material_name"),
-        _unit(), round_to(F.col("_dose"), 4).alias("dose"),
-        "pieces", "good_pieces", "scrap_pieces", "total_kg", "good_kg", "scrap_kg",
+        _unit(), round_to(mean_dose, 4).alias("dose"),
+        "pieces", "good_pieces", "scrap_pieces", "total_kg",
+        round_to(F.col("good_kg"), 2).alias("good_kg"),
+        round_to(F.col("scrap_kg"), 2).alias("scrap_kg"),
         "first_start", "last_end",
     )
 
@@ -166,29 +175,14 @@ def material_daily_trend(
 ) -> DataFrame:
     """Consumption, pieces and orders per day of the shift.
 
-    Pieces count once per material of the product. The materials of a product
-    are summed up first, so the join keeps one row per run. Orders are counted
-    over rows already summed per day and order.
+    Pieces count once per material of the product. Rows are summed per day and
+    order first; orders are counted over those sums.
     """
-    fixed = F.col("recyclable") == 0
-    dose = F.col("qty_per_piece")
-    per_piece = (
-        spec.apply(bom, material="material_code")
-        .groupBy(*_BOM_KEY)
-        .agg(
-            F.sum(F.when(fixed, dose)).alias("_made_dose"),
-            F.sum(F.when(~F.coalesce(fixed, F.lit(False)), dose)).alias("_good_dose"),
-            F.count(F.lit(1)).alias("_materials"),
-        )
-    )
-    kilos = (or_zero("_made_dose") * or_zero("qty_made")
-             + or_zero("_good_dose") * or_zero("qty_good"))
     return (
-        _produced(results, spec)
-        .join(per_piece, _BOM_KEY)
+        _used(results, bom, spec)
         .groupBy(F.to_date("shift_start").alias("day"), "order_code")
-        .agg(F.sum(kilos).alias("total_kg"),
-             F.sum(or_zero("qty_made") * F.col("_materials")).alias("pieces"))
+        .agg(F.sum(_kilos(_spent_pieces())).alias("total_kg"),
+             F.sum(or_zero("qty_made")).alias("pieces"))
         .groupBy("day")
         .agg(round_to(F.sum("total_kg"), 2).alias("total_kg"),
              F.sum("pieces").alias("pieces"), F.count("order_code").alias("orders"))
@@ -205,13 +199,11 @@ def material_summary(
     A material may hold most of the rows; they are summed per order and
     machine before anything is gathered by material.
     """
-    dose = F.col("qty_per_piece")
     materials = (
-        _produced(results, spec)
-        .join(spec.apply(bom, material="material_code"), _BOM_KEY)
+        _used(results, bom, spec)
         .groupBy("material_code", "order_code", "machine_code")
-        .agg(F.sum(dose * _spent_pieces()).alias("total_kg"),
-             F.sum(dose * or_zero("qty_scrap")).alias("scrap_kg"))
+        .agg(F.sum(_kilos(_spent_pieces())).alias("total_kg"),
+             F.sum(_kilos(or_zero("qty_scrap"))).alias("scrap_kg"))
         .groupBy("material_code")
         .agg(F.count_distinct("order_code").alias("orders"),
              F.count_distinct("machine_code").alias("machines"),

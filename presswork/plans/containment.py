@@ -2,13 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-from presswork.functions import add_seconds, epoch, epoch_seconds
+from pyspark.sql import DataFrame, Window, functions as F
 
 # Cell widths in seconds, widest first.
 GRIDS = (4096, 64, 1)
 
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+_NEVER = "CAST(NULL AS TIMESTAMP_NTZ)"
+
+
+def _number(time: str) -> str:
+    """The cell of a time, counted from 1970."""
+    return f"floor(unix_timestamp({time}) / greatest(grid, 1))"
+
+
+def _starts(number: str) -> str:
+    return f"timestampadd(SECOND, {number} * grid, {_EPOCH})"
+
+
+def _entry(time: str, latest: str, rising: bool = True) -> str:
+    """A stretch end or a probe, at its place in the running maximum of a cell.
+
+    Cells are named by their start, so that grid 0, where every time is a cell
+    of its own, needs no other type.
+    """
+    place = f"{time} - {_EPOCH}" if rising else f"{_EPOCH} - {time}"
+    return (
+        f"named_struct('rising', {rising}, "
+        f"'cell', CASE WHEN grid = 0 THEN {time} ELSE {_starts(_number(time))} END, "
+        f"'place', {place}, 'latest', {latest})"
+    )
+
 
 def latest_end_within(
     spans: DataFrame,
@@ -41,65 +65,41 @@ def latest_end_within(
     what one key has in one cell.
     """
     length = before_s + after_s
-    free = F.lit(length) - F.col("seconds")
-    grid = F.lit(0)
-    for width in reversed(grids):
-        grid = F.when(free >= width, F.lit(width)).otherwise(grid)
-    stretches = spans.where((F.col("seconds") > 0) & (free >= 0)).select(
+    levels = " ".join(f"WHEN {length} - seconds >= {width} THEN {width}" for width in grids)
+    stretches = spans.where(F.col("seconds").between(1, length)).selectExpr(
         "key",
-        grid.alias("grid"),
-        add_seconds(F.col("start"), F.col("seconds")).alias("opens"),
-        add_seconds(F.col("start"), F.lit(length)).alias("closes"),
+        f"CASE {levels} ELSE 0 END AS grid",
+        "timestampadd(SECOND, seconds, start) AS opens",
+        f"timestampadd(SECOND, {length}, start) AS closes",
     )
-
-    def number(time: Column) -> Column:
-        return F.floor(epoch_seconds(time) / F.greatest(F.col("grid"), F.lit(1)))
-
-    def starts(cell: Column) -> Column:
-        return add_seconds(epoch(), cell * F.col("grid"))
-
-    def cell_of(time: Column) -> Column:
-        """The start of the cell, so that all grids share one column type."""
-        return F.when(F.col("grid") == 0, time).otherwise(starts(number(time)))
-
-    def entry(rising: bool, time: Column, latest: Column) -> Column:
-        """A stretch end or a probe, at its place in the running maximum."""
-        place = time - epoch() if rising else epoch() - time
-        return F.struct(
-            F.lit(rising).alias("rising"), cell_of(time).alias("cell"),
-            place.alias("place"), latest.alias("latest"),
-        )
-
-    nothing = F.lit(None).cast("timestamp_ntz")
-    ends = stretches.select(
-        "key", "grid", nothing.alias("probe"),
-        F.inline(F.array(
-            entry(True, F.col("opens"), F.col("opens")),
-            entry(False, F.col("closes"), F.col("opens")),
-        )),
-    ).where(F.col("rising") | (F.col("grid") > 0))
+    ends = stretches.selectExpr(
+        "key", "grid", f"{_NEVER} AS probe",
+        f"inline(array({_entry('opens', 'opens')}, {_entry('closes', 'opens', rising=False)}))",
+    ).where("rising OR grid > 0")
 
     # One row per pair of end cells before the cells between are written out.
-    opened, closed = number(F.col("opens")), number(F.col("closes"))
     covers = (
-        stretches.where(F.col("grid") > 0)
-        .select("key", "grid", "opens", opened.alias("opened"), closed.alias("closed"))
-        .where(F.col("closed") - F.col("opened") > 1)
+        stretches.where("grid > 0")
+        .selectExpr("key", "grid", "opens AS latest",
+                    f"{_number('opens')} AS opened", f"{_number('closes')} AS closed")
+        .where("closed - opened > 1")
         .groupBy("key", "grid", "opened", "closed")
-        .agg(F.max("opens").alias("latest"))
-        .select("key", "grid", "latest",
-                F.explode(F.sequence(F.col("opened") + 1, F.col("closed") - 1)).alias("between"))
-        .withColumn("cell", starts(F.col("between")))
-        .select("key", "grid", nothing.alias("probe"), F.lit(True).alias("rising"), "cell",
-                (F.col("cell") - epoch()).alias("place"), "latest")
+        .agg(F.max("latest").alias("latest"))
+        .selectExpr("key", "grid", "latest",
+                    "explode(sequence(opened + 1, closed - 1)) AS between")
+        .selectExpr("key", "grid", "latest", f"{_starts('between')} AS cell")
+        .selectExpr("key", "grid", f"{_NEVER} AS probe", "true AS rising", "cell",
+                    f"cell - {_EPOCH} AS place", "latest")
     )
 
-    until = add_seconds(F.col("probe"), F.lit(after_s))
     asked = (
-        probes.select("key", F.explode(F.array(*map(F.lit, (*grids, 0)))).alias("grid"), "probe")
-        .select("key", "grid", "probe",
-                F.inline(F.array(entry(True, until, nothing), entry(False, until, nothing))))
-        .where(F.col("rising") | (F.col("grid") > 0))
+        probes.selectExpr(
+            "key", f"explode(array({', '.join(map(str, (*grids, 0)))})) AS grid", "probe",
+            f"timestampadd(SECOND, {after_s}, probe) AS until")
+        .selectExpr(
+            "key", "grid", "probe",
+            f"inline(array({_entry('until', _NEVER)}, {_entry('until', _NEVER, rising=False)}))")
+        .where("rising OR grid > 0")
     )
 
     in_cell = (
@@ -109,7 +109,7 @@ def latest_end_within(
     return (
         ends.unionByName(covers).unionByName(asked)
         .withColumn("latest", F.max("latest").over(in_cell))
-        .where(F.col("probe").isNotNull() & F.col("latest").isNotNull())
+        .where("probe IS NOT NULL AND latest IS NOT NULL")
         .groupBy("key", "probe")
         .agg(F.max("latest").alias("latest"))
     )

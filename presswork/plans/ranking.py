@@ -17,8 +17,7 @@ def ranked(df: DataFrame, *first: Column, limit: int | None = None) -> DataFrame
     are equal. With a limit Spark keeps only the best rows of each partition
     (TakeOrderedAndProject), so nothing but ``limit`` rows is ever gathered.
     """
-    rest = [F.col(name).asc_nulls_first() for name in df.columns]
-    df = df.orderBy(*first, *rest)
+    df = df.orderBy(*first, *df.columns)
     return df if limit is None else df.limit(limit)
 
 
@@ -33,3 +32,27 @@ def share_of_total(df: DataFrame, value: str, limit: int | None) -> Column:
     else:
         total = F.sum(value).over(Window.partitionBy())
     return percent(F.col(value), total)
+
+
+def newest(df: DataFrame, time: str, limit: int | None) -> DataFrame:
+    """``df`` without the days that are too old to hold its newest ``limit`` rows.
+
+    Rows are counted per day in a scan of ``time`` alone. The first day that is
+    still needed then goes to the scan of all columns as a pushed filter, so
+    that it reads, and the ranking gathers, little more than ``limit`` rows.
+    Rows without a time sort last and stay in.
+    """
+    if limit is None:
+        return df
+    newer = Window.orderBy(F.desc("day")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    days = (
+        df.groupBy(F.to_date(time).alias("day")).agg(F.count(time).alias("rows"))
+        .withColumn("rows", F.sum("rows").over(newer))
+    )
+    # The latest day with enough rows up to it, or the earliest if all are too few.
+    first = days.agg(
+        F.coalesce(F.max(F.when(F.col("rows") >= limit, F.col("day"))), F.min("day"))
+        .cast("timestamp_ntz")
+    ).scalar()
+    return df.where((F.col(time) >= first) | F.col(time).isNull())

@@ -31,7 +31,7 @@ def value_switches(
     rows per bucket of a key, however many rows the key has.
     """
     previous = [f"previous_{value}", f"previous_{carry}"]
-    order = [F.col(name).asc_nulls_first() for name in (time, *ties)]
+    order = [time, *ties]
 
     def lagged(window) -> list[Column]:
         return [F.lag(name).over(window) for name in (value, carry)]
