@@ -183,8 +183,10 @@ BINDINGS = {
         SELECT DISTINCT p_brand, CAST(NULL AS VARCHAR(100)), CAST(NULL AS VARCHAR(20)), 'B'
         FROM {part}
         UNION ALL
-        SELECT 'UNUSED', 'Not in any BOM', 'KG', 'T'""",
-    "consumable_types": "SELECT 'T' AS type_code, 'Resin' AS type_label",
+        SELECT CONCAT('UNUSED ', r_name), 'Not in any BOM', 'KG', 'T' FROM {region}""",
+    # The second type is in no use.
+    "consumable_types": """
+        SELECT 'T' AS type_code, 'Resin' AS type_label UNION ALL SELECT 'C', 'Colour'""",
     "order_status": """
         SELECT 'L' AS status_code, 'Running' AS status_label
         UNION ALL SELECT 'D', 'Planned' UNION ALL SELECT 'S', 'Done'""",

@@ -21,6 +21,7 @@ def spark(tmp_path_factory):
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "4g")
+        .config("spark.sql.maxMetadataStringLength", "10000")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
         .getOrCreate()
     )
@@ -29,6 +30,20 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(scope="module")
+def interpreted(spark):
+    """No code generation: it takes longer than the queries on a few rows."""
+    settings = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode":
+                "NO_CODEGEN", "spark.sql.adaptive.enabled": "false",
+                "spark.sql.shuffle.partitions": "1"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
 @pytest.fixture(scope="session")
 def table(spark):
     """Makes a canonical table from dictionaries; columns not given are NULL."""

@@ -6,6 +6,8 @@ from conftest import at, rows
 from presswork import FilterSpec, Tables
 from presswork import operators as ops
 
+pytestmark = pytest.mark.usefixtures("interpreted")
+
 
 def run(**values):
     return {"machine_code": "M1", "shift_start": at("06:00"), "qty_made": 10, **values}

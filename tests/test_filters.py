@@ -1,0 +1,200 @@
+"""Which filter applies to which operator, and what counts as no filter."""
+
+from datetime import date
+
+import pytest
+from conftest import at, rows
+
+from presswork import FilterSpec
+from presswork import operators as ops
+
+pytestmark = pytest.mark.usefixtures("interpreted")
+
+SPECS = {
+    "days": FilterSpec(start_date="2024-03-01", end_date="2024-03-01"),
+    "shift": FilterSpec(shift="S"),
+    "workshop": FilterSpec(workshop="W"),
+    "machines": FilterSpec(machines=["M1", "M9"]),
+    "molds": FilterSpec(molds=["F1"]),
+    "articles": FilterSpec(articles=["P1"]),
+    "material": FilterSpec(material="A"),
+}
+MATCHING = {
+    "shift_start": at("06:00"), "shift": "S", "workshop": "W", "machine_code": "M1",
+    "mold_code": "F1", "product_code": "P1", "order_code": "O1", "bom_revision": 0,
+}
+# One run per filter that only this filter drops; its pieces tell that it is there.
+OTHER = {
+    "days": {"shift_start": at("2024-03-02 00:00")}, "shift": {"shift": "X"},
+    "workshop": {"workshop": "X"}, "machines": {"machine_code": "M2"},
+    "molds": {"mold_code": "X"}, "articles": {"product_code": "X"},
+}
+PIECES = {name: 2 ** (n + 1) for n, name in enumerate(OTHER)}
+
+
+@pytest.fixture(scope="module")
+def results(table):
+    return table(
+        "production_results", {**MATCHING, "qty_made": 1},
+        *({**MATCHING, **other, "qty_made": PIECES[name]} for name, other in OTHER.items())).cache()
+
+
+@pytest.fixture(scope="module")
+def bom(table):
+    return table("bom", *(
+        {"product_code": p, "bom_revision": 0, "material_code": m, "qty_per_piece": 1.0}
+        for p in ("P1", "X") for m in "AB")).cache()
+
+
+def total(df, column="pieces"):
+    return sum(rows(df, column))
+
+
+PRODUCTION = {"days", "shift", "workshop", "machines", "molds", "articles"}
+
+
+@pytest.mark.parametrize("operator", [ops.machine_kpi, ops.mold_kpi])
+@pytest.mark.parametrize("field", SPECS)
+def test_production(results, operator, field):
+    dropped = PIECES[field] if field in PRODUCTION else 0
+    assert total(operator(results, SPECS[field])) == 127 - dropped
+
+
+@pytest.mark.parametrize("field", SPECS)
+def test_material_use(table, results, bom, field):
+    consumables = table("consumables", {"material_code": "A"}, {"material_code": "B"})
+    spec = SPECS[field]
+    dropped = PIECES[field] if field in {"days", "shift", "workshop", "machines"} else 0
+    materials = 1 if field == "material" else 2
+    expected = materials * (127 - dropped)
+    assert total(ops.material_use_by_order(results, bom, consumables, spec)) == expected
+    assert total(ops.material_daily_trend(results, bom, spec)) == expected
+    assert len(rows(ops.material_summary(results, bom, consumables, spec))) == materials
+
+
+@pytest.mark.parametrize("field", SPECS)
+def test_choices(table, field):
+    named = {name: {**MATCHING, **other, "product_code": name, "mold_code": "F1"}
+             for name, other in OTHER.items()}
+    named["molds"]["mold_code"] = "X"
+    articles = ops.filter_articles(table("production_results", *named.values()), SPECS[field])
+    kept = {"workshop", "machines", "molds"} & {field}
+    assert set(rows(articles, "product_code")) == set(named) - kept
+
+    named = {name: {**MATCHING, **other, "mold_code": name} for name, other in OTHER.items()}
+    molds = ops.filter_molds(table("production_results", *named.values()), SPECS[field])
+    kept = {"workshop", "machines"} & {field}
+    assert set(rows(molds, "mold_code")) == set(named) - kept
+
+
+# Machine M1 ran in workshop W with mold F1, machines M3 and M4 lack one of these.
+@pytest.fixture(scope="module")
+def machines(table):
+    run = {"machine_code": "M1", "workshop": "W", "mold_code": "F1"}
+    return table("production_results", run, {**run, "machine_code": "M2"},
+                 {**run, "machine_code": "M3", "workshop": "X"},
+                 {**run, "machine_code": "M4", "mold_code": "X"}).cache()
+
+
+LOSS = {"machine_code": "M1", "shift": "S", "product_code": "P1"}
+LOSSES = {
+    "days": {"time": at("2024-03-02 00:00")}, "shift": {"shift": "X"},
+    "workshop": {"machine_code": "M3"}, "machines": {"machine_code": "M2"},
+    "molds": {"machine_code": "M4"}, "articles": {"product_code": "X"},
+}
+
+
+@pytest.mark.parametrize("field", SPECS)
+def test_losses(table, machines, field):
+    losses = [{**LOSS, "time": at("06:00"), **other} for other in LOSSES.values()]
+    downtimes = table("downtimes", *(
+        {**loss, "start_ts": loss["time"], "duration_s": 60, "reason_code": "R"}
+        for loss in losses))
+    scraps = table("scraps", *(
+        {**loss, "shift_start": loss["time"], "qty": 1, "defect_code": "D"} for loss in losses))
+    # The machine filter also drops what ran on the other machines.
+    dropped = {"days": 1, "shift": 1, "workshop": 1, "molds": 1, "machines": 3}
+    assert total(ops.downtime_pareto(downtimes, machines, SPECS[field]), "stops") == (
+        6 - dropped.get(field, 0))
+    dropped["articles"] = 1
+    assert total(ops.scrap_pareto(scraps, machines, SPECS[field])) == 6 - dropped.get(field, 0)
+
+
+@pytest.mark.parametrize("field", SPECS)
+def test_energy(table, field):
+    base = {"machine_code": "M1", "shift_start": at("06:00"), "shift": "S", "kwh": 1.0}
+    cases = base, {**base, "shift_start": at("2024-03-02 06:00")}, {**base, "machine_code": "M2"}
+    expected = 3 - (field in {"days", "machines"})
+    alerts = table("energy_alerts", *cases)
+    assert len(rows(ops.energy_alerts(alerts, SPECS[field]))) == expected
+    assert total(ops.energy_alert_rollup(alerts, SPECS[field]), "alerts") == expected
+    assert len(rows(ops.energy_stops(table("energy_stops", *cases), SPECS[field]))) == expected
+
+
+@pytest.mark.parametrize("field", SPECS)
+def test_planned_need(table, bom, field):
+    header = {"order_code": "O1", "machine_code": "M1", "status_code": "L"}
+    headers = table("order_headers", header, {**header, "order_code": "O2", "machine_code": "M2"},
+                    {**header, "order_code": "O3", "status_code": "T"},
+                    {**header, "order_code": "O4", "status_code": "P"})
+    lines = table("order_lines", *(
+        {"order_code": f"O{n}", "product_code": "X", "bom_revision": 0} for n in range(1, 5)))
+    need = ops.planned_material_need(
+        headers, lines, table("products"), bom,
+        table("consumables", {"material_code": "A"}, {"material_code": "B"}),
+        table("order_status"), SPECS[field])
+    assert len(rows(need)) == {"machines": 4, "material": 3}.get(field, 6)
+
+
+@pytest.mark.parametrize("field", SPECS)
+def test_mold_changes(table, field):
+    hours = iter(range(24))
+
+    def switch(**values):
+        """Two runs, one change of mold."""
+        for mold in ("F1", "F1x"):
+            hour = next(hours)
+            yield {**MATCHING, "mold_code": mold, "shift_start": at(f"{hour:02}:00"),
+                   "shift_end": at(f"{hour:02}:30"), **values}
+    late = [{**run, "shift_start": run["shift_start"].replace(day=2),
+             "shift_end": run["shift_end"].replace(day=2)} for run in switch(machine_code="M9")]
+    runs = table("production_results", *switch(), *switch(machine_code="M2"),
+                 *switch(machine_code="M9", shift="X", workshop="X", product_code="X"), *late)
+    # M9 changes three times: twice from F1 and back once; the way back takes too long.
+    expected = {"days": 3, "machines": 3, "molds": 0}.get(field, 4)
+    stops = table("downtimes")
+    assert len(rows(ops.mold_changes(runs, stops, SPECS[field]))) == expected
+    # The mold filter does not reach the KPIs.
+    expected = 4 if field == "molds" else expected
+    assert total(ops.mold_change_kpi(runs, stops, SPECS[field]), "changes") == expected
+    assert total(ops.mold_change_trend(runs, stops, SPECS[field]), "changes") == expected
+
+
+@pytest.mark.parametrize("machines", [None, [], ["ALL"], ["ALL", "M1"]])
+def test_no_machine_filter(results, machines):
+    assert total(ops.machine_kpi(results, FilterSpec(machines=machines))) == 127
+
+
+def test_blank_is_no_filter_and_all_is_a_shift():
+    assert FilterSpec(start_date=" ", end_date="", shift=" ", workshop="", material=" ") == (
+        FilterSpec())
+    spec = FilterSpec(shift="ALL", workshop=" ALL ", material="ALL", molds=[" F1 "])
+    assert (spec.shift, spec.workshop, spec.material, spec.molds) == ("ALL", "ALL", None, ("F1",))
+    assert FilterSpec(start_date=" 2024-03-01 ").start_date == date(2024, 3, 1)
+    with pytest.raises(ValueError):
+        FilterSpec(start_date="1.3.2024")
+
+
+def test_quotes_are_data(results):
+    assert rows(ops.machine_kpi(results, FilterSpec(shift="S' OR '1'='1"))) == []
+
+
+def test_both_days_are_included(table):
+    times = ("2024-02-29 23:59:59", "2024-03-01 00:00", "2024-03-03 23:59:59", "2024-03-04 00:00")
+    results = table("production_results", *(
+        {**MATCHING, "shift_start": at(t), "qty_made": 10 ** n} for n, t in enumerate(times)))
+    for spec, expected in [
+        (FilterSpec(start_date="2024-03-01", end_date="2024-03-03"), 110),
+        (FilterSpec(start_date="2024-03-01"), 1110), (FilterSpec(end_date="2024-03-03"), 111),
+    ]:
+        assert total(ops.machine_kpi(results, spec)) == expected
