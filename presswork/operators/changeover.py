@@ -18,6 +18,26 @@ BEFORE_S, AFTER_S = 30 * 60, 16 * 3600
 FROM_STOP, FROM_SHIFT = "PROSTOJ", "DEBEQU"
 
 
+def _stops_near(downtimes: DataFrame, runs: DataFrame, spec: FilterSpec) -> DataFrame:
+    """Stops without those that no run's window can reach.
+
+    Under a day filter the times of the runs bound the stops' times; the bounds
+    go to the scan of the stops. Without one they would span the whole table.
+    """
+    downtimes = spec.apply(downtimes, machines="machine_code")
+    if spec.start_date or spec.end_date:
+        def shifted(end: Column, seconds: int) -> Column:
+            return F.timestamp_add("SECOND", F.lit(seconds), end)
+        # Spark would merge two aggregates into one subquery with two fields, and push neither.
+        first = runs.agg(shifted(F.min("shift_end"), -BEFORE_S)).scalar()
+        last = (
+            runs.orderBy(F.desc("shift_end")).limit(1)
+            .select(shifted(F.col("shift_end"), AFTER_S)).scalar()
+        )
+        downtimes = downtimes.where(F.col("start_ts").between(first, last))
+    return downtimes
+
+
 def _changes(
     runs: DataFrame, downtimes: DataFrame, spec: FilterSpec, by_mold: bool
 ) -> DataFrame:
@@ -49,7 +69,7 @@ def _changes(
         "shift_start",
     )
     stops = latest_end_within(
-        downtimes.select(
+        _stops_near(downtimes, selected, spec).select(
             F.col("machine_code").alias("key"), F.col("start_ts").alias("start"),
             F.col("duration_s").alias("seconds")),
         changes.select(F.col("machine_code").alias("key"), F.col("old_end").alias("probe")),

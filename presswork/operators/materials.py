@@ -34,8 +34,10 @@ def materials_list(consumables: DataFrame, types: DataFrame, bom: DataFrame) ->
     )
 
 
-def _described(consumables: DataFrame) -> DataFrame:
-    return consumables.select("material_code", "material_name", "unit")
+def _texts(consumables: DataFrame) -> DataFrame:
+    """Material texts, and how often each occurs: a repeated one repeats the rows it meets."""
+    return consumables.groupBy("material_code", "material_name", "unit").agg(
+        F.count(F.lit(1)).alias("_times"))
 
 
 def _unit() -> Column:
@@ -73,7 +75,7 @@ def planned_material_need(
     needs = (
         orders.join(items, "order_code")
         .join(doses, _BOM_KEY)
-        .join(_described(consumables), "material_code")
+        .join(consumables.select("material_code", "material_name", "unit"), "material_code")
         .select(
             *keys, "planned_pieces", "good_pieces", "scrap_pieces", "remaining_pieces", "_dose",
             "machine_code", "machine_name", "mold_code", "status_code", "material_name", "unit",
@@ -130,8 +132,8 @@ def material_use_by_order(
 ) -> DataFrame:
     """Consumption per order, machine, product and material, most first.
 
-    Rows are summed before the material texts are joined; the texts are part
-    of the group, so the second sum needs no further shuffle.
+    Rows are summed before the material texts are joined, and not regrouped
+    after it: the join on a frequent material can then be split at run time.
     """
     groups = ["order_code", "machine_code", "machine_name", "product_code", "product_name",
               "material_code"]
@@ -142,19 +144,16 @@ def material_use_by_order(
         "total_kg": _kilos(_spent_pieces()), "good_kg": _kilos(good), "scrap_kg": _kilos(scrap),
         "_doses": dose, "_dosed": F.when(dose.isNotNull(), 1).otherwise(0),
     }
-    texts = ["material_name", "unit"]
     use = (
         _used(results, bom, spec)
         .groupBy(*groups)
         .agg(*(F.sum(c).alias(name) for name, c in sums.items()),
              F.min("shift_start").alias("first_start"), F.max("shift_end").alias("last_end"))
-        .join(_described(consumables), "material_code")
-        .groupBy(*groups, *texts)
-        .agg(*(F.sum(name).alias(name) for name in sums),
-             F.min("first_start").alias("first_start"), F.max("last_end").alias("last_end"))
         .where(F.col("pieces") > 0)
+        .join(_texts(consumables), "material_code")
+        .withColumns({name: F.col(name) * F.col("_times") for name in sums})
         .withColumn("total_kg", round_to(F.col("total_kg"), 2))
-        .select(*groups, *texts, *sums, "first_start", "last_end")
+        .select(*groups, "material_name", "unit", *sums, "first_start", "last_end")
     )
     mean_dose = F.when(F.col("_dosed") > 0, F.col("_doses") / F.col("_dosed"))
     return ranked(use, F.desc("total_kg"), limit=limit).select(
@@ -208,11 +207,10 @@ def material_summary(
         .agg(F.count_distinct("order_code").alias("orders"),
              F.count_distinct("machine_code").alias("machines"),
              F.sum("total_kg").alias("total_kg"), F.sum("scrap_kg").alias("scrap_kg"))
-        .join(_described(consumables), "material_code")
-        .groupBy("material_code", "material_name", "unit")
-        .agg(F.max("orders").alias("orders"), F.max("machines").alias("machines"),
-             round_to(F.sum("total_kg"), 2).alias("total_kg"),
-             round_to(F.sum("scrap_kg"), 2).alias("scrap_kg"))
+        .join(_texts(consumables), "material_code")
+        .select("material_code", "material_name", "unit", "orders", "machines",
+                *(round_to(F.col(c) * F.col("_times"), 2).alias(c)
+                  for c in ("total_kg", "scrap_kg")))
     )
     return ranked(materials, F.desc("total_kg"), limit=limit).select(
         "material_code", label_or_code("material_name", "material_code").alias("material_name"),

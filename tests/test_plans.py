@@ -44,7 +44,7 @@ def durations(rng):
 
 @pytest.mark.parametrize("seed, micros, grids", [
     (1, True, (4096, 64, 1)), (2, False, (4096, 64, 1)), (3, False, (4096, 64, 1)),
-    (4, True, (8192, 512, 32, 2, 1)), (5, False, (100_000, 1))])
+    (4, True, (8192, 512, 32, 2, 1)), (5, False, (30_000, 500, 20, 1))])
 def test_latest_end_within(spark, seed, micros, grids):
     rng = random.Random(seed)
     # Key "hot" holds a third of the spans.
@@ -122,6 +122,70 @@ def test_latest_times_reach_the_scan(stored):
     assert "Or(GreaterThanOrEqual(shift_start,ScalarSubquery" in alerts
 
 
+def test_times_of_the_runs_reach_the_scan_of_the_stops(stored):
+    spec = FilterSpec(start_date="1997-01-01", machines=["3"])
+    plan = plan_of(ops.mold_changes(stored.production_results, stored.downtimes, spec))
+    assert "GreaterThanOrEqual(start_ts,ScalarSubquery" in plan
+    assert "LessThanOrEqual(start_ts,ScalarSubquery" in plan
+    assert plan.count("EqualTo(machine_code,3)") > 2
+    free = plan_of(ops.mold_changes(stored.production_results, stored.downtimes))
+    assert "ScalarSubquery" not in free
+
+
+@pytest.fixture
+def small_partitions(spark):
+    """Joins that shuffle, and partitions that count as skewed from a few kilobytes."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB",
+        "spark.sql.shuffle.partitions": "24",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_hot_product_and_order_are_split(spark, table, small_partitions):
+    n = 60_000
+    hot = "CASE WHEN id % 3 = 0 THEN 'hot' ELSE CAST(id AS STRING) END"
+    rows_of = spark.range(0, n, 1, 8).selectExpr(
+        "id", f"{hot} AS product_code", "CAST(id % 2 AS INT) AS bom_revision",
+        "CAST(id % 10 AS STRING) AS machine_code",
+        "CAST(id AS STRING) AS order_code", "1L AS qty_made", "1L AS qty_good", "0L AS qty_scrap",
+        "CAST(NULL AS STRING) AS machine_name", "CAST(NULL AS STRING) AS product_name",
+        "TIMESTAMP_NTZ'2024-03-01 06:00:00' AS shift_start", "shift_start AS shift_end")
+    bom = rows_of.selectExpr("product_code", "bom_revision", "'A' AS material_code",
+                             "1.0D AS qty_per_piece", "0 AS recyclable").distinct().checkpoint()
+    consumables = table("consumables", {"material_code": "A"})
+
+    use = ops.material_use_by_order(rows_of, bom, consumables, limit=None)
+    assert use.agg(F.sum("pieces"), F.count("pieces")).collect()[0] == (n, n)
+    trend = ops.material_daily_trend(rows_of, bom)
+    assert rows(trend, "pieces", "orders") == [(n, n)]
+
+    headers = rows_of.selectExpr(
+        f"{hot} AS order_code", "'M' AS machine_code", "'M' AS machine_name",
+        "'F' AS mold_code", "'L' AS status_code").distinct().checkpoint()
+    lines = rows_of.selectExpr(f"{hot} AS order_code", "product_code", "bom_revision",
+                               "3L AS qty_planned", "1L AS qty_good", "0L AS qty_scrap")
+    need = ops.planned_material_need(
+        headers, lines, table("products"), bom, consumables, table("order_status"), limit=None)
+    assert need.agg(F.sum("remaining_pieces")).collect()[0][0] == 2 * n
+    # Joins by product and by material; by product; by order and by material (the lines of
+    # one product all look alike here, and are too few bytes to be split).
+    for df, joins in ((use, 2), (trend, 1), (need, 2)):
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert final.count("SortMergeJoin(skew=true)") >= joins, final
+
+
 def test_changes_are_found_once(spark):
     df = ops.mold_changes(bound(spark, SMALL, "production_runs"), bound(spark, SMALL, "downtimes"))
     df.collect()
