@@ -1,0 +1,105 @@
+import random
+import struct
+import zlib
+from collections import defaultdict
+
+import public_tokenizers
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from presswork.llm import packing, queries
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+HARD = [
+    None, "", " ", "Hello, World.", "it's they'll. 'll", "a.b.c...", "..,,", "½ ² ª.", "x y\x0bz\x1cw\x85v.",
+    "ΟΔΟΣ. İstanbul, ǅ", "été. ́x", "東京, 1234,", "<|endoftext|> a <|startoftext|>",
+    "ÀÉÎõü ẞß.", "don't, can't.", "word " * 5000, "x" * 9000, "tab\tnew\nline\r\nend,\t.",
+]
+
+
+def library():
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+def brute(texts):
+    tokenizer = library()
+    return [tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+
+
+def packed(ids):
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_ids_are_those_of_the_library(docs, documents, monkeypatch):
+    df = docs(*HARD)
+    got = df.select("doc_id", packing.token_ids(F.col("text"), PATH).alias("b")).collect()
+    assert [bytes(r.b) for r in got] == [packed(i) for i in brute(HARD)]
+    texts = [r.text for r in documents.collect()]
+    words = packing.WordIds(library())
+    for remembered in (packing.REMEMBERED, 50):
+        monkeypatch.setattr(packing, "REMEMBERED", remembered)
+        assert [words.of(t or "", 300) for t in texts] == [packed(i[:-1]) for i in brute(texts)]
+
+
+def test_first_fit_decreasing_against_a_plain_search():
+    rng = random.Random(3)
+    for _ in range(50):
+        lengths = [rng.choice([0, 1, 5, 30, 64, 100]) for _ in range(rng.randrange(40))]
+        bins, offsets = packing.first_fit_decreasing(lengths, 100)
+        room, want = [], [None] * len(lengths)
+        for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+            at = next((b for b, left in enumerate(room) if left >= lengths[i]), len(room))
+            room += [100] * (at == len(room))
+            want[i] = at
+            room[at] -= lengths[i]
+        assert bins == want
+
+
+def check(rows, ids, capacity=2048):
+    """Every id of every document once, no gap or overlap in a sequence."""
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append(r)
+        sequences[r.sequence_id].append(r)
+    assert set(pieces) == set(ids)
+    for doc, found in pieces.items():
+        at = 0
+        for r in sorted(found, key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids[doc])
+            assert r.ids_crc32 == zlib.crc32(packed(ids[doc][at:at + r.length]))
+            at += r.length
+        assert at == len(ids[doc])
+    padding = 0
+    for found in sequences.values():
+        at = 0
+        for r in sorted(found, key=lambda r: (r.offset, r.length)):
+            assert r.offset == at
+            at += r.length
+        assert at <= capacity
+        padding += capacity - at
+    return padding / sum(map(len, ids.values()))
+
+
+def test_query_holds_every_id_once(spark, documents):
+    rows = documents.collect()
+    ids = dict(zip([r.doc_id for r in rows], brute([r.text for r in rows])))
+    got = queries.QUERIES["op4_packing"](spark, "/root/testdata/sf0.001").collect()
+    assert check(got, ids) < 0.02
+
+
+def test_hard_rows(docs):
+    df = docs(*HARD)
+    got = queries.packed(df).collect()
+    check(got, dict(enumerate(brute(HARD))))
+    assert queries.packed(docs("x").limit(0)).collect() == []
+
+
+def test_pack_carries_columns_and_repeated_rows(spark):
+    rows = [(None, 5, "a")] * 4 + [(1, 0, None), (1, 7, "b")]
+    df = spark.createDataFrame(rows, "offset int, length long, sequence_id string")
+    got = packing.pack(df.withColumnRenamed("sequence_id", "tag"), 10, group_rows=100).collect()
+    assert sorted(r.length for r in got) == [0, 5, 5, 5, 5, 7]
+    assert len({r.sequence_id for r in got}) == 3
+    assert sorted(str(r.tag) for r in got) == ["None", "a", "a", "a", "a", "b"]
