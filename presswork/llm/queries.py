@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, packing, url_lists
+from . import bpe, exact, packing, simhash, substrings, url_lists
 from .shared import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,9 +136,23 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_i
 FROM d JOIN g USING (body)
 """
 
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"),
+                         "component_id")
+
+
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_byte_bpe": byte_bpe,
     "op4_packing": packing_query,
+    "op6_simhash": simhash_groups,
+    "op8_substring_dedup": substring_dedup,
     "op9_url_filters": url_filter,
     "op10_exact_dedup": exact_dedup,
 }

@@ -1,0 +1,138 @@
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from presswork.llm import graph, queries, simhash
+from presswork.llm.shared import word_blocks
+
+
+def plain_fingerprint(text, width=4):
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    shingles = [" ".join(words[i:i + width]) for i in range(len(words) - width + 1)]
+    shingles = shingles or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(pairs, nodes):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            root[n] = root[root[n]]
+            n = root[n]
+        return n
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def plain_groups(rows):
+    """doc_id -> (fingerprint, component) over all pairs."""
+    prints = {d: plain_fingerprint(t) for d, t in rows}
+    ids = sorted(prints)
+    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1:]
+             if (prints[a] ^ prints[b]).bit_count() <= 4]
+    found = plain_components(pairs, ids)
+    return {d: (f"{prints[d]:016x}", found[d]) for d in ids}
+
+
+TEXTS = [None, "", " \n", "one", "One", "a b c", "A  b\tc", "a b c d", "É a b c d e", "é a b c d e",
+         "x " * 2000, "y\x0by\x0cy y\x1cy y y", "same words here again and again", "same words here again and again"]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_fingerprint(text, monkeypatch):
+    assert simhash.fingerprint((text or "").encode()) == plain_fingerprint(text)
+    monkeypatch.setattr(simhash, "word_blocks", lambda data: word_blocks(data, 5))
+    assert simhash.fingerprint((text or "").encode()) == plain_fingerprint(text)
+
+
+def test_code_covers_every_word_within_one_bit():
+    home, near = simhash.code_tables()
+    words = np.arange(1 << 15)
+    assert np.bitwise_count(home ^ words).max() == 1 and len(set(home.tolist())) == 1 << 11
+    codewords = np.unique(home)
+    rng = random.Random(1)
+    for word in rng.sample(range(1 << 15), 200):
+        close = codewords[np.bitwise_count(codewords ^ word) <= 2]
+        assert set(near[word].tolist()) == set(close.tolist()) | {int(home[word])}
+
+
+def test_every_close_pair_meets_at_the_home_of_either():
+    rng = random.Random(2)
+    for _ in range(2000):
+        x = rng.getrandbits(64)
+        y = x
+        for bit in rng.sample(range(64), rng.randrange(5)):
+            y ^= 1 << bit
+        row, key, home = simhash.anchors(np.array([x, y], np.uint64))
+        at_home = set(key[(row == 0) & home].tolist())
+        assert at_home & set(key[(row == 1) & ~home].tolist())
+
+
+def clusters(rng, count):
+    """Fingerprints in chains and dense balls, and random ones."""
+    found = []
+    while len(found) < count:
+        x = rng.getrandbits(64)
+        for _ in range(rng.choice([1, 1, 3, 60])):
+            found.append(x)
+            base = found[-rng.randrange(1, min(4, len(found)) + 1)]
+            x = base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6)))
+    return sorted(set(found))
+
+
+@pytest.mark.parametrize("homes, rows, pairs", [(8192, 1 << 18, 1 << 21), (3, 40, 16)])
+def test_links_against_all_pairs(spark, monkeypatch, homes, rows, pairs):
+    monkeypatch.setattr(simhash, "ROWS", rows)
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
+    prints = np.array(clusters(random.Random(homes), 600), np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([(p,) for p in prints], "fp long")
+    links = [(r.a, r.b) for r in simhash.fingerprint_links(df, 4, homes).collect()]
+    close = [(a, b) for i, a in enumerate(prints) for b in prints[i + 1:]
+             if ((a ^ b) % (1 << 64)).bit_count() <= 4]
+    assert all(((a ^ b) % (1 << 64)).bit_count() for a, b in links)
+    assert plain_components(links, prints) == plain_components(close, prints)
+    assert len(links) < 20 * len(prints)
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    pairs = ([(i, i + 1) for i in range(0, 40)] + [(100, 200 + i) for i in range(50)]
+             + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(7, 7)])
+    nodes = {n for p in pairs for n in p}
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    want = {n: r for n, r in plain_components(pairs, nodes).items() if n != r}
+    assert got == want
+    assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_hard_rows(docs):
+    got = simhash.near_groups(docs(*TEXTS, (3, "one"), (None, "one"), (None, "alone here"))).collect()
+    assert len(got) == len(TEXTS) + 3
+    want = plain_groups(list(enumerate(TEXTS)))
+    for r in got:
+        if r.doc_id is not None:
+            assert (f"{r.fp % (1 << 64):016x}", r.component_id) == want[r.doc_id]
+    assert sorted(str(r.component_id) for r in got if r.doc_id is None) == ["3", "None"]
+    assert simhash.near_groups(docs("x").limit(0)).collect() == []
+
+
+def test_query_against_all_pairs(spark, documents):
+    want = plain_groups([(r.doc_id, r.text) for r in documents.collect()])
+    got = queries.QUERIES["op6_simhash"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == want
+
+
+def test_one_document_of_a_group_stays(docs):
+    df = docs("a b c d e", "other words in this text", "A b c d  e", (None, "a b c d e"))
+    got = simhash.drop_near(df)
+    assert got.columns == df.columns
+    assert sorted(str(r.doc_id) for r in got.collect()) == ["0", "1", "None"]
