@@ -187,7 +187,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
     schema = T.StructType([*held.schema.fields, T.StructField("sequence_id", T.LongType()),
                            T.StructField("offset", T.LongType())])
 
-    def fit(key, table):
+    def fit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bins, offsets = first_fit_decreasing(table["length"].to_pylist(), capacity)
         first = key[0].as_py() << 32
         return (table.drop_columns(["_group"])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, packing, simhash, substrings, url_lists
+from . import bpe, exact, packing, search, simhash, substrings, toxicity, url_lists, warc
 from .shared import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,32 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
+TOP_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
+r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank,
+    vec_id, score
+  FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
     light = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
@@ -142,6 +168,14 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "component_id")
 
 
+def toxic_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    return toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), toxic_model(spark, sf_dir))
+
+
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.remove_repeats(docs).select(
@@ -150,14 +184,18 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_byte_bpe": byte_bpe,
+    "op3_top_k": top_k,
     "op4_packing": packing_query,
+    "op5_warc": web_archive,
     "op6_simhash": simhash_groups,
+    "op7_toxicity": toxicity_scores,
     "op8_substring_dedup": substring_dedup,
     "op9_url_filters": url_filter,
     "op10_exact_dedup": exact_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op3_top_k": TOP_SQL,
     "op9_url_filters": URL_SQL,
     "op10_exact_dedup": EXACT_SQL,
 }
