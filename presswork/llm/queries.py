@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, packing, search, simhash, substrings, toxicity, url_lists, warc
+from . import bpe, exact, languages, packing, search, simhash, substrings, toxicity, url_lists, warc
 from .shared import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page, by all evidence, and of every document, by its text and source.
+
+    The text model is made from documents that are not held out by
+    ``toxicity.held_out``; ``lang`` is no evidence for a document.
+    """
+    docs = table(spark, sf_dir, "documents")
+    held_out = toxicity.held_out(F.col("doc_id"))
+    model = languages.train_text_model(docs.where(~held_out))
+    none = F.lit(None)
+    pages = languages.page_records(table(spark, sf_dir, "pages")).withColumns(
+        {"doc_id": none.cast("long"), "held_out": none.cast("boolean")})
+    texts = docs.select("doc_id", "text", F.col("source").alias("host"), held_out.alias("held_out")
+                        ).withColumns({"page_id": none.cast("long"), **{
+                            name: none.cast("string") for name in ("declared", "domain", "suffix")}})
+    found = languages.identify(pages.unionByName(texts), model)
+    return found.select("page_id", "doc_id", "held_out", "declared", "host", "text_language",
+                        "language", "confidence")
+
+
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ids = bpe.bpe_encode(F.col("text"), ranks).alias("ids")
@@ -183,6 +203,7 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_language_id": language_id,
     "op2_byte_bpe": byte_bpe,
     "op3_top_k": top_k,
     "op4_packing": packing_query,

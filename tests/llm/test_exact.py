@@ -1,0 +1,54 @@
+import hashlib
+import re
+
+import pytest
+
+from presswork.llm import exact
+
+
+def plain(rows):
+    body = [(d, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for d, t in rows]
+    groups = {}
+    for d, b in body:
+        groups.setdefault(b, []).append(d)
+    result = []
+    for d, b in body:
+        ids = [i for i in groups[b] if i is not None]
+        keep = min(ids) if ids else None
+        result.append((d, keep, len(groups[b]), d == keep, hashlib.sha256(b.encode()).hexdigest()))
+    return sorted(result, key=str)
+
+
+ROWS = [(5, None), (4, ""), (9, " "), (8, "\t\n"), (3, "a b"), (2, "a  b"), (1, "a\x0bb"), (7, "a\x1cb"),
+        (6, " a b"), (2, "a  b"), (None, "a b"), (None, "only null"), (None, "only null"),
+        (11, "x" * 100 + "1"), (12, "x" * 100 + "2"), (13, "x" * 100 + "1"), (14, "é" * 70), (15, "long " * 30_000)]
+
+
+@pytest.mark.parametrize("prefix", [1, 64])
+def test_groups(docs, prefix):
+    df = docs(*ROWS)
+    got = sorted((tuple(r) for r in exact.exact_groups(df, prefix_chars=prefix, digest_all=True).collect()), key=str)
+    assert got == plain(ROWS)
+    lazy = exact.exact_groups(df, prefix_chars=prefix).collect()
+    assert sorted((tuple(r)[:4] for r in lazy), key=str) == sorted((r[:4] for r in plain(ROWS)), key=str)
+    hashed = {r.doc_id for r in lazy if r.text_sha256}
+    assert {11, 13, 1, 2, 3, 4, 5} <= hashed and not hashed & {14, 15, 6}
+    assert exact.exact_groups(df.limit(0)).collect() == []
+
+
+def test_only_survivors_are_hashed_whole(docs):
+    df = docs("x" * 100 + "1", "y" * 100 + "1", "z" * 50)
+    assert [r.text_sha256 for r in exact.exact_groups(df).collect()] == [None] * 3
+
+
+def test_repeats_go_and_columns_stay(docs):
+    df = docs(*ROWS)
+    got = exact.drop_exact(df)
+    assert got.columns == df.columns
+    kept = sorted((str(r.doc_id) for r in got.collect()))
+    assert kept == sorted([str(d) for d, _, _, k, _ in plain(ROWS) if k or d is None])
+
+
+def test_main_path_is_native(docs):
+    plan = exact.exact_groups(docs("a"))._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
