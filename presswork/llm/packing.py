@@ -10,7 +10,7 @@ from .shared import per_process, plain, stored
 CAPACITY = 2048
 GROUP_ROWS = 4096
 SEED = 17
-#: Words whose ids a worker remembers at most.
+#: Words after which a worker begins to forget those that it has not met since.
 REMEMBERED = 500_000
 
 
@@ -29,7 +29,7 @@ class WordIds(dict):
         import numpy as np
 
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.older = tokenizer, {}
         ends = {i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")}
         self.ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
         self.ends[sorted(ends)] = True
@@ -56,7 +56,7 @@ class WordIds(dict):
         stems = {s for s in cut.values() if s not in self} | (words - cut.keys())
         letters = [s for s in stems if s.isalpha() and max(s) < "Ā"]
         signs = {w[len(s):] for w, s in cut.items()}
-        others = list((stems.difference(letters) | signs) - self.keys())
+        others = [w for w in stems.difference(letters) | signs if w not in self]
         for got, word in zip(self.tokenizer.encode_batch_fast(others, add_special_tokens=False), others):
             self[word] = np.array(got.ids, dtype="<u4").tobytes()
         texts = [letters[i:i + 256] for i in range(0, len(letters), 256)]
@@ -82,11 +82,14 @@ class WordIds(dict):
             while to < len(text) and text[to] != " ":
                 to += 1
             words = self.words(text[at:to])
-            unseen = set(words).difference(self)
+            unseen = {w for w in words if w not in self}
             if len(self) + len(unseen) > REMEMBERED:
+                self.older = dict(self)
                 self.clear()
                 unseen = set(words)
-            if unseen:
+            again = {w: self.older[w] for w in unseen if w in self.older}
+            self.update(again)
+            if unseen := unseen - again.keys():
                 self.learn(unseen)
             parts.append(b"".join(map(self.__getitem__, words)))
             at = to
