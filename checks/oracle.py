@@ -71,14 +71,14 @@ def _machine_kpi(where: str = "TRUE", limit: int | None = 100) -> str:
         {_order("pieces DESC", "1, 2")} {_limit(limit)}"""
 
 
-def _machine_kpi_summary() -> str:
+def _machine_kpi_summary(limit: int | None = None) -> str:
     return f"""SELECT 'CELKEM' AS machine_code, 'Souhrn za výběr' AS machine_name,
             CAST(SUM(pieces) AS BIGINT) AS pieces,
             CAST(SUM(scrap_pieces) AS BIGINT) AS scrap_pieces,
             {_pct("SUM(scrap_pieces)", "SUM(pieces)")} AS scrap_pct,
             {_round("CASE WHEN SUM(pieces) > 0 THEN SUM(oee_pct * pieces) / SUM(pieces) "
                     "ELSE AVG(oee_pct) END")} AS oee_pct
-        FROM ({_machine_kpi()}) HAVING COUNT(*) > 0"""
+        FROM ({_machine_kpi(limit=limit)}) HAVING COUNT(*) > 0"""
 
 
 def _mold_kpi(where: str = "TRUE", limit: int | None = 30) -> str:
@@ -95,26 +95,32 @@ def _machines_where(condition: str) -> str:
     return f"machine_code IN (SELECT machine_code FROM production_results WHERE {condition})"
 
 
-def _downtime_pareto(where: str = "TRUE", limit: int | None = 15) -> str:
-    return f"""WITH shown AS (
+def _downtime_pareto(
+    where: str = "TRUE", limit: int | None = 15, share_of: str = "causes"
+) -> str:
+    return f"""WITH causes AS (
             SELECT COALESCE(NULLIF(TRIM(reason_label), ''), reason_code) AS reason,
                 {_round("SUM(duration_s) / 3600.0e0")} AS hours, COUNT(*) AS stops
             FROM downtimes WHERE duration_s > 0 AND {where}
             GROUP BY reason_label, reason_code
-            {_order("SUM(duration_s) DESC", "1, 3")} {_limit(limit)})
+            {_order("SUM(duration_s) DESC", "1, 3")}),
+        shown AS (SELECT * FROM causes {_limit(limit)})
         SELECT reason, hours, stops, hours AS available_h,
-            {_pct("hours", "(SELECT SUM(hours) FROM shown)")} AS share_pct FROM shown"""
+            {_pct("hours", f"(SELECT SUM(hours) FROM {share_of})")} AS share_pct FROM shown"""
 
 
-def _scrap_pareto(where: str = "TRUE", limit: int | None = 15) -> str:
-    return f"""WITH shown AS (
+def _scrap_pareto(
+    where: str = "TRUE", limit: int | None = 15, share_of: str = "causes"
+) -> str:
+    return f"""WITH causes AS (
             SELECT COALESCE(NULLIF(TRIM(defect_label), ''), defect_code) AS defect,
                 CAST(SUM(qty) AS BIGINT) AS pieces
             FROM scraps WHERE qty > 0 AND {where}
             GROUP BY defect_label, defect_code
-            {_order("2 DESC", "1")} {_limit(limit)})
+            {_order("2 DESC", "1")}),
+        shown AS (SELECT * FROM causes {_limit(limit)})
         SELECT defect, pieces,
-            {_pct("pieces", "(SELECT SUM(pieces) FROM shown)")} AS share_pct FROM shown"""
+            {_pct("pieces", f"(SELECT SUM(pieces) FROM {share_of})")} AS share_pct FROM shown"""
 
 
 def _downtime_log(limit: int | None = 100) -> str:
@@ -128,21 +134,21 @@ def _downtime_log(limit: int | None = 100) -> str:
 
 # --- energy ---
 
-def _energy_alerts(where: str = "TRUE") -> str:
+def _energy_alerts(where: str = "TRUE", limit: int | None = 5000) -> str:
     return f"""SELECT shift_start, shift_end, machine_code, shift, order_type, event_type,
             alert_start, alert_end, {_round("COALESCE(kwh, 0)")} AS kwh
         FROM energy_alerts WHERE {where}
-        {_order("shift_start DESC", "2, 3, 4, 5, 6, 7, 8, 9")} LIMIT 5000"""
+        {_order("shift_start DESC", "2, 3, 4, 5, 6, 7, 8, 9")} {_limit(limit)}"""
 
 
-def _energy_alert_rollup() -> str:
+def _energy_alert_rollup(where: str = "TRUE", limit: int | None = None) -> str:
     return f"""SELECT COALESCE(NULLIF(TRIM(machine_code), ''), 'Neznámý lis') AS machine_code,
             COUNT(*) AS alerts,
             {_round("SUM(CASE WHEN alert_end > alert_start THEN "
                     "(EPOCH_US(alert_end) - EPOCH_US(alert_start)) / 3.6e9 ELSE 0e0 END)")}
             AS hours,
             {_round("SUM(kwh)")} AS kwh
-        FROM ({_energy_alerts()}) GROUP BY 1"""
+        FROM ({_energy_alerts(where, limit)}) GROUP BY 1"""
 
 
 def _energy_live() -> str:
@@ -237,6 +243,19 @@ def _mold_changes(where: str = "TRUE", limit: int | None = 500) -> str:
         {_order("old_end DESC", columns)} {_limit(limit)}"""
 
 
+def _mold_change_quality(limit: int | None = None) -> str:
+    return f"""SELECT COUNT(*) AS changes,
+            COUNT(*) FILTER (WHERE time_source = 'PROSTOJ') AS precise_changes,
+            COUNT(*) FILTER (WHERE time_source = 'DEBEQU') AS estimated_changes
+        FROM ({_mold_changes(limit=limit)})"""
+
+
+def _mold_change_trend(where: str = "TRUE") -> str:
+    return f"""SELECT CAST(old_end AS DATE) AS day, COUNT(*) AS changes,
+            {_round("AVG(minutes)", 1)} AS avg_min
+        FROM ({_timed_changes(where)}) GROUP BY 1"""
+
+
 def _mold_change_kpi(where: str = "TRUE") -> str:
     return f"""SELECT machine_code, COUNT(*) AS changes,
             COUNT(*) FILTER (WHERE time_source = 'PROSTOJ') AS precise_changes,
@@ -328,20 +347,20 @@ def _trend(where: str = "TRUE") -> str:
         FROM {_USED_BOM} WHERE {_MADE} AND {where} GROUP BY 1"""
 
 
-def _materials(where: str = "TRUE") -> str:
+def _materials(where: str = "TRUE", limit: int | None = 50) -> str:
     keys = "b.material_code, c.material_name, c.unit"
     return f"""SELECT b.material_code, COALESCE(c.material_name, b.material_code) AS material_name,
             COALESCE(c.unit, 'KG') AS unit, COUNT(DISTINCT r.order_code) AS orders,
             COUNT(DISTINCT r.machine_code) AS machines, {_round(f"SUM({_SPENT})")} AS total_kg,
             {_round("SUM(qty_per_piece * COALESCE(qty_scrap, 0))")} AS scrap_kg
         FROM {_WITH_TEXTS} WHERE {_MADE} AND {where} GROUP BY {keys}
-        {_order("total_kg DESC", keys)} LIMIT 50"""
+        {_order("total_kg DESC", keys)} {_limit(limit)}"""
 
 
-def _totals() -> str:
+def _totals(limit: int | None = None) -> str:
     def kilos(column: str) -> str:
         return f"{_round(f'COALESCE(SUM({column}), 0)')} AS {column}"
-    return f"""WITH future AS ({_planned()}), past AS ({_by_order()})
+    return f"""WITH future AS ({_planned(limit=limit)}), past AS ({_by_order(limit=limit)})
         SELECT f.*, p.*, {_pct("p.scrap_kg", "p.total_kg")} AS scrap_share_pct FROM (
             SELECT {kilos("needed_kg")}, {kilos("planned_kg")}, {kilos("used_kg")},
                 CAST(COALESCE(SUM(remaining_pieces), 0) AS BIGINT) AS remaining_pieces,
@@ -363,6 +382,8 @@ def _row_counts() -> str:
         ORDER BY row_count DESC, table_name LIMIT 20"""
 
 
+_MACHINES = "machine_code IN ('3', '7', '11', '42')"
+_ARTICLES = "product_code IN (" + ", ".join(f"'{n}'" for n in range(1, 60)) + ")"
 _USE = f"{RUN_DAYS} AND shift = 'A' AND b.material_code = 'PROMO'"
 _CLICK_VIEW = _days("shift_start", *EVENT_DAYS)
 
@@ -388,17 +409,12 @@ BODIES: dict[str, str] = {
     "sap_orders": _sap_orders(),
     "downtime_log": _downtime_log(),
     "mold_changes": _mold_changes(),
-    "mold_change_quality": f"""SELECT COUNT(*) AS changes,
-            COUNT(*) FILTER (WHERE time_source = 'PROSTOJ') AS precise_changes,
-            COUNT(*) FILTER (WHERE time_source = 'DEBEQU') AS estimated_changes
-        FROM ({_mold_changes()})""",
+    "mold_change_quality": _mold_change_quality(),
     "mold_change_kpi": _mold_change_kpi(),
     "mold_change_kpi_summary": f"""SELECT CAST(COALESCE(SUM(changes), 0) AS BIGINT) AS changes,
             COALESCE({_round("SUM(avg_min * changes) / SUM(changes)", 1)}, 0e0) AS avg_min
         FROM ({_mold_change_kpi()})""",
-    "mold_change_trend": f"""SELECT CAST(old_end AS DATE) AS day, COUNT(*) AS changes,
-            {_round("AVG(minutes)", 1)} AS avg_min
-        FROM ({_timed_changes()}) GROUP BY 1""",
+    "mold_change_trend": _mold_change_trend(),
     "materials_list": _materials_list(),
     "planned_material_need": _planned(),
     "material_use_by_order": _by_order(),
@@ -444,6 +460,33 @@ BODIES: dict[str, str] = {
     "material_use_by_order__filtered": _by_order(_USE),
     "material_daily_trend__filtered": _trend(_USE),
     "material_summary__filtered": _materials(RUNS_FILTER),
+    "machine_kpi_summary__shown": _machine_kpi_summary(20),
+    "energy_alert_rollup__shown": _energy_alert_rollup(limit=500),
+    "mold_change_quality__shown": _mold_change_quality(100),
+    "material_totals__shown": _totals(500),
+    "downtime_pareto__shown": _downtime_pareto(share_of="shown"),
+    "scrap_pareto__shown": _scrap_pareto(share_of="shown"),
+    "machine_kpi__codes": _machine_kpi(f"{_MACHINES} AND {_ARTICLES}"),
+    "mold_kpi__codes": _mold_kpi(f"{_MACHINES} AND {_ARTICLES}"),
+    "mold_kpi__all": _mold_kpi(limit=None),
+    "downtime_pareto__codes": _downtime_pareto(_MACHINES),
+    "scrap_pareto__codes": _scrap_pareto(f"{_MACHINES} AND {_ARTICLES}"),
+    "energy_alerts__codes": _energy_alerts(_MACHINES),
+    "energy_alert_rollup__codes": _energy_alert_rollup(_MACHINES),
+    "energy_alert_rollup__days": _energy_alert_rollup(_days("shift_start", *EVENT_DAYS)),
+    "energy_stops__codes": _energy_stops(_MACHINES),
+    "operator_time__operator": _operator_time("operator_code = '11'"),
+    "sap_orders__codes": _sap_orders(f"{_MACHINES} AND {_ARTICLES}"),
+    "sap_orders__machines": _sap_orders(_MACHINES),
+    "mold_changes__codes": _mold_changes(_MACHINES),
+    "mold_change_kpi__codes": _mold_change_kpi(_MACHINES),
+    "mold_change_trend__codes": _mold_change_trend(_MACHINES),
+    "mold_change_trend__days": _mold_change_trend(_CLICK_VIEW),
+    "planned_material_need__codes": _planned(_MACHINES),
+    "material_use_by_order__codes": _by_order(_MACHINES),
+    "material_daily_trend__codes": _trend(_MACHINES),
+    "material_summary__codes": _materials(_MACHINES),
+    "material_summary__all": _materials(limit=None),
 }
 
 

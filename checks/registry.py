@@ -13,18 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from presswork import FilterSpec
 from presswork import operators as ops
-from presswork.sources.bindings import bound, bound_tables, production_results
+from presswork.sources.bindings import bound, bound_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-RUN_KEYS = ("shift_start", "shift", "workshop", "mold_code", "product_code")
-MACHINE_KPI = ("machine_code", "machine_name", "qty_made", "qty_scrap", "availability",
-               "performance", "quality", "time_open", "time_useful")
-MOLD_KPI = ("mold_code", "mold_name", "qty_made", "qty_scrap", "time_open", "time_useful")
-CONSUMPTION = ("order_code", "product_code", "bom_revision", "shift_start", "machine_code",
-               "qty_made", "qty_good", "qty_scrap")
-BY_ORDER = (*CONSUMPTION, "machine_name", "product_name", "shift_end")
-
 NO_FILTER = FilterSpec()
 RUNS_FILTER = FilterSpec(start_date="1997-01-01", end_date="1999-12-31", shift="A",
                          workshop="NATION_3")
@@ -38,28 +30,36 @@ USE_FILTER = FilterSpec(start_date="1997-01-01", end_date="1999-12-31", shift="A
                         material="PROMO")
 
 
-def _results(*columns: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf: production_results(spark, sf, *dict.fromkeys(columns))
+MACHINES = ("3", "7", "11", "42")
+ARTICLES = tuple(str(n) for n in range(1, 60))
+CODES = FilterSpec(machines=MACHINES, articles=ARTICLES)
+MACHINES_ONLY = FilterSpec(machines=MACHINES)
+
 
+def _results(spark, sf):
+    return bound(spark, sf, "production_results")
 
-def _machines(spark, sf, spec=NO_FILTER, limit=100, extra=()):
-    return ops.machine_kpi(_results(*MACHINE_KPI, *extra)(spark, sf), spec, limit)
 
+def _machines(spark, sf, spec=NO_FILTER, limit=100):
+    return ops.machine_kpi(_results(spark, sf), spec, limit)
 
-def _molds(spark, sf, spec=NO_FILTER, limit=30, extra=()):
-    return ops.mold_kpi(_results(*MOLD_KPI, *extra)(spark, sf), spec, limit)
 
+def _molds(spark, sf, spec=NO_FILTER, limit=30):
+    return ops.mold_kpi(_results(spark, sf), spec, limit)
 
-def _downtimes(spark, sf, spec=NO_FILTER, limit=15):
+
+def _downtimes(spark, sf, spec=NO_FILTER, limit=15, share_of="all"):
     return ops.downtime_pareto(
-        bound(spark, sf, "downtimes"),
-        production_results(spark, sf, "machine_code", "workshop", "mold_code"), spec, limit)
+        bound(spark, sf, "downtimes"), _results(spark, sf), spec, limit, share_of)
 
 
-def _scraps(spark, sf, spec=NO_FILTER, limit=15):
+def _scraps(spark, sf, spec=NO_FILTER, limit=15, share_of="all"):
     return ops.scrap_pareto(
-        bound(spark, sf, "scraps"),
-        production_results(spark, sf, "machine_code", "workshop", "mold_code"), spec, limit)
+        bound(spark, sf, "scraps"), _results(spark, sf), spec, limit, share_of)
+
+
+def _alerts(operator, spark, sf, *args):
+    return operator(bound(spark, sf, "energy_alerts"), *args)
 
 
 def _downtime_log(spark, sf, limit=100):
@@ -83,21 +83,19 @@ def _planned(spark, sf, spec=NO_FILTER, limit=500):
         spec, limit)
 
 
-def _by_order(spark, sf, spec=NO_FILTER, limit=500, extra=()):
+def _by_order(spark, sf, spec=NO_FILTER, limit=500):
     t = bound_tables(spark, sf)
-    return ops.material_use_by_order(
-        _results(*BY_ORDER, *extra)(spark, sf), t.bom, t.consumables, spec, limit)
+    return ops.material_use_by_order(t.production_results, t.bom, t.consumables, spec, limit)
 
 
-def _trend(spark, sf, spec=NO_FILTER, extra=()):
-    return ops.material_daily_trend(
-        _results(*CONSUMPTION, *extra)(spark, sf), bound(spark, sf, "bom"), spec)
+def _trend(spark, sf, spec=NO_FILTER):
+    t = bound_tables(spark, sf)
+    return ops.material_daily_trend(t.production_results, t.bom, spec)
 
 
-def _materials(spark, sf, spec=NO_FILTER, limit=50, extra=()):
+def _materials(spark, sf, spec=NO_FILTER, limit=50):
     t = bound_tables(spark, sf)
-    return ops.material_summary(
-        _results(*CONSUMPTION, *extra)(spark, sf), t.bom, t.consumables, spec, limit)
+    return ops.material_summary(t.production_results, t.bom, t.consumables, spec, limit)
 
 
 def _materials_list(spark, sf):
@@ -109,29 +107,24 @@ def _operator_time(spark, sf, *args):
     return ops.operator_time(bound(spark, sf, "operator_log"), *args)
 
 
-def _option(operator, code, *label):
-    return lambda spark, sf: operator(_results(code, *label)(spark, sf))
-
-
-def _choices(operator, code, label, spec):
-    return lambda spark, sf: operator(
-        _results(code, label, "workshop", "mold_code")(spark, sf), spec)
+def _choices(operator, *spec):
+    return lambda spark, sf: operator(_results(spark, sf), *spec)
 
 
 # One per operator.
 HEADLINE: dict[str, Query] = {
-    "filter_machines": _option(ops.filter_machines, "machine_code", "machine_name"),
-    "filter_shifts": _option(ops.filter_shifts, "shift"),
-    "filter_workshops": _option(ops.filter_workshops, "workshop"),
-    "filter_articles": _option(ops.filter_articles, "product_code", "product_name"),
-    "filter_molds": _option(ops.filter_molds, "mold_code", "mold_name"),
+    "filter_machines": _choices(ops.filter_machines),
+    "filter_shifts": _choices(ops.filter_shifts),
+    "filter_workshops": _choices(ops.filter_workshops),
+    "filter_articles": _choices(ops.filter_articles),
+    "filter_molds": _choices(ops.filter_molds),
     "machine_kpi": _machines,
-    "machine_kpi_summary": lambda s, sf: ops.machine_kpi_summary(_machines(s, sf)),
+    "machine_kpi_summary": lambda s, sf: ops.machine_kpi_summary(_machines(s, sf, limit=None)),
     "mold_kpi": _molds,
     "downtime_pareto": _downtimes,
     "scrap_pareto": _scraps,
-    "energy_alerts": lambda s, sf: ops.energy_alerts(bound(s, sf, "energy_alerts")),
-    "energy_alert_rollup": lambda s, sf: ops.energy_alert_rollup(bound(s, sf, "energy_alerts")),
+    "energy_alerts": lambda s, sf: _alerts(ops.energy_alerts, s, sf),
+    "energy_alert_rollup": lambda s, sf: _alerts(ops.energy_alert_rollup, s, sf),
     "energy_live": lambda s, sf: ops.energy_live(bound(s, sf, "energy_readings")),
     "energy_live_summary": lambda s, sf: ops.energy_live_summary(
         ops.energy_live(bound(s, sf, "energy_readings"))),
@@ -143,7 +136,7 @@ HEADLINE: dict[str, Query] = {
     "downtime_log": _downtime_log,
     "mold_changes": lambda s, sf: _changes(ops.mold_changes, s, sf),
     "mold_change_quality": lambda s, sf: ops.mold_change_quality(
-        _changes(ops.mold_changes, s, sf)),
+        _changes(ops.mold_changes, s, sf, NO_FILTER, None)),
     "mold_change_kpi": lambda s, sf: _changes(ops.mold_change_kpi, s, sf),
     "mold_change_kpi_summary": lambda s, sf: ops.mold_change_kpi_summary(
         _changes(ops.mold_change_kpi, s, sf)),
@@ -153,29 +146,29 @@ HEADLINE: dict[str, Query] = {
     "material_use_by_order": _by_order,
     "material_daily_trend": _trend,
     "material_summary": _materials,
-    "material_totals": lambda s, sf: ops.material_totals(_planned(s, sf), _by_order(s, sf)),
+    "material_totals": lambda s, sf: ops.material_totals(
+        _planned(s, sf, limit=None), _by_order(s, sf, limit=None)),
     "table_row_counts": lambda s, sf: ops.table_row_counts(bound_tables(s, sf)),
 }
 
 # Reports without their limit, and reports under filters.
 VARIANTS: dict[str, Query] = {
     "filter_articles__narrowed": _choices(
-        ops.filter_articles, "product_code", "product_name",
+        ops.filter_articles,
         FilterSpec(workshop="NATION_3", molds=["Brand#2", "Brand#7", "Brand#11"])),
     "filter_molds__narrowed": _choices(
-        ops.filter_molds, "mold_code", "mold_name", FilterSpec(workshop="NATION_3")),
+        ops.filter_molds, FilterSpec(workshop="NATION_3")),
     "machine_kpi__all": lambda s, sf: _machines(s, sf, limit=None),
-    "machine_kpi__filtered": lambda s, sf: _machines(s, sf, RUNS_FILTER, extra=RUN_KEYS),
-    "machine_kpi__molds": lambda s, sf: _machines(s, sf, MOLD_FILTER, extra=RUN_KEYS),
-    "mold_kpi__filtered": lambda s, sf: _molds(s, sf, RUNS_FILTER, extra=RUN_KEYS),
+    "machine_kpi__filtered": lambda s, sf: _machines(s, sf, RUNS_FILTER),
+    "machine_kpi__molds": lambda s, sf: _machines(s, sf, MOLD_FILTER),
+    "mold_kpi__filtered": lambda s, sf: _molds(s, sf, RUNS_FILTER),
     "downtime_pareto__all": lambda s, sf: _downtimes(s, sf, limit=None),
     "downtime_pareto__filtered": lambda s, sf: _downtimes(s, sf, EVENT_FILTER),
     "scrap_pareto__all": lambda s, sf: _scraps(s, sf, limit=None),
     "scrap_pareto__filtered": lambda s, sf: _scraps(s, sf, FilterSpec(
         start_date="1997-01-01", end_date="1999-12-31", shift="A", workshop="NATION_3",
         molds=["Brand#2", "Brand#7", "Brand#11"])),
-    "energy_alerts__days": lambda s, sf: ops.energy_alerts(
-        bound(s, sf, "energy_alerts"), EVENT_DAYS),
+    "energy_alerts__days": lambda s, sf: _alerts(ops.energy_alerts, s, sf, EVENT_DAYS),
     "energy_stops__all": lambda s, sf: ops.energy_stops(
         bound(s, sf, "energy_stops"), limit=None),
     "energy_stops__days": lambda s, sf: ops.energy_stops(
@@ -196,9 +189,45 @@ VARIANTS: dict[str, Query] = {
     "planned_material_need__material": lambda s, sf: _planned(s, sf, MATERIAL_FILTER),
     "material_use_by_order__all": lambda s, sf: _by_order(s, sf, limit=None),
     "material_use_by_order__filtered": lambda s, sf: _by_order(
-        s, sf, USE_FILTER, extra=RUN_KEYS),
-    "material_daily_trend__filtered": lambda s, sf: _trend(s, sf, USE_FILTER, extra=RUN_KEYS),
-    "material_summary__filtered": lambda s, sf: _materials(s, sf, RUNS_FILTER, extra=RUN_KEYS),
+        s, sf, USE_FILTER),
+    "material_daily_trend__filtered": lambda s, sf: _trend(s, sf, USE_FILTER),
+    "material_summary__filtered": lambda s, sf: _materials(s, sf, RUNS_FILTER),
+    # Totals and shares of the rows shown only.
+    "machine_kpi_summary__shown": lambda s, sf: ops.machine_kpi_summary(
+        _machines(s, sf, limit=20)),
+    "energy_alert_rollup__shown": lambda s, sf: _alerts(
+        ops.energy_alert_rollup, s, sf, NO_FILTER, 500),
+    "mold_change_quality__shown": lambda s, sf: ops.mold_change_quality(
+        _changes(ops.mold_changes, s, sf, NO_FILTER, 100)),
+    "material_totals__shown": lambda s, sf: ops.material_totals(_planned(s, sf), _by_order(s, sf)),
+    "downtime_pareto__shown": lambda s, sf: _downtimes(s, sf, share_of="shown"),
+    "scrap_pareto__shown": lambda s, sf: _scraps(s, sf, share_of="shown"),
+    # Machines and articles.
+    "machine_kpi__codes": lambda s, sf: _machines(s, sf, CODES),
+    "mold_kpi__codes": lambda s, sf: _molds(s, sf, CODES),
+    "mold_kpi__all": lambda s, sf: _molds(s, sf, limit=None),
+    "downtime_pareto__codes": lambda s, sf: _downtimes(s, sf, CODES),
+    "scrap_pareto__codes": lambda s, sf: _scraps(s, sf, CODES),
+    "energy_alerts__codes": lambda s, sf: _alerts(ops.energy_alerts, s, sf, MACHINES_ONLY),
+    "energy_alert_rollup__codes": lambda s, sf: _alerts(
+        ops.energy_alert_rollup, s, sf, MACHINES_ONLY),
+    "energy_alert_rollup__days": lambda s, sf: _alerts(
+        ops.energy_alert_rollup, s, sf, EVENT_DAYS),
+    "energy_stops__codes": lambda s, sf: ops.energy_stops(
+        bound(s, sf, "energy_stops"), MACHINES_ONLY),
+    "operator_time__operator": lambda s, sf: _operator_time(s, sf, None, None, " 11 "),
+    "sap_orders__codes": lambda s, sf: _sap_orders(s, sf, CODES),
+    "sap_orders__machines": lambda s, sf: _sap_orders(s, sf, MACHINES_ONLY),
+    "mold_changes__codes": lambda s, sf: _changes(ops.mold_changes, s, sf, MACHINES_ONLY),
+    "mold_change_kpi__codes": lambda s, sf: _changes(ops.mold_change_kpi, s, sf, MACHINES_ONLY),
+    "mold_change_trend__codes": lambda s, sf: _changes(
+        ops.mold_change_trend, s, sf, MACHINES_ONLY),
+    "mold_change_trend__days": lambda s, sf: _changes(ops.mold_change_trend, s, sf, EVENT_DAYS),
+    "planned_material_need__codes": lambda s, sf: _planned(s, sf, MACHINES_ONLY),
+    "material_use_by_order__codes": lambda s, sf: _by_order(s, sf, MACHINES_ONLY),
+    "material_daily_trend__codes": lambda s, sf: _trend(s, sf, MACHINES_ONLY),
+    "material_summary__codes": lambda s, sf: _materials(s, sf, MACHINES_ONLY),
+    "material_summary__all": lambda s, sf: _materials(s, sf, limit=None),
 }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,12 +16,16 @@ def _text(value: str | None) -> str | None:
 
 
 def _day(value: str | date | None) -> date | None:
+    if isinstance(value, datetime):
+        return value.date()
     if value is None or isinstance(value, date):
         return value
     return date.fromisoformat(value.strip()) if value.strip() else None
 
 
-def _codes(values: Iterable[str] | None) -> tuple[str, ...] | None:
+def _codes(values: str | Iterable[str] | None) -> tuple[str, ...] | None:
+    if isinstance(values, str):
+        values = (values,) if values.strip() else ()
     values = tuple(values or ())
     if not values or ALL in values:
         return None
@@ -34,16 +38,17 @@ class FilterSpec:
 
     Blank texts, empty lists and lists that hold ``"ALL"`` mean "no
     restriction". ``"ALL"`` is an ordinary value for shift and workshop.
-    Days are inclusive at both ends.
+    Days are inclusive at both ends; a bound with a time stands for its day. A
+    single text for a list field is a list of that text.
     """
 
     start_date: str | date | None = None
     end_date: str | date | None = None
     shift: str | None = None
     workshop: str | None = None
-    machines: Iterable[str] | None = None
-    molds: Iterable[str] | None = None
-    articles: Iterable[str] | None = None
+    machines: str | Iterable[str] | None = None
+    molds: str | Iterable[str] | None = None
+    articles: str | Iterable[str] | None = None
     material: str | None = None
 
     def __post_init__(self) -> None:

@@ -1,10 +1,10 @@
 """Column helpers; all of them are compositions of built-in functions."""
 
-from presswork.functions.numbers import or_zero, percent, round_to
+from presswork.functions.numbers import or_zero, percent, round_to, share
 from presswork.functions.text import clean, label_or_code
 from presswork.functions.times import epoch_seconds, hours_between, minute_diff
 
 __all__ = [
     "clean", "epoch_seconds", "hours_between", "label_or_code", "minute_diff", "or_zero",
-    "percent", "round_to",
+    "percent", "round_to", "share",
 ]

@@ -18,3 +18,8 @@ def percent(part: Column, whole: Column) -> Column:
     """``part / whole * 100`` to two places; 0 if the whole is 0 or missing."""
     ratio = F.when(whole != 0, part / whole * F.lit(100.0)).otherwise(F.lit(0.0))
     return round_to(ratio, 2)
+
+
+def share(part: Column, whole: Column) -> Column:
+    """Percentage of a total; 0 also if corrections make the total negative."""
+    return percent(part, F.when(whole > 0, whole))

@@ -10,7 +10,7 @@ from presswork.plans.containment import latest_end_within
 from presswork.plans.ranking import ranked
 from presswork.plans.sequence import value_switches
 
-# A change takes 1 minute to 8 hours; anything else is an anomaly.
+# Fixed values of the result: a change takes 1 minute to 8 hours; anything else is an anomaly.
 MIN_MINUTES, MAX_MINUTES = 1, 480
 # Stops count from 30 minutes before the old run's end to 16 hours after it.
 BEFORE_S, AFTER_S = 30 * 60, 16 * 3600
@@ -108,7 +108,10 @@ def mold_changes(
 
 
 def mold_change_quality(changes: DataFrame) -> DataFrame:
-    """How many of the rows of :func:`mold_changes` have a precise start."""
+    """How many of the rows of :func:`mold_changes` have a precise start.
+
+    For the quality of all changes give it the changes without a limit.
+    """
     return changes.agg(
         F.count(F.lit(1)).alias("changes"),
         _precise().alias("precise_changes"),

@@ -8,7 +8,7 @@ from presswork.filters import EVERYTHING, FilterSpec
 from presswork.functions import hours_between, or_zero, round_to
 from presswork.plans.ranking import newest, ranked
 
-# Fixed value of the result.
+# Fixed values of the result.
 UNKNOWN_MACHINE = "Neznámý lis"
 ACTIVE_KW = 1.0
 
@@ -25,9 +25,9 @@ def energy_alerts(
 
 
 def energy_alert_rollup(
-    alerts: DataFrame, spec: FilterSpec = EVERYTHING, limit: int | None = 5000
+    alerts: DataFrame, spec: FilterSpec = EVERYTHING, limit: int | None = None
 ) -> DataFrame:
-    """Alerts, hours and consumption per machine over the rows of :func:`energy_alerts`.
+    """Alerts, hours and consumption per machine over all alerts, or the latest ``limit``.
 
     An alert without an end after its start is counted with 0 hours.
     """

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from presswork.filters import EVERYTHING, FilterSpec, on_matching_machines
 from presswork.functions import label_or_code, round_to
-from presswork.plans.ranking import newest, ranked, share_of_total
+from presswork.plans.ranking import among, newest, ranked, share_of_total
 
 
 def _by_cause(
@@ -28,14 +28,21 @@ def _by_cause(
     )
 
 
+def _whole(causes: DataFrame, shown: DataFrame, share_of: str) -> DataFrame:
+    if share_of not in ("all", "shown"):
+        raise ValueError(f"shares are of 'all' or 'shown' causes, not of {share_of!r}")
+    return causes if share_of == "all" else shown
+
+
 def downtime_pareto(
     downtimes: DataFrame, results: DataFrame, spec: FilterSpec = EVERYTHING,
-    limit: int | None = 15,
+    limit: int | None = 15, share_of: str = "all",
 ) -> DataFrame:
     """Hours and number of stops per reason, most hours first.
 
-    Shares are of the rounded hours of the rows shown. ``available_h`` repeats
-    the hours. The article filter does not apply.
+    Shares are of the rounded hours of all reasons, or with ``share_of="shown"``
+    of those within the limit. ``available_h`` repeats the hours. The article
+    filter does not apply.
     """
     stops = spec.apply(
         downtimes.where(F.col("duration_s") > 0),
@@ -49,7 +56,7 @@ def downtime_pareto(
         "stops", "_seconds",
     )
     shown = ranked(causes, F.desc("_seconds"), limit=limit)
-    share = share_of_total(shown, "hours", limit)
+    share = share_of_total(_whole(causes, shown, share_of), "hours")
     return shown.select(
         "reason", "hours", "stops", F.col("hours").alias("available_h"),
         share.alias("share_pct"))
@@ -57,9 +64,13 @@ def downtime_pareto(
 
 def scrap_pareto(
     scraps: DataFrame, results: DataFrame, spec: FilterSpec = EVERYTHING,
-    limit: int | None = 15,
+    limit: int | None = 15, share_of: str = "all",
 ) -> DataFrame:
-    """Scrap pieces per defect, most pieces first; shares are of the rows shown."""
+    """Scrap pieces per defect, most pieces first.
+
+    Shares are of the pieces of all defects, or with ``share_of="shown"`` of
+    those within the limit.
+    """
     rejects = spec.apply(
         scraps.where(F.col("qty") > 0),
         days="shift_start", shift="shift", machines="machine_code", articles="product_code")
@@ -70,7 +81,8 @@ def scrap_pareto(
         "pieces",
     )
     shown = ranked(causes, F.desc("pieces"), limit=limit)
-    return shown.withColumn("share_pct", share_of_total(shown, "pieces", limit))
+    share = share_of_total(_whole(causes, shown, share_of), "pieces")
+    return shown.withColumn("share_pct", share)
 
 
 def downtime_log(
@@ -79,17 +91,19 @@ def downtime_log(
     """Latest stops with order code and reason.
 
     Stops are cut before the joins, which can only add rows, and once more
-    after them: the joins see ``limit`` stops, not all.
+    after them: the joins see ``limit`` stops, and of the looked up tables only
+    the rows that these stops name.
     """
     stops = downtimes.select("start_ts", "end_ts", "duration_s", "order_id", "reason_id")
     latest = newest(stops, "start_ts", limit)
     if limit is not None:
         latest = ranked(latest, F.desc("start_ts"), limit=limit)
-    named = latest.join(
-        orders.select(F.col("id").alias("order_id"), "order_code"), "order_id", "left"
-    ).join(
-        reasons.select(F.col("id").alias("reason_id"), "reason"), "reason_id", "left"
-    )
+    orders = orders.select(F.col("id").alias("order_id"), "order_code")
+    reasons = reasons.select(F.col("id").alias("reason_id"), "reason")
+    if limit is not None:
+        orders = orders.where(among("order_id", latest))
+        reasons = reasons.where(among("reason_id", latest))
+    named = latest.join(orders, "order_id", "left").join(reasons, "reason_id", "left")
     ordered = named.select(*stops.columns, "order_code", "reason")
     return ranked(ordered, F.desc("start_ts"), limit=limit).select(
         "order_code", "start_ts", "end_ts", "duration_s", "reason")

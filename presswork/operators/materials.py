@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from presswork.filters import EVERYTHING, FilterSpec, not_blank
-from presswork.functions import label_or_code, or_zero, percent, round_to
+from presswork.functions import label_or_code, or_zero, round_to, share
 from presswork.operators.orders import MISSING
-from presswork.plans.ranking import ranked
+from presswork.plans.ranking import among, ranked
 
-# Orders in these states still need material.
+# Fixed values of the result: orders in these states still need material.
 OPEN_STATES = ("L", "D", "P", "S")
 # Fixed values of the result.
 DEFAULT_UNIT = "KG"
@@ -51,7 +51,8 @@ def planned_material_need(
 ) -> DataFrame:
     """Material per line of an open order: planned, used and still needed; most needed first.
 
-    Product and status texts are looked up for the rows shown only.
+    Product and status texts are looked up for the rows shown only, and of the
+    products only those that these rows name are read for it.
     """
     orders = spec.apply(
         headers.where(F.col("status_code").isin(*OPEN_STATES) & not_blank("order_code")),
@@ -85,6 +86,7 @@ def planned_material_need(
     columns = needs.columns
     if limit is not None:
         needs = ranked(needs, F.desc("needed_kg"), limit=limit)
+        products = products.where(among("product_code", needs))
     named = (
         needs.join(products.select("product_code", "product_name"), "product_code", "left")
         .join(status.select("status_code", "status_label"), "status_code", "left")
@@ -105,21 +107,37 @@ def planned_material_need(
     )
 
 
-def _used(results: DataFrame, bom: DataFrame, spec: FilterSpec) -> DataFrame:
-    """Runs that belong to an order and a product, once per material of the product.
+def consumption_base(results: DataFrame, spec: FilterSpec = EVERYTHING) -> DataFrame:
+    """Pieces per day, order, machine and product revision: what the consumption reports start from.
 
-    Both sides of the join are plain scans, so that a product with very many
-    runs is split at run time where the join shuffles.
+    What a run consumed is its pieces times a dose that depends on product,
+    revision and material alone. So runs are summed before they meet the bill of
+    materials, which multiplies only the sums.
     """
-    runs = spec.apply(
-        results.where(not_blank("order_code") & not_blank("product_code")),
-        days="shift_start", shift="shift", workshop="workshop", machines="machine_code")
-    return runs.join(spec.apply(bom, material="material_code"), _BOM_KEY)
+    return (
+        spec.apply(
+            results.where(not_blank("order_code") & not_blank("product_code")),
+            days="shift_start", shift="shift", workshop="workshop", machines="machine_code")
+        .groupBy("order_code", "machine_code", "machine_name", "product_code", "product_name",
+                 "bom_revision", F.to_date("shift_start").alias("day"))
+        .agg(*(F.sum(or_zero(f"qty_{kind}")).alias(f"qty_{kind}") for kind in ("made", "good", "scrap")),
+             F.count(F.lit(1)).alias("_runs"),
+             F.min("shift_start").alias("first_start"), F.max("shift_end").alias("last_end"))
+    )
+
+
+def _used(base: DataFrame, bom: DataFrame, spec: FilterSpec) -> DataFrame:
+    """The sums of :func:`consumption_base`, once per material of the product.
+
+    Both sides of the join come straight from a shuffle or a scan, so that a
+    product with very many orders is split at run time where the join shuffles.
+    """
+    return base.join(spec.apply(bom, material="material_code"), _BOM_KEY)
 
 
 def _spent_pieces() -> Column:
     """Pieces that consumed new material: scrap of a recyclable material does not."""
-    return F.when(F.col("recyclable") == 0, or_zero("qty_made")).otherwise(or_zero("qty_good"))
+    return F.when(F.col("recyclable") == 0, F.col("qty_made")).otherwise(F.col("qty_good"))
 
 
 def _kilos(pieces: Column) -> Column:
@@ -128,27 +146,29 @@ def _kilos(pieces: Column) -> Column:
 
 def material_use_by_order(
     results: DataFrame, bom: DataFrame, consumables: DataFrame, spec: FilterSpec = EVERYTHING,
-    limit: int | None = 500,
+    limit: int | None = 500, base: DataFrame | None = None,
 ) -> DataFrame:
     """Consumption per order, machine, product and material, most first.
 
     Rows are summed before the material texts are joined, and not regrouped
     after it: the join on a frequent material can then be split at run time.
+    ``base`` is :func:`consumption_base` of the same results and filter, if it
+    is at hand.
     """
     groups = ["order_code", "machine_code", "machine_name", "product_code", "product_name",
               "material_code"]
-    made, good, scrap = map(or_zero, ("qty_made", "qty_good", "qty_scrap"))
+    made, good, scrap = map(F.col, ("qty_made", "qty_good", "qty_scrap"))
     dose = F.col("qty_per_piece")
     sums = {
         "pieces": made, "good_pieces": good, "scrap_pieces": scrap,
         "total_kg": _kilos(_spent_pieces()), "good_kg": _kilos(good), "scrap_kg": _kilos(scrap),
-        "_doses": dose, "_dosed": F.when(dose.isNotNull(), 1).otherwise(0),
+        "_doses": dose * F.col("_runs"), "_dosed": F.when(dose.isNotNull(), F.col("_runs")).otherwise(0),
     }
     use = (
-        _used(results, bom, spec)
+        _used(consumption_base(results, spec) if base is None else base, bom, spec)
         .groupBy(*groups)
         .agg(*(F.sum(c).alias(name) for name, c in sums.items()),
-             F.min("shift_start").alias("first_start"), F.max("shift_end").alias("last_end"))
+             F.min("first_start").alias("first_start"), F.max("last_end").alias("last_end"))
         .where(F.col("pieces") > 0)
         .join(_texts(consumables), "material_code")
         .withColumns({name: F.col(name) * F.col("_times") for name in sums})
@@ -170,18 +190,19 @@ def material_use_by_order(
 
 
 def material_daily_trend(
-    results: DataFrame, bom: DataFrame, spec: FilterSpec = EVERYTHING
+    results: DataFrame, bom: DataFrame, spec: FilterSpec = EVERYTHING,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Consumption, pieces and orders per day of the shift.
 
     Pieces count once per material of the product. Rows are summed per day and
-    order first; orders are counted over those sums.
+    order first; orders are counted over those sums. ``base`` as in
+    :func:`material_use_by_order`.
     """
     return (
-        _used(results, bom, spec)
-        .groupBy(F.to_date("shift_start").alias("day"), "order_code")
-        .agg(F.sum(_kilos(_spent_pieces())).alias("total_kg"),
-             F.sum(or_zero("qty_made")).alias("pieces"))
+        _used(consumption_base(results, spec) if base is None else base, bom, spec)
+        .groupBy("day", "order_code")
+        .agg(F.sum(_kilos(_spent_pieces())).alias("total_kg"), F.sum("qty_made").alias("pieces"))
         .groupBy("day")
         .agg(round_to(F.sum("total_kg"), 2).alias("total_kg"),
              F.sum("pieces").alias("pieces"), F.count("order_code").alias("orders"))
@@ -191,18 +212,19 @@ def material_daily_trend(
 
 def material_summary(
     results: DataFrame, bom: DataFrame, consumables: DataFrame, spec: FilterSpec = EVERYTHING,
-    limit: int | None = 50,
+    limit: int | None = 50, base: DataFrame | None = None,
 ) -> DataFrame:
     """Orders, machines and consumption per material, most first.
 
     A material may hold most of the rows; they are summed per order and
-    machine before anything is gathered by material.
+    machine before anything is gathered by material. ``base`` as in
+    :func:`material_use_by_order`.
     """
     materials = (
-        _used(results, bom, spec)
+        _used(consumption_base(results, spec) if base is None else base, bom, spec)
         .groupBy("material_code", "order_code", "machine_code")
         .agg(F.sum(_kilos(_spent_pieces())).alias("total_kg"),
-             F.sum(_kilos(or_zero("qty_scrap"))).alias("scrap_kg"))
+             F.sum(_kilos(F.col("qty_scrap"))).alias("scrap_kg"))
         .groupBy("material_code")
         .agg(F.count_distinct("order_code").alias("orders"),
              F.count_distinct("machine_code").alias("machines"),
@@ -224,7 +246,10 @@ def _distinct(column: str) -> Column:
 
 
 def material_totals(planned: DataFrame, by_order: DataFrame) -> DataFrame:
-    """One row over the rows of both reports: what is still needed and what was used."""
+    """One row over the rows of both reports: what is still needed and what was used.
+
+    For the totals of all orders give it both reports without a limit.
+    """
     def total(column: str, alias: str | None = None) -> Column:
         return or_zero(F.sum(column)).alias(alias or column)
 
@@ -245,5 +270,5 @@ def material_totals(planned: DataFrame, by_order: DataFrame) -> DataFrame:
     return (
         future.unionByName(past, allowMissingColumns=True)
         .agg(*(F.max(c).alias(c) for c in columns))
-        .withColumn("scrap_share_pct", percent(F.col("scrap_kg"), F.col("total_kg")))
+        .withColumn("scrap_share_pct", share(F.col("scrap_kg"), F.col("total_kg")))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from presswork.filters import EVERYTHING, FilterSpec
 from presswork.functions import label_or_code, or_zero, round_to
-from presswork.plans.ranking import BROADCAST_ROWS, ranked
+from presswork.plans.ranking import among, ranked
 
 RUNNING, PLANNED = "L", "D"
 # Fixed values of the result.
@@ -61,17 +61,20 @@ def sap_orders(
     order.
 
     The ranking depends on the headers alone, so unless articles are filtered
-    the headers are cut first and only the lines of the orders shown are
-    summed.
+    the codes of the orders to show are found first, in a scan of the columns
+    that rank them, and go as a filter to the scans of headers and lines. Headers
+    without a code, which that filter cannot name, stay and are ranked again.
     """
     columns = [
         "order_code", "machine_code", "machine_name", "mold_code", "mold_name", "strokes",
         "status_code", "actual_start", "planned_start", "seq_no",
     ]
     orders = _selected(headers, spec).select(*columns)
-    if spec.articles is None and limit is not None and limit <= BROADCAST_ROWS:
-        orders = _first(orders, limit)
-        lines = lines.join(F.broadcast(orders.select("order_code")), "order_code", "left_semi")
+    if spec.articles is None and limit is not None:
+        shown = among("order_code", _first(
+            orders.select("order_code", "status_code", "seq_no"), limit))
+        orders = orders.where(shown | F.col("order_code").isNull())
+        lines = lines.where(shown)
     joined = orders.join(_line_totals(lines), "order_code", "left")
     joined = spec.apply(joined, articles="product_code")
 

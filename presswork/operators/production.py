@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from presswork.filters import EVERYTHING, FilterSpec
-from presswork.functions import label_or_code, or_zero, percent, round_to
+from presswork.functions import label_or_code, or_zero, percent, round_to, share
 from presswork.plans.ranking import ranked
 
 # Fixed values of the result.
@@ -64,6 +64,8 @@ def machine_kpi(
 def machine_kpi_summary(kpi: DataFrame) -> DataFrame:
     """One row over the rows of :func:`machine_kpi`; none if there are none.
 
+    For the total of all machines give it the KPIs without a limit.
+
     OEE is the mean of the rounded values, weighted by pieces, or the plain
     mean if nothing was made.
     """
@@ -79,7 +81,8 @@ def machine_kpi_summary(kpi: DataFrame) -> DataFrame:
         .select(
             F.lit(SUMMARY_CODE).alias("machine_code"),
             F.lit(SUMMARY_NAME).alias("machine_name"),
-            "pieces", "scrap_pieces", _scrap_pct(),
+            "pieces", "scrap_pieces",
+            share(F.col("scrap_pieces"), F.col("pieces")).alias("scrap_pct"),
             round_to(
                 F.when(F.col("pieces") > 0, F.col("_weighted") / F.col("pieces"))
                 .otherwise(F.col("_mean")), 2).alias("oee_pct"),

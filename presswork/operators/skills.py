@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from presswork.filters import ALL, FilterSpec, not_blank
 from presswork.functions import round_to
 
-# Seconds from which a level is reached; below L the level is I.
+# Fixed values of the result: seconds from which a level is reached; below L the level is I.
 LEVELS = {"L": 144_000, "U": 288_000, "O": 1_728_000}
 
 

@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from presswork.functions import percent
-
-# Frames of at most this many rows may be broadcast without a look at their size.
-BROADCAST_ROWS = 10_000
+from presswork.functions import share
 
 
 def ranked(df: DataFrame, *first: Column, limit: int | None = None) -> DataFrame:
@@ -15,23 +12,29 @@ def ranked(df: DataFrame, *first: Column, limit: int | None = None) -> DataFrame
 
     Ordering by every column makes the cut well defined: rows that still tie
     are equal. With a limit Spark keeps only the best rows of each partition
-    (TakeOrderedAndProject), so nothing but ``limit`` rows is ever gathered.
+    (TakeOrderedAndProject), and gathers these in one task: a limit is for short
+    lists, ``limit=None`` sorts over all tasks.
     """
     df = df.orderBy(*first, *df.columns)
     return df if limit is None else df.limit(limit)
 
 
-def share_of_total(df: DataFrame, value: str, limit: int | None) -> Column:
+def share_of_total(df: DataFrame, value: str) -> Column:
     """Percentage of ``value`` in its sum over the rows of ``df``.
 
-    With a limit the total is a window over those few rows. Without one the
-    rows may be many, so the total is a separate one-row aggregate.
+    The total is a one-row aggregate of its own. Where ``df`` is a grouped sum,
+    Spark takes it from the shuffle that the sum has made already.
     """
-    if limit is None:
-        total = df.agg(F.sum(value)).scalar()
-    else:
-        total = F.sum(value).over(Window.partitionBy())
-    return percent(F.col(value), total)
+    return share(F.col(value), df.agg(F.sum(value)).scalar())
+
+
+def among(column: str, df: DataFrame) -> Column:
+    """``column`` holds one of its values in ``df``, a short list.
+
+    The values come from a subquery, so that a table is filtered before it is
+    shuffled for a join with ``df``, whatever size Spark takes it to have.
+    """
+    return F.array_contains(df.agg(F.collect_set(column)).scalar(), F.col(column))
 
 
 def newest(df: DataFrame, time: str, limit: int | None) -> DataFrame:

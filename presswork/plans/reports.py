@@ -1,30 +1,39 @@
 """Reports that consist of several results, as one call over all tables.
 
-Every function returns DataFrames by name. A result that a second one is
-computed from is small (it has a row limit, or a row per machine). It is
-checkpointed if the cluster names a folder for that in
-``spark.checkpoint.dir``, so that both share one pass over the tables; without
-such a folder each result is computed on its own.
+Every function returns DataFrames by name. Lists are cut to the given limits;
+totals, quality counts and shares cover all rows. By default each result is
+computed from the tables on its own. With ``share=True`` what several results
+are computed from is written once to the folder of ``spark.checkpoint.dir``,
+which must be one that all executors share, and read from there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from presswork import operators as ops
 from presswork.filters import EVERYTHING, FilterSpec
+from presswork.operators.materials import consumption_base
+from presswork.plans.ranking import ranked
 from presswork.sources.tables import Tables
 
 Report = dict[str, DataFrame]
 
 
-def _shared(df: DataFrame) -> DataFrame:
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    return df.checkpoint() if folder else df
+def _shared(df: DataFrame, share: bool) -> DataFrame:
+    return df.checkpoint() if share else df
 
 
-def filter_options(tables: Tables, spec: FilterSpec = EVERYTHING) -> Report:
+def filter_options(
+    tables: Tables, spec: FilterSpec = EVERYTHING, share: bool = False
+) -> Report:
+    """The choices of all five fields; shared, from one list of the combinations in use."""
     results = tables.production_results
+    if share:
+        results = results.select(
+            "machine_code", "machine_name", "shift", "workshop", "product_code", "product_name",
+            "mold_code", "mold_name").distinct()
+    results = _shared(results, share)
     return {
         "machines": ops.filter_machines(results),
         "shifts": ops.filter_shifts(results),
@@ -34,9 +43,15 @@ def filter_options(tables: Tables, spec: FilterSpec = EVERYTHING) -> Report:
     }
 
 
-def machine_report(tables: Tables, spec: FilterSpec = EVERYTHING) -> Report:
-    machines = _shared(ops.machine_kpi(tables.production_results, spec))
-    return {"data": machines, "summary": ops.machine_kpi_summary(machines)}
+def machine_report(
+    tables: Tables, spec: FilterSpec = EVERYTHING, limit: int | None = 100, share: bool = False
+) -> Report:
+    """Machines and the total of all machines."""
+    machines = _shared(ops.machine_kpi(tables.production_results, spec, limit=None), share)
+    return {
+        "data": ranked(machines, F.desc("pieces"), limit=limit),
+        "summary": ops.machine_kpi_summary(machines),
+    }
 
 
 def live_power_report(tables: Tables) -> Report:
@@ -44,26 +59,49 @@ def live_power_report(tables: Tables) -> Report:
     return {"data": live, "summary": ops.energy_live_summary(live)}
 
 
-def mold_change_report(tables: Tables, spec: FilterSpec = EVERYTHING) -> Report:
-    changes = _shared(ops.mold_changes(tables.production_results, tables.downtimes, spec))
-    return {"data": changes, "quality": ops.mold_change_quality(changes)}
+def mold_change_report(
+    tables: Tables, spec: FilterSpec = EVERYTHING, limit: int | None = 500, share: bool = False
+) -> Report:
+    """Changes and the quality of all changes."""
+    changes = _shared(
+        ops.mold_changes(tables.production_results, tables.downtimes, spec, limit=None), share)
+    return {
+        "data": ranked(changes, F.desc("old_end"), limit=limit),
+        "quality": ops.mold_change_quality(changes),
+    }
 
 
-def mold_change_kpi_report(tables: Tables, spec: FilterSpec = EVERYTHING) -> Report:
-    kpi = _shared(ops.mold_change_kpi(tables.production_results, tables.downtimes, spec))
+def mold_change_kpi_report(
+    tables: Tables, spec: FilterSpec = EVERYTHING, share: bool = False
+) -> Report:
+    kpi = _shared(ops.mold_change_kpi(tables.production_results, tables.downtimes, spec), share)
     return {"data": kpi, "summary": ops.mold_change_kpi_summary(kpi)}
 
 
-def material_report(tables: Tables, spec: FilterSpec = EVERYTHING) -> Report:
+def material_report(
+    tables: Tables, spec: FilterSpec = EVERYTHING, planned_limit: int | None = 500,
+    orders_limit: int | None = 500, materials_limit: int | None = 50, share: bool = False,
+) -> Report:
+    """Needs, consumption in three views and the totals of all orders.
+
+    Shared, the runs are read once for all of them, into sums per day, order,
+    machine and product, and the needs are computed once.
+    """
     results, bom, consumables = tables.production_results, tables.bom, tables.consumables
+    base = _shared(consumption_base(results, spec), share)
     planned = _shared(ops.planned_material_need(
         tables.order_headers, tables.order_lines, tables.products, bom, consumables,
-        tables.order_status, spec))
-    by_order = _shared(ops.material_use_by_order(results, bom, consumables, spec))
+        tables.order_status, spec, limit=None), share)
+    by_order = _shared(ops.material_use_by_order(
+        results, bom, consumables, spec, limit=None, base=base), share)
+    keys = ("order_code", "product_code", "material_code", "planned_pieces", "good_pieces",
+            "scrap_pieces", "remaining_pieces")
     return {
         "summary": ops.material_totals(planned, by_order),
-        "planned_orders": planned,
-        "orders": by_order,
-        "trend": ops.material_daily_trend(results, bom, spec),
-        "materials_summary": ops.material_summary(results, bom, consumables, spec),
+        "planned_orders": ranked(
+            planned, F.desc("needed_kg"), *map(F.col, keys), limit=planned_limit),
+        "orders": ranked(by_order, F.desc("total_kg"), limit=orders_limit),
+        "trend": ops.material_daily_trend(results, bom, spec, base=base),
+        "materials_summary": ops.material_summary(
+            results, bom, consumables, spec, materials_limit, base=base),
     }

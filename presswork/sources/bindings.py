@@ -6,8 +6,6 @@ test table; Spark fills in a DataFrame, the SQL checks fill in the name.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,28 +56,14 @@ _RESULT_COLUMNS = {
     "time_open": "CAST(28800 AS DOUBLE)",
     "time_useful": "288 * (100 - ROUND(l_tax * 100) - ROUND(l_discount * 100))",
 }
-_DIMENSIONS = {
-    r"\bp_": "JOIN {part} ON l_partkey = p_partkey",
-    r"\b[sn]_": "JOIN {supplier} ON l_suppkey = s_suppkey",
-    r"\bn_": "JOIN {nation} ON s_nationkey = n_nationkey",
-}
-
-
-def production_results_sql(columns: Iterable[str] = tuple(_RESULT_COLUMNS)) -> str:
-    """Some columns of production_results, with the joins that these columns need.
-
-    Every line item has its part, supplier and nation, so a join that brings no
-    column changes nothing; Spark cannot know that and would not drop it.
-    """
-    chosen = {name: _RESULT_COLUMNS[name] for name in columns}
-    text = " ".join(chosen.values())
-    joins = [join for prefix, join in _DIMENSIONS.items() if re.search(prefix, text)]
-    items = ", ".join(f"{sql} AS {name}" for name, sql in chosen.items())
-    return f"SELECT {items} FROM {{lineitem}} {' '.join(joins)}"
+_PRODUCTION_RESULTS = f"""
+        SELECT {", ".join(f"{sql} AS {name}" for name, sql in _RESULT_COLUMNS.items())}
+        FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey
+        JOIN {{supplier}} ON l_suppkey = s_suppkey JOIN {{nation}} ON s_nationkey = n_nationkey"""
 
 
 BINDINGS = {
-    "production_results": production_results_sql(),
+    "production_results": _PRODUCTION_RESULTS,
     # The runs of the mold-change operators: times within the day that meet the downtimes.
     "production_runs": """
         SELECT CAST(user_id AS VARCHAR(50)) AS machine_code, event_type AS mold_code,
@@ -215,11 +199,6 @@ def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _run(spark, sf_dir, BINDINGS[name])
 
 
-def production_results(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """production_results with the given columns only."""
-    return _run(spark, sf_dir, production_results_sql(columns))
-
-
 def bound_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """All canonical tables over the test tables in ``sf_dir``."""
     return Tables(partial(bound, spark, sf_dir))

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as registered
-from checks import compare
+from checks import compare, oracle, registry
 from checks.registry import HEADLINE
 from conftest import SMALL
 
@@ -15,11 +15,13 @@ def duck():
 
 def test_every_query_has_sql_and_every_operator_a_query():
     from presswork import operators
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert set(registry.queries()) == set(oracle.statements())
+    assert set(registry.queries()) <= set(registered.queries())
+    assert set(oracle.statements()) <= set(registered.oracle_sql()) <= set(registered.queries())
     assert set(HEADLINE) == set(operators.__all__)
 
 
-@pytest.mark.parametrize("name", registered.queries())
+@pytest.mark.parametrize("name", registry.queries())
 def test_query_matches_sql(spark, duck, name):
     assert compare.difference(spark, duck, SMALL, name) is None
 

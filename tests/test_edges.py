@@ -93,11 +93,14 @@ def test_blank_and_missing_label_are_two_groups_shown_alike(table):
     assert rows(pareto) == [("R", 2.0, 1, 2.0, 66.67), ("R", 1.0, 1, 1.0, 33.33)]
 
 
-def test_shares_are_of_the_rows_shown(table):
+def test_shares_are_of_all_rows_or_of_those_shown(table):
     downtimes = table("downtimes", *(stop(reason_code=c, duration_s=s * 3600)
                                      for c, s in (("A", 6), ("B", 2), ("C", 2))))
     results = table("production_results")
-    assert rows(ops.downtime_pareto(downtimes, results, limit=2), "reason", "share_pct") == [
+    assert rows(ops.downtime_pareto(downtimes, results, limit=2), "share_pct") == rows(
+        ops.downtime_pareto(downtimes, results, limit=None), "share_pct")[:2]
+    assert rows(ops.downtime_pareto(downtimes, results, limit=2, share_of="shown"),
+                "reason", "share_pct") == [
         ("A", 75.0), ("B", 25.0)]
     assert rows(ops.downtime_pareto(downtimes, results, limit=None), "share_pct") == [
         60.0, 20.0, 20.0]
@@ -447,3 +450,23 @@ def test_raw_columns_are_renamed(spark):
                         {"products": {"product_code": "ref", "product_name": "lib"}})
     assert rows(tables.products) == [("A", "x")]
     assert "products" in tables and len(tables) == 16
+
+
+def test_totals_cover_more_rows_than_the_lists(spark, table):
+    runs = table("production_results", *(
+        {"machine_code": f"M{n}", "qty_made": 2, "qty_scrap": 1} for n in range(150)))
+    assert ops.machine_kpi(runs).count() == 100
+    total = ops.machine_kpi_summary(ops.machine_kpi(runs, limit=None))
+    assert rows(total, "pieces", "scrap_pieces") == [(300, 150)]
+    alerts = table("energy_alerts", *(
+        {"machine_code": "M", "shift_start": at("10:00"), "kwh": 1.0} for _ in range(5200)))
+    assert ops.energy_alerts(alerts).count() == 5000
+    assert rows(ops.energy_alert_rollup(alerts), "alerts", "kwh") == [(5200, 5200.0)]
+    assert rows(ops.energy_alert_rollup(alerts, limit=5000), "alerts") == [5000]
+
+
+def test_share_of_a_negative_total_is_zero(spark):
+    from presswork.functions import percent, share
+    df = spark.createDataFrame([(5, -10), (5, 0), (5, None), (5, 10)], "part int, whole int")
+    assert rows(df, share(df.part, df.whole).alias("x"), percent(df.part, df.whole).alias("y")) == [
+        (0.0, -50.0), (0.0, 0.0), (0.0, 0.0), (50.0, 50.0)]

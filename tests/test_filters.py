@@ -1,6 +1,6 @@
 """Which filter applies to which operator, and what counts as no filter."""
 
-from datetime import date
+from datetime import date, datetime
 
 import pytest
 from conftest import at, rows
@@ -198,3 +198,22 @@ def test_both_days_are_included(table):
         (FilterSpec(start_date="2024-03-01"), 1110), (FilterSpec(end_date="2024-03-03"), 111),
     ]:
         assert total(ops.machine_kpi(results, spec)) == expected
+
+
+@pytest.mark.parametrize("bound", [datetime(2024, 3, 2, 12, 30), date(2024, 3, 2), " 2024-03-02 "])
+def test_bounds_are_whole_days(table, bound):
+    days = ["2024-03-01 23:59:59", "2024-03-02 00:00:00", "2024-03-02 23:59:59", "2024-03-03 00:00:00"]
+    log = table("operator_log", *(
+        {"operator_code": "A", "machine_code": str(n), "duration_s": 1, "shift_start": at(day)}
+        for n, day in enumerate(days)))
+    stops = table("energy_stops", *(
+        {"machine_code": str(n), "kwh": 1.0, "shift_start": at(day)} for n, day in enumerate(days)))
+    found = ops.operator_time(log, bound, bound)
+    assert sorted(rows(found, "machine_code")) == ["1", "2"]
+    spec = FilterSpec(start_date=bound, end_date=bound)
+    assert sorted(rows(ops.energy_stops(stops, spec), "machine_code")) == ["1", "2"]
+
+
+def test_a_single_text_is_a_list_of_one():
+    spec = FilterSpec(machines=" 12 ", molds="ALL", articles="")
+    assert (spec.machines, spec.molds, spec.articles) == (("12",), None, None)

@@ -1,6 +1,7 @@
 """The steered plans against plain ones, and what the plans look like."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -86,7 +87,7 @@ def plan_of(df):
     return df._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", registry.HEADLINE)
+@pytest.mark.parametrize("name", registry.queries())
 def test_no_join_without_keys_and_no_python(spark, name):
     plan = plan_of(registry.queries()[name](spark, SMALL))
     for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "Cross", "Python", "RDDScan"):
@@ -193,11 +194,39 @@ def test_changes_are_found_once(spark):
     assert "ReusedExchange" in final
 
 
-def test_order_lines_are_cut_to_the_orders_shown(stored):
-    plan = plan_of(ops.sap_orders(stored.order_headers, stored.order_lines))
-    assert "LeftSemi, BuildRight" in plan
+def below_exchange(plan, key):
+    """The part of a physical plan under the shuffle by a column."""
+    plan = plan.split("== Physical Plan ==")[1]
+    return re.split(rf"Exchange hashpartitioning\({key}#", plan)[1:]
+
+
+def test_orders_are_ranked_once_and_lines_cut_to_them(stored):
+    query = ops.sap_orders(stored.order_headers, stored.order_lines)
+    plan = plan_of(query)
+    assert plan.count("array_contains(scalar-subquery") >= 2
+    ranking = next(line for line in plan.split("\n") if "collect_set(order_code" in line)
+    assert ranking and "BROADCAST" not in plan
     full = plan_of(ops.sap_orders(stored.order_headers, stored.order_lines, limit=None))
-    assert "LeftSemi" not in full
+    assert "array_contains" not in full
+    assert rows(query) == rows(ops.sap_orders(stored.order_headers, stored.order_lines, limit=None))[:100]
+
+
+def test_looked_up_tables_are_filtered_before_their_shuffle(stored, small_partitions):
+    log = plan_of(ops.downtime_log(stored.downtimes, stored.downtime_orders, stored.downtime_reasons))
+    need = plan_of(ops.planned_material_need(
+        stored.order_headers, stored.order_lines, stored.products, stored.bom, stored.consumables,
+        stored.order_status))
+    for plan, key in ((log, "order_id"), (log, "reason_id"), (need, "product_code")):
+        assert any("array_contains(Subquery" in part.split("Exchange")[0]
+                   for part in below_exchange(plan, key)), plan
+
+
+def test_share_reads_the_facts_once(spark, stored):
+    for limit in (3, None):
+        df = ops.scrap_pareto(stored.scraps, stored.production_results, limit=limit)
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert final.count("FileScan parquet") - final.count("ReusedExchange") <= 1, final
 
 
 @pytest.mark.parametrize("zone", ["America/New_York", "Pacific/Apia"])
@@ -231,29 +260,42 @@ def test_minutes_across_a_clock_change(spark, table):
         spark.conf.set("spark.sql.session.timeZone", before)
 
 
-def test_reports(spark, stored):
+@pytest.mark.parametrize("share", [False, True])
+def test_reports(spark, stored, share):
     def first(df):
         return rows(df)[0]
     results = stored.production_results
-    machines = reports.machine_report(stored)
+    machines = reports.machine_report(stored, share=share)
     assert rows(machines["data"]) == rows(ops.machine_kpi(results))
     assert first(machines["summary"]) == first(ops.machine_kpi_summary(ops.machine_kpi(results)))
-    assert "RDDScan" in plan_of(machines["summary"]) or "LogicalRDD" in plan_of(machines["summary"])
+    assert ("ExistingRDD" in plan_of(machines["summary"])) == share
+    few = reports.machine_report(stored, limit=2, share=share)
+    assert few["data"].count() == 2 and rows(few["summary"]) == rows(machines["summary"])
 
-    materials = reports.material_report(stored)
+    materials = reports.material_report(stored, planned_limit=None, orders_limit=None, share=share)
     assert set(materials) == {"summary", "planned_orders", "orders", "trend", "materials_summary"}
     by_order = rows(materials["orders"], "total_kg")
     assert first(materials["summary"].select("total_kg")) == (round(sum(by_order), 2),)
     needed = rows(materials["planned_orders"], "needed_kg")
     assert first(materials["summary"].select("needed_kg")) == (round(sum(needed), 2),)
-
-    changes = reports.mold_change_report(stored)
+    few = reports.material_report(stored, planned_limit=3, orders_limit=4, share=share)
+    assert few["planned_orders"].count() == 3 and few["orders"].count() == 4
+    assert rows(few["summary"]) == rows(materials["summary"])
+    for name in ("trend", "materials_summary"):
+        assert ("FileScan" in plan_of(materials[name]).split("ExistingRDD")[0]) or share
+    cut = reports.material_report(stored, share=share)
+    t = stored
+    assert rows(cut["planned_orders"]) == rows(ops.planned_material_need(
+        t.order_headers, t.order_lines, t.products, t.bom, t.consumables, t.order_status))
+
+    changes = reports.mold_change_report(stored, limit=None, share=share)
     assert first(changes["quality"])[0] == changes["data"].count()
-    kpi = reports.mold_change_kpi_report(stored)
+    kpi = reports.mold_change_kpi_report(stored, share=share)
     assert first(kpi["summary"])[0] == sum(rows(kpi["data"], "changes"))
     live = reports.live_power_report(stored)
     assert first(live["summary"])[3] == live["data"].count()
-    assert {name: df.count() for name, df in reports.filter_options(stored).items()} == {
+    assert {name: df.count() for name, df in reports.filter_options(
+        stored, share=share).items()} == {
         "machines": 10, "shifts": 3, "workshops": 10, "articles": 200, "molds": 25}
 
 
@@ -262,7 +304,8 @@ def test_shares_add_up_and_counts_agree(spark):
 
     def column(name, column):
         return rows(queries[name](spark, SMALL), column)
-    for name in ("downtime_pareto", "downtime_pareto__all", "scrap_pareto", "scrap_pareto__all"):
+    for name in ("downtime_pareto__shown", "downtime_pareto__all", "scrap_pareto__shown",
+                 "scrap_pareto__all"):
         assert sum(column(name, "share_pct")) == pytest.approx(100, abs=0.3)
     changes = len(column("mold_changes__all", "minutes"))
     assert sum(column("mold_change_kpi", "changes")) == changes
