@@ -44,16 +44,21 @@ def validity(entries: DataFrame) -> DataFrame:
     rank = F.array_position(F.array(*map(F.lit, ACTIONS)), F.col("action"))
     per_date = (entries.where(rank > 0).where("list_key is not null and dated is not null")
                 .groupBy("list_key", "dated").agg(F.min(rank).alias("rank")))
-    following = F.lead("dated").over(Window.partitionBy("list_key").orderBy("dated"))
-    return (per_date
-            .withColumn("valid_to", F.coalesce(following, F.lit(FOREVER).cast("timestamp_ntz")))
+    # the next date within the month, or the first of the key's next month that has one: so no
+    # task sorts more of a key's entries than a month's, or a date for each of its months
+    per_date = per_date.withColumn("month", F.trunc("dated", "month"))
+    within = F.lead("dated").over(Window.partitionBy("list_key", "month").orderBy("dated"))
+    months = per_date.groupBy("list_key", "month").agg(F.min("dated").alias("first"))
+    months = months.withColumn("later", F.lead("first").over(
+        Window.partitionBy("list_key").orderBy("month"))).drop("first")
+    return (per_date.withColumn("within", within).join(months, ["list_key", "month"])
+            .withColumn("valid_to", F.coalesce("within", "later", F.lit(FOREVER).cast("timestamp_ntz")))
             .where(F.col("rank") < 3)
             .select("list_key", F.element_at(F.array(*map(F.lit, ACTIONS)), F.col("rank").cast("int"))
                     .alias("action"), F.col("dated").alias("valid_from"), "valid_to"))
 
 
-def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id",
-                last: str = "2100-01-01") -> DataFrame:
+def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id") -> DataFrame:
     """The entry that decides on each capture: an as-of join of captures and dated entries.
 
     ``captures`` has ``id_col``, ``url`` and ``fetched_at`` (no time zone). The
@@ -63,23 +68,22 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     and ``blocked``. Captures with a null URL or time match no entry.
 
     Both sides are cut into months: an interval stands once in every month that
-    it covers up to ``last`` (captures after it look in that month), and a
-    capture looks only into its own. So a key with a long history costs each
+    it covers between the first and the last capture, and a capture looks only
+    into its own. So a key with a long history costs each
     capture the few entries of one month, and a host that holds a third of the
     captures is spread over months and split further by Spark, which finds a
     plain shuffle on both sides, or broadcasts the intervals if they are small.
     """
     seen = url_keys(captures.select(F.col(id_col).alias("id"), "url", "fetched_at"))
-    month = lambda c: F.trunc(F.least(F.to_date(c), F.lit(last).cast("date")), "month")
+    first, last = (seen.agg(end("fetched_at")).scalar() for end in (F.min, F.max))
     wanted = (seen.where("keys is not null and fetched_at is not null")
               .select("id", "url", "fetched_at", "host", F.explode("keys").alias("list_key"))
-              .withColumn("month", month("fetched_at")))
+              .withColumn("month", F.trunc("fetched_at", "month")))
     open_in = (validity(entries)
+               .where((F.col("valid_from") <= last) & (F.col("valid_to") > first))
                .withColumn("month", F.explode(F.sequence(
-                   month("valid_from"),
-                   F.greatest(month("valid_from"),
-                              month(F.col("valid_to") - F.expr("interval 1 microsecond"))),
-                   F.expr("interval 1 month")))))
+                   F.trunc(F.greatest(F.col("valid_from"), first), "month"),
+                   F.trunc(F.least(F.col("valid_to"), last), "month"), F.expr("interval 1 month")))))
     holds = ((F.col("valid_from") <= F.col("fetched_at"))
              & (F.col("fetched_at") < F.col("valid_to")))
     met = (wanted.join(open_in, ["list_key", "month"]).where(holds)
