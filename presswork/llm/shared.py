@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
+#: The temporary folders of sessions on this machine.
+_LOCAL: dict[str, str] = {}
+
 
 def scratch(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
@@ -21,10 +24,12 @@ def scratch(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        context = spark.sparkContext
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="presswork-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="presswork-")
+        folder = _LOCAL[context.applicationId]
     return folder.rstrip("/")
 
 
@@ -51,6 +56,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes what :func:`stored` wrote for ``df``, once nothing reads it any more."""
+    spark = df.sparkSession
+    for path in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        if "/presswork/" in path:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def small_batches(spark: SparkSession, megabytes: int = 8) -> None:
     """Bounds the Arrow batches of this session by bytes, not only by rows: texts vary in length."""
     spark.conf.set(_BATCH_BYTES, str(megabytes << 20))

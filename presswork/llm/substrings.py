@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import recompression
-from .shared import plain, stored, word_blocks
+from .shared import discard, plain, stored, word_blocks
 
 WINDOW = 13
 #: Bytes of text that are parsed at once.
@@ -130,11 +130,15 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     runs = stored(
         named.mapInArrow(spans, "doc_id long, uid long, anchor long, alike long, span long")
         .join(shared, "anchor"), "shared-runs")
-    first = stored(runs.groupBy("anchor", "alike").agg(F.min("doc_id").alias("first")), "run-first")
-    settled = stored(runs.join(first, ["anchor", "alike"]), "settled-runs")
+    again = stored(runs.groupBy("anchor", "alike")
+                   .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("most"))
+                   .where("first < most").drop("most"), "equal-runs")
+    settled = stored(runs.join(again, ["anchor", "alike"], "left").drop("alike"), "settled-runs")
+    discard(runs)
     whole = settled.where("doc_id > first").select("doc_id", "uid", "span")
 
-    sources = settled.where("doc_id = first").withColumn("pending", F.expr("doc_id > least"))
+    sources = (settled.where("first is null or doc_id = first")
+               .withColumn("pending", F.expr("doc_id > least")))
     open_anchors = stored(sources.where("pending").select("anchor").distinct(), "open-anchors")
     wanted = (sources.join(open_anchors, "anchor", "left_semi").groupBy("doc_id", "uid")
               .agg(F.collect_set(F.struct("anchor", "span", "pending")).alias("spans")))
@@ -143,9 +147,11 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             hashed,
             "doc_id long, uid long, anchor long, pending boolean, word long, hash long"),
         "open-windows")
-    least = stored(windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("first")),
-                   "window-first")
-    single = (windows.where("pending").join(least, ["anchor", "hash"]).where("doc_id > first")
+    met = stored(windows.groupBy("anchor", "hash")
+                 .agg(F.min("doc_id").alias("first"),
+                      F.max(F.when(F.col("pending"), F.col("doc_id"))).alias("last"))
+                 .where("first < last").drop("last"), "equal-windows")
+    single = (windows.where("pending").join(met, ["anchor", "hash"]).where("doc_id > first")
               .select("doc_id", "uid", F.expr("word << 8 | 1").alias("span")))
     return (whole.unionByName(single).groupBy("doc_id", "uid")
             .agg(F.collect_set("span").alias("windows")))
