@@ -120,11 +120,16 @@ def mold_change_quality(changes: DataFrame) -> DataFrame:
 
 
 def mold_change_kpi(
-    runs: DataFrame, downtimes: DataFrame, spec: FilterSpec = EVERYTHING
+    runs: DataFrame, downtimes: DataFrame, spec: FilterSpec = EVERYTHING,
+    changes: DataFrame | None = None,
 ) -> DataFrame:
-    """Durations per machine, longest mean first. The mold filter does not apply."""
+    """Durations per machine, longest mean first. The mold filter does not apply.
+
+    ``changes`` is the result of :func:`mold_changes` for the same tables and
+    filter, without a mold filter or a limit, if it is at hand.
+    """
     return (
-        _changes(runs, downtimes, spec, by_mold=False)
+        (_changes(runs, downtimes, spec, by_mold=False) if changes is None else changes)
         .groupBy("machine_code")
         .agg(
             F.count(F.lit(1)).alias("changes"),
@@ -149,11 +154,15 @@ def mold_change_kpi_summary(kpi: DataFrame) -> DataFrame:
 
 
 def mold_change_trend(
-    runs: DataFrame, downtimes: DataFrame, spec: FilterSpec = EVERYTHING
+    runs: DataFrame, downtimes: DataFrame, spec: FilterSpec = EVERYTHING,
+    changes: DataFrame | None = None,
 ) -> DataFrame:
-    """Changes and mean duration per day of the old run's end. The mold filter does not apply."""
+    """Changes and mean duration per day of the old run's end. The mold filter does not apply.
+
+    ``changes`` as in :func:`mold_change_kpi`.
+    """
     return (
-        _changes(runs, downtimes, spec, by_mold=False)
+        (_changes(runs, downtimes, spec, by_mold=False) if changes is None else changes)
         .groupBy(F.to_date("old_end").alias("day"))
         .agg(F.count(F.lit(1)).alias("changes"), _mean_minutes())
         .orderBy("day")

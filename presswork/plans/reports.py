@@ -9,6 +9,8 @@ which must be one that all executors share, and read from there.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, functions as F
 
 from presswork import operators as ops
@@ -78,6 +80,28 @@ def mold_change_kpi_report(
     return {"data": kpi, "summary": ops.mold_change_kpi_summary(kpi)}
 
 
+def mold_change_overview(
+    tables: Tables, spec: FilterSpec = EVERYTHING, limit: int | None = 500, share: bool = False
+) -> Report:
+    """Changes, their quality, durations per machine and their summary, and the trend.
+
+    Shared, changes are found once; twice under a mold filter, which holds for
+    the list and its quality only.
+    """
+    runs, stops = tables.production_results, tables.downtimes
+    listed = _shared(ops.mold_changes(runs, stops, spec, limit=None), share)
+    found = listed if spec.molds is None else _shared(
+        ops.mold_changes(runs, stops, replace(spec, molds=None), limit=None), share)
+    kpi = ops.mold_change_kpi(runs, stops, spec, changes=found)
+    return {
+        "data": ranked(listed, F.desc("old_end"), limit=limit),
+        "quality": ops.mold_change_quality(listed),
+        "kpi": kpi,
+        "summary": ops.mold_change_kpi_summary(kpi),
+        "trend": ops.mold_change_trend(runs, stops, spec, changes=found),
+    }
+
+
 def material_report(
     tables: Tables, spec: FilterSpec = EVERYTHING, planned_limit: int | None = 500,
     orders_limit: int | None = 500, materials_limit: int | None = 50, share: bool = False,

@@ -299,6 +299,24 @@ def test_reports(spark, stored, share):
         "machines": 10, "shifts": 3, "workshops": 10, "articles": 200, "molds": 25}
 
 
+@pytest.mark.parametrize("spec", [FilterSpec(), FilterSpec(molds=["click", "view"])])
+def test_mold_changes_are_shared_by_all_their_results(spark, spec):
+    runs, stops = bound(spark, SMALL, "production_runs"), bound(spark, SMALL, "downtimes")
+    tables = Tables({"production_results": runs, "downtimes": stops}.__getitem__)
+    expected = {
+        "data": ops.mold_changes(runs, stops, spec),
+        "quality": ops.mold_change_quality(ops.mold_changes(runs, stops, spec, None)),
+        "kpi": ops.mold_change_kpi(runs, stops, spec),
+        "summary": ops.mold_change_kpi_summary(ops.mold_change_kpi(runs, stops, spec)),
+        "trend": ops.mold_change_trend(runs, stops, spec),
+    }
+    found = reports.mold_change_overview(tables, spec, share=True)
+    assert set(found) == set(expected)
+    for name, df in found.items():
+        assert rows(df) == rows(expected[name]), name
+        assert "FileScan" not in plan_of(df) and df.count() > 0
+
+
 def test_shares_add_up_and_counts_agree(spark):
     queries = registry.queries()
 
