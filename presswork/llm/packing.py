@@ -1,5 +1,9 @@
 """Token ids of documents, and their packing into sequences by first-fit decreasing."""
 
+import re
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +15,11 @@ CAPACITY = 2048
 GROUP_ROWS = 4096
 SEED = 17
 #: Words after which a worker begins to forget those that it has not met since.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+
+
+#: A full stop or comma after something else than a letter or digit of Latin-1 in lower case.
+_MIXED_SIGNS = re.compile(r"(?<![0-9a-zß-öø-ÿ])[.,]")
 
 
 class WordIds(dict):
@@ -19,15 +27,12 @@ class WordIds(dict):
 
     The tokenizer lower-cases, drops white space and splits letters, digits and
     signs from each other, so a text's ids are those of its words in order, and
-    a word's ids are those of its stem followed by those of its last full stops
-    and commas. Lower case and sign class are only taken over from Python for
-    characters of Latin-1, where both agree; other texts keep their words as
-    they are.
+    full stops and commas after a letter or digit are words of their own. Lower
+    case and the class of a sign are only taken over from Python for characters
+    of Latin-1, where both agree; other texts keep their words as they are.
     """
 
     def __init__(self, tokenizer):
-        import numpy as np
-
         super().__init__()
         self.tokenizer, self.older = tokenizer, {}
         ends = {i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")}
@@ -42,27 +47,22 @@ class WordIds(dict):
             text.encode("latin-1")
         except UnicodeEncodeError:
             return text.split(" ")
-        return text.lower().split(" ")
+        text = text.lower()
+        if not _MIXED_SIGNS.search(text):
+            text = text.replace(".", " .").replace(",", " ,")
+        return text.split(" ")
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Encodes words that are new; those of letters only, many at a time."""
-        import numpy as np
-
-        cut = {}
+        letters, others = [], []
         for word in words:
-            stem = word.rstrip(".,")
-            if stem and ord(stem[-1]) < 256 and stem[-1].isalnum():
-                cut[word] = stem
-        stems = {s for s in cut.values() if s not in self} | (words - cut.keys())
-        letters = [s for s in stems if s.isalpha() and max(s) < "Ā"]
-        signs = {w[len(s):] for w, s in cut.items()}
-        others = [w for w in stems.difference(letters) | signs if w not in self]
+            (letters if word.isalpha() and max(word) < "Ā" else others).append(word)
         for got, word in zip(self.tokenizer.encode_batch_fast(others, add_special_tokens=False), others):
             self[word] = np.array(got.ids, dtype="<u4").tobytes()
-        texts = [letters[i:i + 256] for i in range(0, len(letters), 256)]
-        encoded = self.tokenizer.encode_batch_fast([" ".join(t) for t in texts],
+        parts = [letters[i:i + 256] for i in range(0, len(letters), 256)]
+        encoded = self.tokenizer.encode_batch_fast([" ".join(p) for p in parts],
                                                    add_special_tokens=False)
-        for part, got in zip(texts, encoded):
+        for part, got in zip(parts, encoded):
             ids = np.array(got.ids, dtype="<u4")
             data, at = ids.tobytes(), 0
             stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
@@ -71,29 +71,43 @@ class WordIds(dict):
             for word, to in zip(part, stops):
                 self[word] = data[at:to]
                 at = to
-        for word, stem in cut.items():
-            self[word] = self[stem] + self[word[len(stem):]]
-
-    def of(self, text: str, block: int = 1 << 20) -> bytes:
-        """The ids of a text, as little-endian unsigned 32-bit integers; long texts in blocks."""
-        parts, at = [], 0
-        while at < len(text):
-            to = at + block
-            while to < len(text) and text[to] != " ":
-                to += 1
-            words = self.words(text[at:to])
-            unseen = {w for w in words if w not in self}
-            if len(self) + len(unseen) > REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-                unseen = set(words)
-            again = {w: self.older[w] for w in unseen if w in self.older}
-            self.update(again)
-            if unseen := unseen - again.keys():
-                self.learn(unseen)
-            parts.append(b"".join(map(self.__getitem__, words)))
-            at = to
-        return b"".join(parts)
+
+    def of_words(self, lists: list[list[str]]) -> list[bytes]:
+        """The ids of each list of words."""
+        wanted = set().union(*lists)
+        unseen = [w for w in wanted if w not in self]
+        if len(self) + len(unseen) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+            unseen = wanted
+        again = {w: self.older[w] for w in unseen if w in self.older}
+        self.update(again)
+        self.learn([w for w in unseen if w not in again])
+        return [b"".join(map(self.__getitem__, words)) for words in lists]
+
+    def of(self, texts: Iterable[str], block: int = 1 << 18) -> Iterator[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers.
+
+        Short texts are looked up together, long ones in blocks of words.
+        """
+        held, size = [], 0
+        for text in texts:
+            if size + len(text) > block:
+                yield from self.of_words(held)
+                held, size = [], 0
+            if len(text) > block:
+                parts, at = [], 0
+                while at < len(text):
+                    to = at + block
+                    while to < len(text) and text[to] != " ":
+                        to += 1
+                    parts += self.of_words([self.words(text[at:to])])
+                    at = to
+                yield b"".join(parts)
+                continue
+            held.append(self.words(text))
+            size += len(text)
+        yield from self.of_words(held)
 
 
 def token_ids(text: Column, tokenizer_path: str, end_id: int = 1) -> Column:
@@ -115,7 +129,7 @@ def token_ids(text: Column, tokenizer_path: str, end_id: int = 1) -> Column:
 
         words = per_process(f"words {tokenizer_path}", load)
         last = end_id.to_bytes(4, "little")
-        return pa.array([words.of(t.as_py()) + last for t in texts], pa.binary())
+        return pa.array([ids + last for ids in words.of(texts.to_pylist())], pa.binary())
 
     return encode(plain(text))
 

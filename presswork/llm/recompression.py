@@ -42,7 +42,7 @@ def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
 
 def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Name, length and first byte of each word of ``data``."""
-    held = per_process("letters", lambda: {"letters": _letters(), "powers": _powers(1 << 21)})
+    held = per_process("letters", lambda: {"letters": _letters(), "powers": _powers(1 << 20)})
     if len(data) > len(held["powers"][0]):
         held["powers"] = _powers(2 * len(data))
     raw = np.frombuffer(data, np.uint8)

@@ -75,15 +75,21 @@ def plain(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def per_process(name: str, make: Callable):
-    """``make()``, once in each Python worker; ``name`` tells what is kept apart."""
+def per_process(name: str, make: Callable, kept: int = 2):
+    """``make()``, once in each Python worker; ``name`` tells what is kept apart.
+
+    A worker serves one operator after the other, so only the ``kept`` states
+    that were used last stay in its memory.
+    """
     import sys
     import types
 
-    held = sys.modules.setdefault("_presswork_held", types.ModuleType("_presswork_held")).__dict__
-    if name not in held:
-        held[name] = make()
-    return held[name]
+    held = sys.modules.setdefault("_presswork_held", types.ModuleType("_presswork_held"))
+    states = held.__dict__.setdefault("states", {})
+    states[name] = states.pop(name) if name in states else make()
+    while len(states) > kept:
+        del states[next(iter(states))]
+    return states[name]
 
 
 #: The bytes that separate words: [\x20\x09-\x0D], also what ``bytes.split`` takes for white space.

@@ -12,7 +12,7 @@ from .shared import discard, plain, stored, word_blocks
 
 WINDOW = 13
 #: Bytes of text that are parsed at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def _slices(texts: list[bytes], window: int) -> Iterator[tuple[np.ndarray, ...]]:

@@ -37,7 +37,7 @@ SAMPLE = 2048
 SAMPLE_CHARS = 200_000
 #: Scores from here on are toxic.
 CUT = 0.7
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.!?\n]+")

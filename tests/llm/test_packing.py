@@ -38,9 +38,11 @@ def test_ids_are_those_of_the_library(docs, documents, monkeypatch):
     assert [bytes(r.b) for r in got] == [packed(i) for i in brute(HARD)]
     texts = [r.text for r in documents.collect()]
     words = packing.WordIds(library())
+    want = [packed(i[:-1]) for i in brute([*texts, *HARD])]
     for remembered in (packing.REMEMBERED, 50):
         monkeypatch.setattr(packing, "REMEMBERED", remembered)
-        assert [words.of(t or "", 300) for t in texts] == [packed(i[:-1]) for i in brute(texts)]
+        for block in (300, 1 << 18):
+            assert list(words.of([t or "" for t in [*texts, *HARD]], block)) == want
 
 
 def test_first_fit_decreasing_against_a_plain_search():

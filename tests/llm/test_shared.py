@@ -33,3 +33,13 @@ def test_stored_rows_come_back_and_can_be_discarded(spark):
     files = df.inputFiles()
     shared.discard(df)
     assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
+def test_a_worker_keeps_the_states_it_used_last():
+    made = []
+
+    def use(name):
+        return shared.per_process(name, lambda: made.append(name) or name)
+
+    assert [use(n) for n in "aabacab"] == list("aabacab")
+    assert made == ["a", "b", "c", "b"]
