@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import plain, stored
+from .shared import first_rows, place, plain, stored, text_uid
 
 PREFIX_CHARS = 64
 
@@ -15,6 +15,30 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(plain(text), r"[\x20\x09-\x0D]+", " ")
 
 
+def _hashed(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, digest_all: bool,
+            columns: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
+    """All rows with n, prefix and text_sha256, and the n and prefix that more than one row has."""
+    body = docs.select(F.col(id_col).alias("doc_id"), text_uid(id_col, text_col).alias("uid"),
+                       normalised(F.col(text_col)).alias("body"))
+    length = F.length("body").alias("n")
+    prefix = F.xxhash64(F.substring("body", 1, prefix_chars)).alias("prefix")
+    repeated = F.col("count") > 1
+
+    lengths = stored(body.select(length).groupBy("n").count().where(repeated).select("n"),
+                     "exact-lengths")
+    prefixes = stored(body.select(length, prefix).join(lengths, "n", "left_semi")
+                      .groupBy("n", "prefix").count().where(repeated).select("n", "prefix"),
+                      "exact-prefixes")
+    sha = F.sha2(F.encode("body", "utf-8"), 256)
+    if digest_all:
+        hashed = body.select(*columns, length, prefix, sha.alias("text_sha256"))
+    else:
+        found = prefixes.withColumn("again", F.lit(True))
+        hashed = (body.select(*columns, length, prefix, "body").join(found, ["n", "prefix"], "left")
+                  .select(*columns, "n", "prefix", F.when(F.col("again"), sha).alias("text_sha256")))
+    return stored(hashed, "exact-hashed"), prefixes
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  prefix_chars: int = PREFIX_CHARS, digest_all: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
@@ -35,25 +59,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     has a plain shuffle on both sides that Spark can split, so that a group may
     hold any share of the rows.
     """
-    body = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("body"))
-    length = F.length("body").alias("n")
-    prefix = F.xxhash64(F.substring("body", 1, prefix_chars)).alias("prefix")
-    repeated = F.col("count") > 1
-
-    lengths = stored(body.select(length).groupBy("n").count().where(repeated).select("n"),
-                     "exact-lengths")
-    prefixes = stored(body.select(length, prefix).join(lengths, "n", "left_semi")
-                      .groupBy("n", "prefix").count().where(repeated).select("n", "prefix"),
-                      "exact-prefixes")
-    sha = F.sha2(F.encode("body", "utf-8"), 256)
-    if digest_all:
-        hashed = body.select("doc_id", length, prefix, sha.alias("text_sha256"))
-    else:
-        found = prefixes.withColumn("again", F.lit(True))
-        hashed = (body.select("doc_id", length, prefix, "body").join(found, ["n", "prefix"], "left")
-                  .select("doc_id", "n", "prefix", F.when(F.col("again"), sha).alias("text_sha256")))
-    hashed = stored(hashed, "exact-hashed")
-
+    hashed, prefixes = _hashed(docs, id_col, text_col, prefix_chars, digest_all)
     groups = stored(
         hashed.join(prefixes, ["n", "prefix"], "left_semi").groupBy("text_sha256")
         .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
@@ -65,8 +71,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256"))
 
 
-def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that repeat the text of a smaller id; all columns stay."""
-    gone = stored(exact_groups(docs, id_col, text_col).where("not kept and doc_id is not null")
-                  .select(F.col("doc_id").alias("_gone_id")).distinct(), "exact-gone")
-    return docs.join(gone, docs[id_col] == gone["_gone_id"], "left_anti")
+def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               null_ids_stay: bool = True) -> DataFrame:
+    """``docs`` with one row of each group of equal texts, one of its smallest id; all columns stay.
+
+    Rows go by id and text: other texts of an id that goes stay. Repeated rows of
+    one id and one text leave one. Rows with a null id all stay, or with
+    ``null_ids_stay=False`` only one of a group without other ids.
+    """
+    hashed, _ = _hashed(docs, id_col, text_col, PREFIX_CHARS, False, ("doc_id", "uid"))
+    again = hashed.where("text_sha256 is not null").select("doc_id", "uid", "text_sha256")
+    firsts = stored(again.groupBy("text_sha256").agg(F.min(place()).alias("first"),
+                                                     F.count("*").alias("group_size"))
+                    .where("group_size > 1").drop("group_size"), "exact-firsts")
+    return first_rows(docs, again.join(firsts, "text_sha256"), id_col, text_col, null_ids_stay)

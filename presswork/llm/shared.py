@@ -75,6 +75,48 @@ def plain(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def text_uid(id_col: str, text_col: str) -> Column:
+    """A hash of id and text, which tells rows with one id and different texts apart."""
+    return F.xxhash64(F.col(id_col), plain(F.col(text_col)))
+
+
+def place() -> Column:
+    """By which the first row of a group stays: the smallest ``doc_id``, null last, then ``uid``."""
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "uid")
+
+
+def first_rows(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str,
+               null_ids_stay: bool) -> DataFrame:
+    """``docs`` with one row of each group of ``grouped``; all columns, rows of no group stay.
+
+    ``grouped`` has the ``doc_id`` and ``uid`` (:func:`text_uid`) of rows, and as
+    ``first`` the least :func:`place` of the row's group. Of rows equal in id and
+    text the least by a hash of all columns stays. With ``null_ids_stay`` rows
+    with a null id stay in any case.
+
+    Rows go by id and text together. Joins are plain shuffles that Spark can
+    split, and repeated rows meet in an aggregate, before the shuffle.
+    """
+    if null_ids_stay:
+        grouped = grouped.where("doc_id is not null")
+    found = stored(
+        grouped.groupBy("doc_id", "uid", place().eqNullSafe(F.col("first")).alias("stays")).count()
+        .where("not stays or count > 1")
+        .select(F.col("doc_id").alias("_id"), F.col("uid").alias("_uid"), "stays"), "copies")
+    keyed = docs.withColumn("_key", text_uid(id_col, text_col))
+
+    def same(rows: DataFrame) -> Column:
+        return keyed[id_col].eqNullSafe(rows["_id"]) & (keyed["_key"] == rows["_uid"])
+
+    left = keyed.join(found, same(found), "left_anti").select(docs.columns)
+    repeated = found.where("stays")
+    if repeated.isEmpty():
+        return left
+    one = (keyed.join(repeated, same(repeated), "left_semi").groupBy(id_col, "_key")
+           .agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")))
+    return left.unionByName(one.select("_row.*"))
+
+
 def per_process(name: str, make: Callable, kept: int = 2):
     """``make()``, once in each Python worker; ``name`` tells what is kept apart.
 

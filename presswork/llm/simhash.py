@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, forest
-from .shared import per_process, plain, stored, word_blocks
+from .shared import first_rows, per_process, place, plain, stored, text_uid, word_blocks
 
 WIDTH = 4
 THRESHOLD = 4
@@ -230,14 +230,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     prints = stored(docs.select(F.col(id_col).alias("doc_id"),
                                 fingerprints(F.col(text_col), width, seed).alias("fp")), "prints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-prints")
+    return (_with_least(prints, F.col("doc_id"), threshold, homes)
+            .select("doc_id", "fp", F.col("first").alias("component_id")))
+
+
+def _with_least(prints: DataFrame, value: Column, threshold: int, homes: int) -> DataFrame:
+    """``prints`` with ``first``, the least value in the component of its ``fp``."""
+    distinct = stored(prints.groupBy("fp").agg(F.min(value).alias("least")), "distinct-prints")
     linked = components(fingerprint_links(distinct, threshold, homes))
     rooted = stored(
         distinct.join(linked, distinct["fp"] == linked["node"], "left")
         .select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
-    least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component")
-    named = stored(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    least = stored(rooted.groupBy("root").agg(F.min("least").alias("first")), "component")
+    named = stored(rooted.join(least, "root").select("fp", "first"), "named")
+    return prints.join(named, "fp")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -245,8 +251,14 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the smallest id of each group of near duplicates; all columns, null ids stay."""
-    gone = stored(near_groups(docs, id_col, text_col).where("doc_id <> component_id")
-                  .select(F.col("doc_id").alias("_gone_id")).distinct(), "near-gone")
-    return docs.join(gone, docs[id_col] == gone["_gone_id"], "left_anti")
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+              null_ids_stay: bool = True) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, one of its smallest id; all columns stay.
+
+    Rows go by id and text: texts of an id that are in other groups stay there.
+    Rows with a null id all stay, or with ``null_ids_stay=False`` only one of a
+    group without other ids.
+    """
+    prints = stored(docs.select(F.col(id_col).alias("doc_id"), text_uid(id_col, text_col).alias("uid"),
+                                fingerprints(F.col(text_col)).alias("fp")), "prints")
+    return first_rows(docs, _with_least(prints, place(), THRESHOLD, HOMES), id_col, text_col, null_ids_stay)

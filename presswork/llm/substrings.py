@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import recompression
-from .shared import discard, plain, stored, word_blocks
+from .shared import discard, plain, stored, text_uid, word_blocks
 
 WINDOW = 13
 #: Bytes of text that are parsed at once.
@@ -157,10 +157,6 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             .agg(F.collect_set("span").alias("windows")))
 
 
-def text_uid(id_col: str, text_col: str):
-    return F.xxhash64(F.col(id_col), plain(F.col(text_col)))
-
-
 def _parts(data: bytes) -> Iterator[bytes]:
     """A text in slices that end between words."""
     at = 0

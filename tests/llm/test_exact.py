@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from presswork.llm import exact
 
 
@@ -52,3 +53,17 @@ def test_repeats_go_and_columns_stay(docs):
 def test_main_path_is_native(docs):
     plan = exact.exact_groups(docs("a"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_one_row_of_a_group_stays_and_goes_by_id_and_text(spark, docs):
+    a, b = "a text", "another text"
+    df = docs((1, a), (5, a), (5, b), (5, "a  text"), (7, "twice"), (7, "twice"), (7, "twice "), (None, a),
+              (None, "no id"), (None, "no id"), (None, "no  id"), (None, "alone"), (8, None), (8, ""))
+    left = lambda got: sorted((str(r.doc_id), " ".join((r.text or "").split())) for r in got.collect())
+    named = [("1", a), ("5", b), ("7", "twice"), ("7", "twice"), ("8", "")]
+    assert left(exact.drop_exact(df, null_ids_stay=False)) == sorted(
+        [*named, ("None", "alone"), ("None", "no id")])
+    assert left(exact.drop_exact(df)) == sorted(
+        [*named, ("None", a), ("None", "alone"), *[("None", "no id")] * 3])
+    got = corpus_pipeline.drop_exact(spark, df, "")
+    assert got.dtypes == df.dtypes and len(got.collect()) == 7

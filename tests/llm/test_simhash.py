@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from presswork.llm import graph, queries, simhash
 from presswork.llm.shared import word_blocks
 
@@ -136,3 +137,16 @@ def test_one_document_of_a_group_stays(docs):
     got = simhash.drop_near(df)
     assert got.columns == df.columns
     assert sorted(str(r.doc_id) for r in got.collect()) == ["0", "1", "None"]
+
+
+def test_one_row_of_a_group_stays_and_goes_by_id_and_text(spark, docs):
+    a, b = "a b c d e", "other words in this text"
+    df = docs((1, a), (5, "A b c d  e"), (5, b), (1, "a b c  d e"), (1, "some third text of id one"),
+              (7, "twice the same text"), (7, "twice the same text"), (None, a), (None, "a text without id"),
+              (None, "a  text without id"))
+    left = lambda got: sorted((str(r.doc_id), " ".join(r.text.split())) for r in got.collect())
+    named = [("1", a), ("1", "some third text of id one"), ("5", b), ("7", "twice the same text")]
+    assert left(simhash.drop_near(df, null_ids_stay=False)) == sorted([*named, ("None", "a text without id")])
+    assert left(simhash.drop_near(df)) == sorted([*named, ("None", a), *[("None", "a text without id")] * 2])
+    got = corpus_pipeline.drop_near(spark, df, "")
+    assert got.dtypes == df.dtypes and len(got.collect()) == 5
