@@ -75,9 +75,11 @@ def web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame, with_ids: bool = False) -> DataFrame:
+    """The place of each piece of all documents and a digest of its ids; ``with_ids``, the ids too."""
     pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    light = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    light = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                          *["ids"] * with_ids)
     return packing.pack(light)
 
 

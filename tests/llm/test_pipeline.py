@@ -1,3 +1,4 @@
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -70,3 +71,14 @@ def test_run_gives_the_last_stage(spark, steps):
     assert [(r.doc_id, r.start, r.ids_crc32) for r in got] == [
         (r.doc_id, r.start, r.ids_crc32) for r in steps[5].orderBy(key).collect()]
     assert "pipeline" not in queries.QUERIES
+
+
+def test_sequences_hold_the_ids_of_the_texts(steps):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer.encode_special_tokens = True
+    found = {}
+    for r in sorted(steps[5].collect(), key=lambda r: (r.doc_id, r.start)):
+        assert len(r.ids) == 4 * r.length
+        found[r.doc_id] = found.get(r.doc_id, b"") + r.ids
+    assert {d: np.frombuffer(ids, "<u4").tolist() for d, ids in found.items()} == {
+        r.doc_id: tokenizer.encode(r.text, add_special_tokens=False).ids + [1] for r in steps[4].collect()}
