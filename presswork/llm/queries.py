@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, languages, packing, search, simhash, substrings, toxicity, url_lists, warc
+from . import (
+    bpe, centroids, exact, languages, manifest, packing, search, simhash, substrings, tokens, toxicity,
+    url_lists, warc,
+)
 from .shared import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,6 +207,117 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, tampered with where 7 divides the crc32 of the id."""
+    return manifest.verified_manifest(
+        table(spark, sf_dir, "documents"),
+        tampered=lambda: F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
+
+
+MANIFEST_SQL = """
+WITH RECURSIVE named AS (
+  SELECT doc_id, lang, n_chars, list_transform(
+      [doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text, (n_chars::HUGEINT + 1)::VARCHAR],
+      lambda v: coalesce(strlen(v) || ':' || v, '-')) AS f,
+    xor(4294967295, list_reduce(
+      list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)),
+        lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, lang, sha256(f[1] || f[2] || f[3] || f[4] || f[5]) AS leaf,
+    CASE WHEN crc % 7 = 0 AND n_chars IS NOT NULL
+      THEN sha256(f[1] || f[2] || f[3] || f[6] || f[5]) END AS altered
+  FROM named),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS tree,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM leaves),
+nodes AS (
+  SELECT tree, 0 AS level, pos, leaf AS node, count(*) OVER (PARTITION BY tree) AS size FROM placed
+  UNION ALL
+  SELECT tree, any_value(level) + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)),
+    (any_value(size) + 1) // 2
+  FROM nodes WHERE size > 1 GROUP BY tree, pos // 2),
+subroots AS (
+  SELECT tree, level, node, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS size
+  FROM nodes WHERE size = 1),
+tops AS (
+  SELECT 0 AS level, pos, node, size FROM subroots
+  UNION ALL
+  SELECT any_value(level) + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)),
+    (any_value(size) + 1) // 2
+  FROM tops WHERE size > 1 GROUP BY pos // 2),
+steps AS (
+  SELECT p.tree, p.pos, n.level, n.pos > (p.pos >> n.level) AS after, n.node AS other
+  FROM placed p JOIN nodes n ON n.tree = p.tree AND n.size > 1 AND n.pos = xor(p.pos >> n.level, 1)
+  UNION ALL
+  SELECT p.tree, p.pos, s.level + t.level, t.pos > (s.pos >> t.level), t.node
+  FROM placed p JOIN subroots s USING (tree)
+    JOIN tops t ON t.size > 1 AND t.pos = xor(s.pos >> t.level, 1)),
+heights AS (
+  SELECT tree, s.level + (SELECT max(level) FROM tops) AS height FROM subroots s),
+folds AS (
+  SELECT tree, pos, 0 AS level, coalesce(altered, leaf) AS node FROM placed
+  UNION ALL
+  SELECT f.tree, f.pos, f.level + 1, sha256(CASE WHEN s.after THEN f.node || s.other
+    ELSE coalesce(s.other, '') || f.node END)
+  FROM folds f JOIN heights h ON h.tree = f.tree AND f.level < h.height
+    LEFT JOIN steps s ON s.tree = f.tree AND s.pos = f.pos AND s.level = f.level),
+proofs AS (
+  SELECT tree, pos, string_agg(other, '' ORDER BY level) AS proof FROM steps GROUP BY tree, pos)
+SELECT p.doc_id, p.leaf, s.node AS subroot, r.node AS root, sha256(coalesce(q.proof, '')) AS proof_sha256,
+  f.node AS folded_root, f.node = r.node AS verified
+FROM placed p JOIN subroots s USING (tree) JOIN heights h USING (tree)
+  JOIN folds f ON f.tree = p.tree AND f.pos = p.pos AND f.level = h.height
+  JOIN (SELECT node FROM tops WHERE size = 1) r ON true
+  LEFT JOIN proofs q ON q.tree = p.tree AND q.pos = p.pos
+"""
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"),
+                               public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _cluster_sql(rounds: int = centroids.ROUNDS, clusters: int = centroids.CLUSTERS) -> str:
+    """The rounds one after the other; rows are numbered, since ids may repeat."""
+    parts = [f"""
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS cluster, v AS c
+  FROM v QUALIFY cluster < {clusters})"""]
+    for r in range(rounds + 1):
+        parts.append(f""",
+a{r} AS MATERIALIZED (
+  SELECT n, min(struct_pack(d := list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))),
+                            cluster := cluster)) AS best
+  FROM v, c{r} GROUP BY n)""")
+        if r < rounds:
+            parts.append(f""",
+m{r} AS (
+  SELECT cluster, list((total - ((total % members) + members) % members) // members ORDER BY place) AS c
+  FROM (SELECT a.best.cluster AS cluster, place, sum(v.v[place])::HUGEINT AS total, count(*) AS members
+        FROM a{r} a JOIN v USING (n), range(1, 65) t(place) GROUP BY ALL) GROUP BY cluster),
+c{r + 1} AS MATERIALIZED (
+  SELECT cluster, coalesce(m.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} m USING (cluster))""")
+    parts.append(f"""
+SELECT v.vec_id, a.best.cluster::INT AS cluster, a.best.d::BIGINT AS distance,
+  (sum(a.best.d) OVER (PARTITION BY a.best.cluster))::BIGINT AS cluster_inertia,
+  (sum(a.best.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} a USING (n) JOIN c{rounds} c ON c.cluster = a.best.cluster""")
+    return "".join(parts)
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": language_id,
     "op2_byte_bpe": byte_bpe,
@@ -215,10 +329,15 @@ QUERIES: dict[str, Query] = {
     "op8_substring_dedup": substring_dedup,
     "op9_url_filters": url_filter,
     "op10_exact_dedup": exact_dedup,
+    "op11_merkle_manifest": merkle_manifest,
+    "op12_token_counts": token_counts,
+    "op13_centroid_clusters": centroid_clusters,
 }
 
 SQL: dict[str, str] = {
     "op3_top_k": TOP_SQL,
     "op9_url_filters": URL_SQL,
     "op10_exact_dedup": EXACT_SQL,
+    "op11_merkle_manifest": MANIFEST_SQL,
+    "op13_centroid_clusters": _cluster_sql(),
 }
