@@ -40,8 +40,8 @@ def _results(spark, sf):
     return bound(spark, sf, "production_results")
 
 
-def _machines(spark, sf, spec=NO_FILTER, limit=100):
-    return ops.machine_kpi(_results(spark, sf), spec, limit)
+def _machines(spark, sf, spec=NO_FILTER, limit=100, ordered=True):
+    return ops.machine_kpi(_results(spark, sf), spec, limit, ordered)
 
 
 def _molds(spark, sf, spec=NO_FILTER, limit=30):
@@ -76,16 +76,17 @@ def _changes(operator, spark, sf, *args):
     return operator(bound(spark, sf, "production_runs"), bound(spark, sf, "downtimes"), *args)
 
 
-def _planned(spark, sf, spec=NO_FILTER, limit=500):
+def _planned(spark, sf, spec=NO_FILTER, limit=500, ordered=True):
     t = bound_tables(spark, sf)
     return ops.planned_material_need(
         t.order_headers, t.order_lines, t.products, t.bom, t.consumables, t.order_status,
-        spec, limit)
+        spec, limit, ordered)
 
 
-def _by_order(spark, sf, spec=NO_FILTER, limit=500):
+def _by_order(spark, sf, spec=NO_FILTER, limit=500, ordered=True):
     t = bound_tables(spark, sf)
-    return ops.material_use_by_order(t.production_results, t.bom, t.consumables, spec, limit)
+    return ops.material_use_by_order(
+        t.production_results, t.bom, t.consumables, spec, limit, ordered=ordered)
 
 
 def _trend(spark, sf, spec=NO_FILTER):
@@ -119,12 +120,14 @@ HEADLINE: dict[str, Query] = {
     "filter_articles": _choices(ops.filter_articles),
     "filter_molds": _choices(ops.filter_molds),
     "machine_kpi": _machines,
-    "machine_kpi_summary": lambda s, sf: ops.machine_kpi_summary(_machines(s, sf, limit=None)),
+    "machine_kpi_summary": lambda s, sf: ops.machine_kpi_summary(
+        _machines(s, sf, limit=None, ordered=False)),
     "mold_kpi": _molds,
     "downtime_pareto": _downtimes,
     "scrap_pareto": _scraps,
     "energy_alerts": lambda s, sf: _alerts(ops.energy_alerts, s, sf),
-    "energy_alert_rollup": lambda s, sf: _alerts(ops.energy_alert_rollup, s, sf),
+    "energy_alert_rollup": lambda s, sf: _alerts(
+        ops.energy_alert_rollup, s, sf, NO_FILTER, None, False),
     "energy_live": lambda s, sf: ops.energy_live(bound(s, sf, "energy_readings")),
     "energy_live_summary": lambda s, sf: ops.energy_live_summary(
         ops.energy_live(bound(s, sf, "energy_readings"))),
@@ -136,10 +139,10 @@ HEADLINE: dict[str, Query] = {
     "downtime_log": _downtime_log,
     "mold_changes": lambda s, sf: _changes(ops.mold_changes, s, sf),
     "mold_change_quality": lambda s, sf: ops.mold_change_quality(
-        _changes(ops.mold_changes, s, sf, NO_FILTER, None)),
+        _changes(ops.mold_changes, s, sf, NO_FILTER, None, False)),
     "mold_change_kpi": lambda s, sf: _changes(ops.mold_change_kpi, s, sf),
     "mold_change_kpi_summary": lambda s, sf: ops.mold_change_kpi_summary(
-        _changes(ops.mold_change_kpi, s, sf)),
+        _changes(ops.mold_change_kpi, s, sf, NO_FILTER, None, False)),
     "mold_change_trend": lambda s, sf: _changes(ops.mold_change_trend, s, sf),
     "materials_list": _materials_list,
     "planned_material_need": _planned,
@@ -147,7 +150,7 @@ HEADLINE: dict[str, Query] = {
     "material_daily_trend": _trend,
     "material_summary": _materials,
     "material_totals": lambda s, sf: ops.material_totals(
-        _planned(s, sf, limit=None), _by_order(s, sf, limit=None)),
+        _planned(s, sf, limit=None, ordered=False), _by_order(s, sf, limit=None, ordered=False)),
     "table_row_counts": lambda s, sf: ops.table_row_counts(bound_tables(s, sf)),
 }
 

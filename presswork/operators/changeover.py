@@ -101,16 +101,17 @@ def _mean_minutes() -> Column:
 
 def mold_changes(
     runs: DataFrame, downtimes: DataFrame, spec: FilterSpec = EVERYTHING,
-    limit: int | None = 500,
+    limit: int | None = 500, ordered: bool = True,
 ) -> DataFrame:
-    """Single changes, latest first."""
-    return ranked(_changes(runs, downtimes, spec, by_mold=True), F.desc("old_end"), limit=limit)
+    """Single changes, latest first; unsorted if not ``ordered`` and whole."""
+    return ranked(_changes(runs, downtimes, spec, by_mold=True), F.desc("old_end"), limit=limit,
+                  ordered=ordered)
 
 
 def mold_change_quality(changes: DataFrame) -> DataFrame:
     """How many of the rows of :func:`mold_changes` have a precise start.
 
-    For the quality of all changes give it the changes without a limit.
+    For the quality of all changes give it the changes without a limit, and not ordered.
     """
     return changes.agg(
         F.count(F.lit(1)).alias("changes"),
@@ -121,14 +122,16 @@ def mold_change_quality(changes: DataFrame) -> DataFrame:
 
 def mold_change_kpi(
     runs: DataFrame, downtimes: DataFrame, spec: FilterSpec = EVERYTHING,
-    changes: DataFrame | None = None,
+    changes: DataFrame | None = None, ordered: bool = True,
 ) -> DataFrame:
-    """Durations per machine, longest mean first. The mold filter does not apply.
+    """Durations per machine, longest mean first unless ``ordered`` is false.
+
+    The mold filter does not apply.
 
     ``changes`` is the result of :func:`mold_changes` for the same tables and
     filter, without a mold filter or a limit, if it is at hand.
     """
-    return (
+    kpi = (
         (_changes(runs, downtimes, spec, by_mold=False) if changes is None else changes)
         .groupBy("machine_code")
         .agg(
@@ -139,8 +142,8 @@ def mold_change_kpi(
             F.max("minutes").cast("double").alias("max_min"),
             round_to(F.stddev_samp("minutes"), 1).alias("stddev_min"),
         )
-        .orderBy(F.desc("avg_min"), "machine_code")
     )
+    return kpi.orderBy(F.desc("avg_min"), "machine_code") if ordered else kpi
 
 
 def mold_change_kpi_summary(kpi: DataFrame) -> DataFrame:

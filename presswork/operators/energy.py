@@ -14,26 +14,30 @@ ACTIVE_KW = 1.0
 
 
 def energy_alerts(
-    alerts: DataFrame, spec: FilterSpec = EVERYTHING, limit: int | None = 5000
+    alerts: DataFrame, spec: FilterSpec = EVERYTHING, limit: int | None = 5000,
+    ordered: bool = True,
 ) -> DataFrame:
-    """Latest alerts, newest shift first."""
+    """Latest alerts, newest shift first; unsorted if not ``ordered`` and whole."""
     selected = spec.apply(alerts, days="shift_start", machines="machine_code")
     selected = newest(selected, "shift_start", limit).select(
         "shift_start", "shift_end", "machine_code", "shift", "order_type", "event_type",
         "alert_start", "alert_end", round_to(or_zero("kwh"), 2).alias("kwh"))
-    return ranked(selected, F.desc("shift_start"), limit=limit)
+    return ranked(selected, F.desc("shift_start"), limit=limit, ordered=ordered)
 
 
 def energy_alert_rollup(
-    alerts: DataFrame, spec: FilterSpec = EVERYTHING, limit: int | None = None
+    alerts: DataFrame, spec: FilterSpec = EVERYTHING, limit: int | None = None,
+    ordered: bool = True,
 ) -> DataFrame:
     """Alerts, hours and consumption per machine over all alerts, or the latest ``limit``.
 
-    An alert without an end after its start is counted with 0 hours.
+    An alert without an end after its start is counted with 0 hours. Machines
+    come by consumption, highest first, unless ``ordered`` is false; the alerts
+    are summed without an order in any case.
     """
     machine = F.coalesce(F.nullif(F.trim("machine_code"), F.lit("")), F.lit(UNKNOWN_MACHINE))
     totals = (
-        energy_alerts(alerts, spec, limit)
+        energy_alerts(alerts, spec, limit, ordered=False)
         .groupBy(machine.alias("machine_code"))
         .agg(
             F.count(F.lit(1)).alias("alerts"),
@@ -41,10 +45,10 @@ def energy_alert_rollup(
             F.sum("kwh").alias("kwh"),
         )
     )
-    return totals.select(
+    rollup = totals.select(
         "machine_code", "alerts",
-        round_to(F.col("hours"), 2).alias("hours"), round_to(F.col("kwh"), 2).alias("kwh"),
-    ).orderBy(F.desc("kwh"), "machine_code")
+        round_to(F.col("hours"), 2).alias("hours"), round_to(F.col("kwh"), 2).alias("kwh"))
+    return rollup.orderBy(F.desc("kwh"), "machine_code") if ordered else rollup
 
 
 def energy_live(readings: DataFrame) -> DataFrame:

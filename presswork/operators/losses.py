@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from presswork.filters import EVERYTHING, FilterSpec, on_matching_machines
 from presswork.functions import label_or_code, round_to
-from presswork.plans.ranking import among, newest, ranked, share_of_total
+from presswork.plans.ranking import named_by, newest, ranked, share_of_total
 
 
 def _by_cause(
@@ -101,8 +101,8 @@ def downtime_log(
     orders = orders.select(F.col("id").alias("order_id"), "order_code")
     reasons = reasons.select(F.col("id").alias("reason_id"), "reason")
     if limit is not None:
-        orders = orders.where(among("order_id", latest))
-        reasons = reasons.where(among("reason_id", latest))
+        orders = named_by(orders, latest, "order_id")
+        reasons = named_by(reasons, latest, "reason_id")
     named = latest.join(orders, "order_id", "left").join(reasons, "reason_id", "left")
     ordered = named.select(*stops.columns, "order_code", "reason")
     return ranked(ordered, F.desc("start_ts"), limit=limit).select(

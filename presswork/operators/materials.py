@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from presswork.filters import EVERYTHING, FilterSpec, not_blank
 from presswork.functions import label_or_code, or_zero, round_to, share
 from presswork.operators.orders import MISSING
-from presswork.plans.ranking import among, ranked
+from presswork.plans.ranking import named_by, ranked
 
 # Fixed values of the result: orders in these states still need material.
 OPEN_STATES = ("L", "D", "P", "S")
@@ -44,13 +44,53 @@ def _unit() -> Column:
     return F.coalesce("unit", F.lit(DEFAULT_UNIT)).alias("unit")
 
 
+def _needed(dose: str, pieces: str = "remaining_pieces") -> Column:
+    return round_to(F.col(dose) * F.col(pieces), 2)
+
+
+def _within_reach(
+    items: DataFrame, orders: DataFrame, doses: DataFrame, consumables: DataFrame, limit: int
+) -> DataFrame:
+    """The lines that can be among the ``limit`` largest needs, ties included.
+
+    What is left of a line times the largest dose of its product is the most
+    that any of its rows can need. The ``limit`` lines of open orders with most
+    in that sense are worked out first; the need at place ``limit`` among their
+    rows is a floor that no row of the result is below. Lines that cannot reach
+    it with the largest dose of all fall in their scan, and those that cannot
+    with the largest of their product before they meet the bill of materials.
+    Where the first lines have fewer rows than ``limit``, all lines stay.
+    """
+    most = doses.groupBy(*_BOM_KEY).agg(F.max("_dose").alias("_most"))
+    first = (
+        items.select("order_code", *_BOM_KEY, "remaining_pieces")
+        .join(orders.select("order_code"), "order_code", "left_semi")
+        .join(most, _BOM_KEY)
+        .orderBy(F.desc(_needed("_most"))).limit(limit)
+    )
+    best = (
+        first.join(doses, _BOM_KEY)
+        .join(consumables.select("material_code"), "material_code", "left_semi")
+        .select(_needed("_dose").alias("kg")).orderBy(F.desc("kg")).limit(limit)
+    )
+    floor = best.agg(F.when(F.count("kg") == limit, F.min("kg"))).scalar()
+    largest = doses.agg(F.max("_dose")).scalar()
+
+    def reaches(kilos: Column) -> Column:
+        return F.coalesce(kilos >= floor, floor.isNull())
+
+    near = items.where(reaches(round_to(largest * F.col("remaining_pieces"), 2)))
+    return near.join(most, _BOM_KEY).where(reaches(_needed("_most"))).select(items.columns)
+
+
 def planned_material_need(
     headers: DataFrame, lines: DataFrame, products: DataFrame, bom: DataFrame,
     consumables: DataFrame, status: DataFrame, spec: FilterSpec = EVERYTHING,
-    limit: int | None = 500,
+    limit: int | None = 500, ordered: bool = True,
 ) -> DataFrame:
     """Material per line of an open order: planned, used and still needed; most needed first.
 
+    With a limit only lines that can reach the result meet the bill of materials.
     Product and status texts are looked up for the rows shown only, and of the
     products only those that these rows name are read for it.
     """
@@ -69,8 +109,8 @@ def planned_material_need(
         F.greatest(planned - good, F.lit(0)).alias("remaining_pieces"),
     )
 
-    def kilos(pieces: str) -> Column:
-        return round_to(F.col("_dose") * F.col(pieces), 2)
+    if limit is not None:
+        items = _within_reach(items, orders, doses, consumables, limit)
 
     keys = ["order_code", "product_code", "material_code"]
     needs = (
@@ -80,19 +120,19 @@ def planned_material_need(
         .select(
             *keys, "planned_pieces", "good_pieces", "scrap_pieces", "remaining_pieces", "_dose",
             "machine_code", "machine_name", "mold_code", "status_code", "material_name", "unit",
-            kilos("remaining_pieces").alias("needed_kg"),
+            _needed("_dose").alias("needed_kg"),
         )
     )
     columns = needs.columns
     if limit is not None:
         needs = ranked(needs, F.desc("needed_kg"), limit=limit)
-        products = products.where(among("product_code", needs))
+        products = named_by(products, needs, "product_code")
     named = (
         needs.join(products.select("product_code", "product_name"), "product_code", "left")
         .join(status.select("status_code", "status_label"), "status_code", "left")
         .select(*columns, "product_name", "status_label")
     )
-    return ranked(named, F.desc("needed_kg"), limit=limit).select(
+    return ranked(named, F.desc("needed_kg"), limit=limit, ordered=ordered).select(
         "order_code",
         F.coalesce("machine_code", F.lit(MISSING)).alias("machine_code"),
         label_or_code("machine_name", "machine_code").alias("machine_name"),
@@ -101,7 +141,8 @@ def planned_material_need(
         "material_code", label_or_code("material_name", "material_code").alias("material_name"),
         _unit(), round_to(F.col("_dose"), 4).alias("dose"),
         "planned_pieces", "good_pieces", "scrap_pieces", "remaining_pieces",
-        kilos("planned_pieces").alias("planned_kg"), kilos("good_pieces").alias("used_kg"),
+        _needed("_dose", "planned_pieces").alias("planned_kg"),
+        _needed("_dose", "good_pieces").alias("used_kg"),
         "needed_kg",
         "status_code", label_or_code("status_label", "status_code").alias("status"),
     )
@@ -146,9 +187,9 @@ def _kilos(pieces: Column) -> Column:
 
 def material_use_by_order(
     results: DataFrame, bom: DataFrame, consumables: DataFrame, spec: FilterSpec = EVERYTHING,
-    limit: int | None = 500, base: DataFrame | None = None,
+    limit: int | None = 500, base: DataFrame | None = None, ordered: bool = True,
 ) -> DataFrame:
-    """Consumption per order, machine, product and material, most first.
+    """Consumption per order, machine, product and material, most first unless not ``ordered``.
 
     Rows are summed before the material texts are joined, and not regrouped
     after it: the join on a frequent material can then be split at run time.
@@ -176,7 +217,7 @@ def material_use_by_order(
         .select(*groups, "material_name", "unit", *sums, "first_start", "last_end")
     )
     mean_dose = F.when(F.col("_dosed") > 0, F.col("_doses") / F.col("_dosed"))
-    return ranked(use, F.desc("total_kg"), limit=limit).select(
+    return ranked(use, F.desc("total_kg"), limit=limit, ordered=ordered).select(
         "order_code", "machine_code",
         label_or_code("machine_name", "machine_code").alias("machine_name"),
         "product_code", label_or_code("product_name", "product_code").alias("product_name"),
@@ -248,7 +289,7 @@ def _distinct(column: str) -> Column:
 def material_totals(planned: DataFrame, by_order: DataFrame) -> DataFrame:
     """One row over the rows of both reports: what is still needed and what was used.
 
-    For the totals of all orders give it both reports without a limit.
+    For the totals of all orders give it both reports without a limit, and not ordered.
     """
     def total(column: str, alias: str | None = None) -> Column:
         return or_zero(F.sum(column)).alias(alias or column)

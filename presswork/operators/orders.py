@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from presswork.filters import EVERYTHING, FilterSpec
 from presswork.functions import label_or_code, or_zero, round_to
-from presswork.plans.ranking import among, ranked
+from presswork.plans.ranking import named_by, ranked
 
 RUNNING, PLANNED = "L", "D"
 # Fixed values of the result.
@@ -62,8 +62,8 @@ def sap_orders(
 
     The ranking depends on the headers alone, so unless articles are filtered
     the codes of the orders to show are found first, in a scan of the columns
-    that rank them, and go as a filter to the scans of headers and lines. Headers
-    without a code, which that filter cannot name, stay and are ranked again.
+    that rank them, and a semi-join cuts headers and lines to these before any
+    of them is shuffled for the join.
     """
     columns = [
         "order_code", "machine_code", "machine_name", "mold_code", "mold_name", "strokes",
@@ -71,10 +71,9 @@ def sap_orders(
     ]
     orders = _selected(headers, spec).select(*columns)
     if spec.articles is None and limit is not None:
-        shown = among("order_code", _first(
-            orders.select("order_code", "status_code", "seq_no"), limit))
-        orders = orders.where(shown | F.col("order_code").isNull())
-        lines = lines.where(shown)
+        shown = _first(orders.select("order_code", "status_code", "seq_no"), limit)
+        orders = named_by(orders, shown, "order_code")
+        lines = named_by(lines, shown, "order_code")
     joined = orders.join(_line_totals(lines), "order_code", "left")
     joined = spec.apply(joined, articles="product_code")
 

@@ -38,9 +38,10 @@ def _oee_pct() -> Column:
 
 
 def machine_kpi(
-    results: DataFrame, spec: FilterSpec = EVERYTHING, limit: int | None = 100
+    results: DataFrame, spec: FilterSpec = EVERYTHING, limit: int | None = 100,
+    ordered: bool = True,
 ) -> DataFrame:
-    """KPIs per machine code and name, most pieces first.
+    """KPIs per machine code and name, most pieces first; unsorted if not ``ordered`` and whole.
 
     Rates are plain means over the runs, a missing rate counting as 0. OEE is
     useful time over open time.
@@ -58,13 +59,13 @@ def machine_kpi(
             _oee_pct(),
         )
     )
-    return ranked(machines, F.desc("pieces"), limit=limit)
+    return ranked(machines, F.desc("pieces"), limit=limit, ordered=ordered)
 
 
 def machine_kpi_summary(kpi: DataFrame) -> DataFrame:
     """One row over the rows of :func:`machine_kpi`; none if there are none.
 
-    For the total of all machines give it the KPIs without a limit.
+    For the total of all machines give it the KPIs without a limit, and not ordered.
 
     OEE is the mean of the rounded values, weighted by pieces, or the plain
     mean if nothing was made.

@@ -7,14 +7,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from presswork.functions import share
 
 
-def ranked(df: DataFrame, *first: Column, limit: int | None = None) -> DataFrame:
+def ranked(
+    df: DataFrame, *first: Column, limit: int | None = None, ordered: bool = True
+) -> DataFrame:
     """``df`` ordered by ``first`` and then by all its columns, cut to ``limit`` rows.
 
     Ordering by every column makes the cut well defined: rows that still tie
     are equal. With a limit Spark keeps only the best rows of each partition
     (TakeOrderedAndProject), and gathers these in one task: a limit is for short
-    lists, ``limit=None`` sorts over all tasks.
+    lists, ``limit=None`` sorts over all tasks. Without a limit ``ordered=False``
+    leaves the rows as they are, for totals over them.
     """
+    if limit is None and not ordered:
+        return df
     df = df.orderBy(*first, *df.columns)
     return df if limit is None else df.limit(limit)
 
@@ -28,13 +33,16 @@ def share_of_total(df: DataFrame, value: str) -> Column:
     return share(F.col(value), df.agg(F.sum(value)).scalar())
 
 
-def among(column: str, df: DataFrame) -> Column:
-    """``column`` holds one of its values in ``df``, a short list.
+def named_by(df: DataFrame, shown: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column``, a missing one included, is also in ``shown``.
 
-    The values come from a subquery, so that a table is filtered before it is
-    shuffled for a join with ``df``, whatever size Spark takes it to have.
+    A semi-join: Spark knows how many rows a limit leaves, and sends the values
+    to the scan of ``df`` while they are few; many are shuffled, like ``df``, by
+    the value. So no task holds all values, whatever the limit.
     """
-    return F.array_contains(df.agg(F.collect_set(column)).scalar(), F.col(column))
+    # a name of its own, since both may come from one table
+    values = shown.select(F.col(column).alias("_named"))
+    return df.join(values, df[column].eqNullSafe(values["_named"]), "left_semi")
 
 
 def newest(df: DataFrame, time: str, limit: int | None) -> DataFrame:

@@ -49,7 +49,8 @@ def machine_report(
     tables: Tables, spec: FilterSpec = EVERYTHING, limit: int | None = 100, share: bool = False
 ) -> Report:
     """Machines and the total of all machines."""
-    machines = _shared(ops.machine_kpi(tables.production_results, spec, limit=None), share)
+    machines = _shared(ops.machine_kpi(
+        tables.production_results, spec, limit=None, ordered=False), share)
     return {
         "data": ranked(machines, F.desc("pieces"), limit=limit),
         "summary": ops.machine_kpi_summary(machines),
@@ -66,18 +67,24 @@ def mold_change_report(
 ) -> Report:
     """Changes and the quality of all changes."""
     changes = _shared(
-        ops.mold_changes(tables.production_results, tables.downtimes, spec, limit=None), share)
+        ops.mold_changes(
+            tables.production_results, tables.downtimes, spec, limit=None, ordered=False), share)
     return {
         "data": ranked(changes, F.desc("old_end"), limit=limit),
         "quality": ops.mold_change_quality(changes),
     }
 
 
+def _longest_first(kpi: DataFrame) -> DataFrame:
+    return kpi.orderBy(F.desc("avg_min"), "machine_code")
+
+
 def mold_change_kpi_report(
     tables: Tables, spec: FilterSpec = EVERYTHING, share: bool = False
 ) -> Report:
-    kpi = _shared(ops.mold_change_kpi(tables.production_results, tables.downtimes, spec), share)
-    return {"data": kpi, "summary": ops.mold_change_kpi_summary(kpi)}
+    kpi = _shared(ops.mold_change_kpi(
+        tables.production_results, tables.downtimes, spec, ordered=False), share)
+    return {"data": _longest_first(kpi), "summary": ops.mold_change_kpi_summary(kpi)}
 
 
 def mold_change_overview(
@@ -89,14 +96,14 @@ def mold_change_overview(
     the list and its quality only.
     """
     runs, stops = tables.production_results, tables.downtimes
-    listed = _shared(ops.mold_changes(runs, stops, spec, limit=None), share)
+    listed = _shared(ops.mold_changes(runs, stops, spec, limit=None, ordered=False), share)
     found = listed if spec.molds is None else _shared(
-        ops.mold_changes(runs, stops, replace(spec, molds=None), limit=None), share)
-    kpi = ops.mold_change_kpi(runs, stops, spec, changes=found)
+        ops.mold_changes(runs, stops, replace(spec, molds=None), limit=None, ordered=False), share)
+    kpi = ops.mold_change_kpi(runs, stops, spec, changes=found, ordered=False)
     return {
         "data": ranked(listed, F.desc("old_end"), limit=limit),
         "quality": ops.mold_change_quality(listed),
-        "kpi": kpi,
+        "kpi": _longest_first(kpi),
         "summary": ops.mold_change_kpi_summary(kpi),
         "trend": ops.mold_change_trend(runs, stops, spec, changes=found),
     }
@@ -115,9 +122,9 @@ def material_report(
     base = _shared(consumption_base(results, spec), share)
     planned = _shared(ops.planned_material_need(
         tables.order_headers, tables.order_lines, tables.products, bom, consumables,
-        tables.order_status, spec, limit=None), share)
+        tables.order_status, spec, limit=None, ordered=False), share)
     by_order = _shared(ops.material_use_by_order(
-        results, bom, consumables, spec, limit=None, base=base), share)
+        results, bom, consumables, spec, limit=None, base=base, ordered=False), share)
     keys = ("order_code", "product_code", "material_code", "planned_pieces", "good_pieces",
             "scrap_pieces", "remaining_pieces")
     return {
