@@ -487,6 +487,10 @@ BODIES: dict[str, str] = {
     "material_daily_trend__codes": _trend(_MACHINES),
     "material_summary__codes": _materials(_MACHINES),
     "material_summary__all": _materials(limit=None),
+    "energy_live__stored": _energy_live(),
+    "energy_alerts__stored": _energy_alerts(_days("shift_start", *EVENT_DAYS), 500),
+    "downtime_log__stored": _downtime_log(),
+    "mold_changes__stored": _mold_changes(_CLICK_VIEW, None),
 }
 
 

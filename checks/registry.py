@@ -7,13 +7,17 @@ like exercise the filters; the same filters stand in the SQL of
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from presswork import FilterSpec
 from presswork import operators as ops
+from presswork.schemas import SCHEMAS
 from presswork.sources.bindings import bound, bound_tables
+from presswork.sources.store import Store, workspace
+from presswork.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,6 +112,27 @@ def _operator_time(spark, sf, *args):
     return ops.operator_time(bound(spark, sf, "operator_log"), *args)
 
 
+def _stored(spark, sf, *names) -> Tables:
+    """Whole canonical tables written by day and machine, and read back."""
+    store = Store(spark, workspace(spark), f"presswork_{uuid.uuid4().hex}", buckets=4)
+    for name in names:
+        df = bound(spark, sf, "production_runs" if name == "production_results" else name)
+        missing = {f.name: F.lit(None).cast(f.dataType) for f in SCHEMAS[name]
+                   if f.name not in df.columns}
+        store.write(name, df.withColumns(missing))
+    return store.tables()
+
+
+def _stored_changes(spark, sf):
+    t = _stored(spark, sf, "production_results", "downtimes")
+    return ops.mold_changes(t.production_results, t.downtimes, EVENT_DAYS, None)
+
+
+def _stored_log(spark, sf):
+    t = _stored(spark, sf, "downtimes", "downtime_orders", "downtime_reasons")
+    return ops.downtime_log(t.downtimes, t.downtime_orders, t.downtime_reasons)
+
+
 def _choices(operator, *spec):
     return lambda spark, sf: operator(_results(spark, sf), *spec)
 
@@ -231,6 +256,13 @@ VARIANTS: dict[str, Query] = {
     "material_daily_trend__codes": lambda s, sf: _trend(s, sf, MACHINES_ONLY),
     "material_summary__codes": lambda s, sf: _materials(s, sf, MACHINES_ONLY),
     "material_summary__all": lambda s, sf: _materials(s, sf, limit=None),
+    # Tables stored by day and machine.
+    "energy_live__stored": lambda s, sf: ops.energy_live(
+        _stored(s, sf, "energy_readings").energy_readings),
+    "energy_alerts__stored": lambda s, sf: ops.energy_alerts(
+        _stored(s, sf, "energy_alerts").energy_alerts, EVENT_DAYS, 500),
+    "downtime_log__stored": _stored_log,
+    "mold_changes__stored": _stored_changes,
 }
 
 

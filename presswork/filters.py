@@ -8,6 +8,8 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from presswork.schemas import DAY
+
 ALL = "ALL"
 
 
@@ -80,12 +82,14 @@ class FilterSpec:
 
         ``columns`` maps a restriction (``days``, ``shift``, ``workshop``,
         ``machines``, ``molds``, ``articles``, ``material``) to the column it
-        applies to; restrictions that are not named are ignored.
+        applies to; restrictions that are not named are ignored. Stored facts
+        are cut to their days by the partition column, too.
         """
         for field, column in columns.items():
             if field == "days":
-                for predicate in self.on_days(F.col(column)):
-                    df = df.where(predicate)
+                for time in [column, *[DAY] * (DAY in df.columns)]:
+                    for predicate in self.on_days(F.col(time)):
+                        df = df.where(predicate)
                 continue
             wanted = getattr(self, field)
             if wanted is None:

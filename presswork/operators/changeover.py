@@ -9,6 +9,7 @@ from presswork.functions import minute_diff, round_to
 from presswork.plans.containment import latest_end_within
 from presswork.plans.ranking import ranked
 from presswork.plans.sequence import value_switches
+from presswork.schemas import DAY
 
 # Fixed values of the result: a change takes 1 minute to 8 hours; anything else is an anomaly.
 MIN_MINUTES, MAX_MINUTES = 1, 480
@@ -35,6 +36,8 @@ def _stops_near(downtimes: DataFrame, runs: DataFrame, spec: FilterSpec) -> Data
             .select(shifted(F.col("shift_end"), AFTER_S)).scalar()
         )
         downtimes = downtimes.where(F.col("start_ts").between(first, last))
+        if DAY in downtimes.columns:
+            downtimes = downtimes.where(F.col(DAY).between(F.to_date(first), F.to_date(last)))
     return downtimes
 
 

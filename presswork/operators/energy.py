@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from presswork.filters import EVERYTHING, FilterSpec
 from presswork.functions import hours_between, or_zero, round_to
 from presswork.plans.ranking import newest, ranked
+from presswork.schemas import DAY
 
 # Fixed values of the result.
 UNKNOWN_MACHINE = "Neznámý lis"
@@ -55,8 +56,11 @@ def energy_live(readings: DataFrame) -> DataFrame:
     """Readings at the latest time, highest power first.
 
     The latest time comes from a scan of that column alone, and reaches the
-    second scan as a pushed filter.
+    second scan as a pushed filter. Stored readings are first cut to the last
+    day, which is found from the names of the partitions and the files' footers.
     """
+    if DAY in readings.columns:
+        readings = readings.where(F.col(DAY) == readings.agg(F.max(DAY)).scalar())
     latest = readings.agg(F.max("reading_ts")).scalar()
     return (
         readings.where(F.col("reading_ts") == latest)

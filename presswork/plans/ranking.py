@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from presswork.functions import share
+from presswork.schemas import DAY
 
 
 def ranked(
@@ -51,19 +52,23 @@ def newest(df: DataFrame, time: str, limit: int | None) -> DataFrame:
     Rows are counted per day in a scan of ``time`` alone. The first day that is
     still needed then goes to the scan of all columns as a pushed filter, so
     that it reads, and the ranking gathers, little more than ``limit`` rows.
-    Rows without a time sort last and stay in.
+    Rows without a time sort last and stay in. Of stored facts the rows per day
+    are counted from the files' footers, and older days are not opened.
     """
     if limit is None:
         return df
+    kept = DAY in df.columns
     newer = Window.orderBy(F.desc("day")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     days = (
-        df.groupBy(F.to_date(time).alias("day")).agg(F.count(time).alias("rows"))
+        df.groupBy(F.to_date(DAY if kept else time).alias("day"))
+        .agg(F.count(F.lit(1) if kept else time).alias("rows"))
         .withColumn("rows", F.sum("rows").over(newer))
     )
     # The latest day with enough rows up to it, or the earliest if all are too few.
     first = days.agg(
         F.coalesce(F.max(F.when(F.col("rows") >= limit, F.col("day"))), F.min("day"))
-        .cast("timestamp_ntz")
+        .cast("date" if kept else "timestamp_ntz")
     ).scalar()
-    return df.where((F.col(time) >= first) | F.col(time).isNull())
+    bounded = F.col(DAY if kept else time)
+    return df.where((bounded >= first) | bounded.isNull())

@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 
 CODE, NAME, UNIT, STATUS = 50, 100, 20, 10
 
+#: The day of a fact's time, a partition column that stored facts have beside their own.
+DAY = "day"
+
 
 def _text(name: str, width: int = CODE) -> T.StructField:
     return T.StructField(name, T.StringType(), True, {"width": width})

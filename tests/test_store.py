@@ -1,0 +1,147 @@
+"""The canonical tables on disk: round trip, skipped files, no shuffle by machine."""
+
+import pytest
+from conftest import SMALL, at, rows
+from pyspark.sql import functions as F
+
+from presswork import FilterSpec
+from presswork import operators as ops
+from presswork.plans.sequence import value_switches
+from presswork.schemas import SCHEMAS
+from presswork.sources.bindings import bound, bound_tables
+from presswork.sources.store import FACTS, Store, workspace
+
+EVENTS = ("downtimes", "energy_alerts", "energy_readings", "energy_stops", "operator_log")
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return bound_tables(spark, SMALL)
+
+
+@pytest.fixture(scope="module", params=[4, 0])
+def store(spark, tables, request):
+    store = Store(spark, workspace(spark), f"store{request.param}", request.param)
+    for name in EVENTS:
+        store.write(name, tables[name])
+    return store
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+
+
+@pytest.mark.parametrize("name", EVENTS)
+def test_round_trip(store, tables, name):
+    back = store.read(name)
+    assert back.columns == [*SCHEMAS[name].names, "day"]
+    assert sorted(rows(back.drop("day")), key=str) == sorted(rows(tables[name].select(SCHEMAS[name].names)), key=str)
+    assert back.where(~F.col("day").eqNullSafe(F.to_date(FACTS[name]))).isEmpty()
+
+
+def test_hard_rows_and_other_tables(spark, table, tmp_path):
+    store = Store(spark, str(tmp_path), "hard", 3)
+    stops = table("downtimes", {"machine_code": None, "start_ts": at("10:00"), "duration_s": 5},
+                  {"machine_code": " M ", "duration_s": 7}, {}, {},
+                  {"machine_code": "m" * 80, "start_ts": at("0001-01-01"), "duration_s": -1})
+    store.write("downtimes", stops)
+    found = sorted(rows(store.read("downtimes"), "machine_code", "duration_s", "day"), key=str)
+    assert [r[:2] for r in found] == sorted(
+        [(None, 5), ("M", 7), (None, None), (None, None), ("m" * 50, -1)], key=str)
+    store.write("downtimes", stops.limit(0))
+    assert rows(store.read("downtimes")) == []
+    store.write("bom", table("bom", {"product_code": "P"}))
+    assert store.read("bom").columns == SCHEMAS["bom"].names
+    assert store.tables().bom.count() == 1
+
+
+def test_a_later_session_opens_what_was_written(spark, store, tables):
+    other = Store(spark, store.root, store.prefix + "_again", store.buckets)
+    other.open("downtimes")
+    found = other.read("downtimes")
+    assert sorted(rows(found), key=str) == sorted(rows(store.read("downtimes")), key=str)
+    plan = plan_of(found.groupBy("machine_code").count())
+    assert ("Exchange" in plan) == (store.buckets == 0)
+
+
+def test_days_and_machines_are_skipped(store):
+    spec = FilterSpec("2024-01-05", "2024-01-06", machines=["7"])
+    plan = plan_of(ops.energy_alerts(store.read("energy_alerts"), spec, limit=None))
+    assert "PartitionFilters: [isnotnull(day" in plan and "(day#" in plan.split("PartitionFilters")[1]
+    if store.buckets:
+        of_machine = spec.apply(store.read("downtimes"), machines="machine_code")
+        plan = plan_of(of_machine.groupBy("machine_code").count())
+        assert f"SelectedBucketsCount: 1 out of {store.buckets}" in plan
+
+
+def scans(df):
+    """Files and rows that the scans of an executed query have read, in the order of the plan."""
+    df.collect()
+    found = []
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name in ("AdaptiveSparkPlanExec",):
+            node = node.executedPlan()
+            name = node.getClass().getSimpleName()
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if name == "FileSourceScanExec":
+            metrics = node.metrics()
+            found.append((metrics.apply("numFiles").value(), metrics.apply("numOutputRows").value()))
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+        for i in range(node.subqueries().size()):
+            walk(node.subqueries().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+def test_live_readings_open_the_last_day_only(store, tables):
+    live = ops.energy_live(store.read("energy_readings"))
+    assert rows(live) == rows(ops.energy_live(tables["energy_readings"]))
+    plan = plan_of(live)
+    # the latest day from the partitions alone, the latest time from that day's files
+    assert "PartitionFilters: [isnotnull(day" in plan and "ReadSchema: struct<>" in plan
+    days = tables["energy_readings"].select("reading_ts").distinct().count()
+    total = store.read("energy_readings").inputFiles()
+    read = [files for files, _ in scans(ops.energy_live(store.read("energy_readings")))]
+    assert days > 10 and read and min(read) <= max(1, len(total) // days * 2)
+
+
+def test_newest_rows_open_the_last_days_only(store, tables):
+    few = ops.energy_alerts(store.read("energy_alerts"), limit=5)
+    assert rows(few) == rows(ops.energy_alerts(tables["energy_alerts"], limit=5))
+    plan = plan_of(few)
+    assert "ReadSchema: struct<>" in plan
+    for limit in (1, 40, 10**6):
+        assert rows(ops.energy_alerts(store.read("energy_alerts"), limit=limit)) == rows(
+            ops.energy_alerts(tables["energy_alerts"], limit=limit))
+
+
+def test_no_shuffle_by_machine(spark, tables, tmp_path):
+    runs = bound(spark, SMALL, "production_runs").withColumns(
+        {f.name: F.lit(None).cast(f.dataType) for f in SCHEMAS["production_results"]
+         if f.name not in ("machine_code", "mold_code", "product_code", "shift_start", "shift_end")})
+    store = Store(spark, str(tmp_path), "runs", 4)
+    store.write("production_results", runs)
+    stored = store.read("production_results")
+    kpi = ops.machine_kpi(stored, limit=None, ordered=False)
+    switches = value_switches(
+        stored.drop("day"), "machine_code", "shift_start", "mold_code", "shift_end", ["product_code"])
+    for df in (kpi, switches):
+        assert "Exchange" not in plan_of(df)
+    assert sorted(rows(kpi), key=str) == sorted(rows(ops.machine_kpi(runs, limit=None)), key=str)
+    store.write("downtimes", tables["downtimes"])
+    assert rows(ops.mold_changes(stored, store.read("downtimes"))) == rows(
+        ops.mold_changes(runs, tables["downtimes"]))
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default),
+                              sparkContext=SimpleNamespace(master="spark://host"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        workspace(cluster)
