@@ -1,0 +1,92 @@
+import random
+
+import public_tokenizers
+import pytest
+from sentencepiece import SentencePieceProcessor
+
+from presswork.llm import tokens
+
+PATH = public_tokenizers.path("piece_bpe_32k.model")
+LIBRARY = SentencePieceProcessor(model_file=PATH)
+
+
+def plain(texts, limit=tokens.LIMIT):
+    return [(i, len((t or "").encode()), n := len(LIBRARY.encode(t or "")), n > limit)
+            for i, t in enumerate(texts)]
+
+
+def run(docs, texts, **more):
+    return sorted(tuple(r) for r in tokens.count_tokens(docs(*texts), PATH, **more).collect())
+
+
+def letters(rng, alphabet, count):
+    return "".join(rng.choice(alphabet) for _ in range(count))
+
+
+def hard(rng, count):
+    return [
+        letters(rng, "abcde ", count), letters(rng, "ab", count), letters(rng, "東京日本語。", count),
+        letters(rng, "aé東😀\U0001f9ff͸ ▁", count), letters(rng, " \t\n", count),
+        letters(rng, ["<s>", "</s>", "<unk>", "<0x0A>", " "], count // 4), "the " * (count // 4),
+        "x" + "a" * count, "=" * count, " " * count, "ﾊ" * count, "͸" * count, "\x00" * count, "abc" * (count // 3),
+        letters(rng, ["once ", "upon", " a", "time", "\n", "...", "----"], count // 4)]
+
+
+def test_texts_of_the_table(docs, documents):
+    texts = [r.text for r in documents.collect()]
+    assert run(docs, texts) == plain(texts)
+    assert run(docs, texts, stride=700, overlap=64) == plain(texts)
+
+
+@pytest.mark.parametrize("stride, overlap", [(64, 16), (100, 100), (37, 5), (512, 40)])
+def test_any_cut_gives_the_librarys_count(docs, stride, overlap):
+    texts = [t for seed in range(2) for t in hard(random.Random(seed), 900)]
+    assert run(docs, texts, stride=stride, overlap=overlap) == plain(texts)
+
+
+def test_hard_rows(docs):
+    texts = [None, "", " ", "<s> a </s>", "word " * 20_000, "x" * 9000, "­", "é" * 70]
+    assert run(docs, texts) == plain(texts)
+    assert run(docs, texts, limit=3) == plain(texts, 3)
+    assert tokens.count_tokens(docs("a").limit(0), PATH).collect() == []
+    rows = [(None, "a b"), (None, "a b"), (7, "word " * 9000), (7, "word " * 9000), (None, "word " * 9000)]
+    got = sorted((str(r.doc_id), r.n_tokens) for r in tokens.count_tokens(docs(*rows), PATH).collect())
+    want = sorted((str(i), len(LIBRARY.encode(t))) for i, t in rows)
+    assert got == want
+    with pytest.raises(ValueError, match="overlap"):
+        run(docs, ["a"], stride=5, overlap=6)
+
+
+def test_overlaps_widen_until_neighbours_agree(docs, monkeypatch):
+    cuts = []
+    real = tokens.stored
+
+    def seen(df, name):
+        cuts.append(name)
+        return real(df, name)
+
+    monkeypatch.setattr(tokens, "stored", seen)
+    easy, periodic = "some words " * 300, "x" + "a" * 3000
+    assert run(docs, [easy], stride=256, overlap=64) == plain([easy])
+    assert cuts == ["chunks", "spliced"]
+    assert run(docs, [easy, periodic], stride=250, overlap=61) == plain([easy, periodic])
+    assert len(cuts) > 4
+
+
+def test_neighbours_that_share_no_piece_are_told_apart():
+    piece = lambda *rows: b"".join(x.to_bytes(8, "little") for row in rows for x in row)
+    assert tokens.spliced([5], [b""], [b""]) == 5
+    # place in the chunk, first byte, last byte, number
+    assert tokens.spliced([9, 7], [b"", piece((0, 5, 6, 1), (1, 6, 9, 2))],
+                          [piece((6, 4, 6, 3), (7, 6, 9, 2)), b""]) == 8 + 5
+    assert tokens.spliced([9, 7], [b"", piece((1, 6, 9, 2))], [piece((7, 6, 9, 4)), b""]) is None
+
+
+def test_cuts_inside_characters():
+    data = "aé東😀".encode()
+    for at in range(len(data) + 1):
+        _, left = tokens.on_borders(data[:at], at == len(data))
+        front, right = tokens.on_borders(data[at:], True)
+        left.decode(), right.decode()
+        assert data.startswith(left) and data.endswith(right) and len(data) - at - front == len(right)
+        assert len(left) > at - 4 and front < 4
