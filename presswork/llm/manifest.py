@@ -18,7 +18,7 @@ BITS = 16
 SLOTS = 1024
 LEVELS = 10
 #: Leaves of a container that one task ranks, on average.
-SHARE = 1 << 17
+SHARE = 1 << 13
 #: Equal rows that are numbered in one go.
 COPIES = 4096
 #: Ids from which on a container is a bitmap and not a list of its low bits.
