@@ -162,6 +162,17 @@ def _energy_live_summary() -> str:
         FROM ({_energy_live()})"""
 
 
+def _energy_power(where: str = "TRUE") -> str:
+    return f"""SELECT DATE_TRUNC('minute', reading_ts) AS minute,
+            {_round("COALESCE(SUM(kw), 0)")} AS total_kw,
+            COUNT(*) FILTER (WHERE kw > 1.0) AS active_machines, COUNT(*) AS machines
+        FROM power_readings WHERE {where} GROUP BY 1"""
+
+
+_CLOSED = """DATE_TRUNC('minute', reading_ts) + INTERVAL '1' MINUTE
+    <= (SELECT MAX(reading_ts) - INTERVAL '10' MINUTE FROM power_readings)"""
+
+
 def _energy_stops(where: str = "TRUE", limit: int | None = 50) -> str:
     return f"""SELECT machine_code, stop_code, stop_start, stop_end, {_round("kwh")} AS kwh
         FROM energy_stops e WHERE kwh > 0 AND {where}
@@ -375,7 +386,7 @@ def _totals(limit: int | None = None) -> str:
 
 
 def _row_counts() -> str:
-    tables = [name for name in BINDINGS if name != "production_runs"]
+    tables = [name for name in BINDINGS if name not in ("production_runs", "power_readings")]
     counts = " UNION ALL ".join(
         f"SELECT '{name}' AS table_name, COUNT(*) AS row_count FROM {name}" for name in tables)
     return f"""SELECT * FROM ({counts}) WHERE row_count > 0
@@ -487,6 +498,9 @@ BODIES: dict[str, str] = {
     "material_daily_trend__codes": _trend(_MACHINES),
     "material_summary__codes": _materials(_MACHINES),
     "material_summary__all": _materials(limit=None),
+    "energy_power": _energy_power(),
+    "energy_power__closed": _energy_power(_CLOSED),
+    "energy_power__streamed": _energy_power(_CLOSED),
     "energy_live__stored": _energy_live(),
     "energy_alerts__stored": _energy_alerts(_days("shift_start", *EVENT_DAYS), 500),
     "downtime_log__stored": _downtime_log(),

@@ -18,6 +18,7 @@ from presswork.schemas import SCHEMAS
 from presswork.sources.bindings import bound, bound_tables
 from presswork.sources.store import Store, workspace
 from presswork.sources.tables import Tables
+from presswork.streaming.power import closed, keep_power, power_by_minute
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -133,6 +134,20 @@ def _stored_log(spark, sf):
     return ops.downtime_log(t.downtimes, t.downtime_orders, t.downtime_reasons)
 
 
+def _streamed_power(spark, sf):
+    """All readings as a stream of files, and the minutes that it has appended when it ends."""
+    root = workspace(spark)
+    bound(spark, sf, "power_readings").write.parquet(f"{root}/readings")
+    stream = spark.readStream.schema(SCHEMAS["energy_readings"]).parquet(f"{root}/readings")
+    keep_power(stream, f"{root}/power", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/power").drop("minute_end")
+
+
+def _closed_power(spark, sf):
+    readings = bound(spark, sf, "power_readings")
+    return closed(power_by_minute(readings), readings).drop("minute_end")
+
+
 def _choices(operator, *spec):
     return lambda spark, sf: operator(_results(spark, sf), *spec)
 
@@ -256,6 +271,9 @@ VARIANTS: dict[str, Query] = {
     "material_daily_trend__codes": lambda s, sf: _trend(s, sf, MACHINES_ONLY),
     "material_summary__codes": lambda s, sf: _materials(s, sf, MACHINES_ONLY),
     "material_summary__all": lambda s, sf: _materials(s, sf, limit=None),
+    "energy_power": lambda s, sf: power_by_minute(bound(s, sf, "power_readings")).drop("minute_end"),
+    "energy_power__closed": _closed_power,
+    "energy_power__streamed": _streamed_power,
     # Tables stored by day and machine.
     "energy_live__stored": lambda s, sf: ops.energy_live(
         _stored(s, sf, "energy_readings").energy_readings),

@@ -107,6 +107,10 @@ BINDINGS = {
     "energy_readings": f"""
         SELECT CAST(user_id AS VARCHAR(50)) AS machine_code, {_DAY} AS reading_ts, value AS kw
         FROM {{events}}""",
+    # The readings of the power per minute: their times within the day.
+    "power_readings": """
+        SELECT CAST(user_id AS VARCHAR(50)) AS machine_code, ts AS reading_ts, value AS kw
+        FROM {events}""",
     "energy_stops": f"""
         SELECT CAST(user_id AS VARCHAR(50)) AS machine_code, event_type AS stop_code,
                {_DAY} AS shift_start, ts AS stop_start,

@@ -1,0 +1,73 @@
+"""Power per minute of a stream against that of a table."""
+
+import pytest
+from conftest import at, rows
+from pyspark.sql import functions as F
+
+from presswork.functions import as_instant, from_instant
+from presswork.schemas import SCHEMAS
+from presswork.streaming.power import closed, keep_power, power_by_minute
+
+
+@pytest.fixture
+def arriving(spark, table, tmp_path):
+    """Takes readings, lets the stream run over what is there, and returns the minutes written so far."""
+    def take(*readings):
+        df = table("energy_readings", *(dict(zip(("machine_code", "reading_ts", "kw"), (m, at(t) if t else None, kw)))
+                                        for m, t, kw in readings))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(SCHEMAS["energy_readings"]).parquet(str(tmp_path / "in"))
+        query = keep_power(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        query.awaitTermination()
+        assert query.exception() is None
+        return sorted(rows(spark.read.parquet(str(tmp_path / "out"))))
+    return take
+
+
+FIRST = [("a", "10:00:05", 2.0), ("b", "10:00:59", 0.5), ("a", "10:01:00", None), ("a", "10:12:30", 3.0),
+         (None, "10:00:30", 1.004), ("a", None, 99.0)]
+SECOND = [("c", "10:04:00", 9.0), ("c", "10:12:31", 1.0), ("a", "10:40:00", 3.0), ("a", "10:40:00", 3.0)]
+LATE = ("c", "10:00:10", 7.0)
+
+
+def answer(table, *readings):
+    df = table("energy_readings", *(dict(machine_code=m, reading_ts=at(t) if t else None, kw=kw)
+                                    for m, t, kw in readings))
+    return sorted(rows(closed(power_by_minute(df), df)))
+
+
+def test_two_batches_with_late_readings_are_the_tables_answer(table, arriving):
+    # 10:12:30 closes minutes up to 10:02:30
+    assert arriving(*FIRST) == answer(table, *FIRST)
+    assert [r[0].minute for r in arriving()] == [0, 1]
+    # 10:04:00 comes late, but before its minute is final; 10:00:10 comes after that
+    assert arriving(*SECOND, LATE) == answer(table, *FIRST, *SECOND)
+    assert len(answer(table, *FIRST, *SECOND)) == 4
+
+
+def test_a_batch_in_one_go_is_the_tables_answer(table, arriving):
+    assert arriving(*FIRST, *SECOND, LATE) == answer(table, *FIRST, *SECOND, LATE)
+
+
+def test_figures(table):
+    df = table("energy_readings", *(dict(machine_code=m, reading_ts=at(t) if t else None, kw=kw)
+                                    for m, t, kw in FIRST))
+    found = sorted(rows(power_by_minute(df), "minute", "total_kw", "active_machines", "machines"))
+    assert found == [(at("10:00"), 3.5, 2, 3), (at("10:01"), 0.0, 0, 1), (at("10:12"), 3.0, 1, 1)]
+    assert rows(power_by_minute(df.limit(0))) == []
+    wide = rows(power_by_minute(df, minute="15 minutes"), "minute", "machines")
+    assert wide == [(at("10:00"), 5)]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Pacific/Apia"])
+def test_instants_do_not_depend_on_the_zone(spark, zone):
+    times = ["2024-03-10 02:30:00.123456", "1969-12-31 23:59:59.999999", "0001-01-01 00:00:00", "2024-03-01 10:00:00"]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        df = spark.createDataFrame([(t,) for t in times], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
+        found = df.select("t", from_instant(as_instant(F.col("t"))).alias("back"), F.unix_micros(as_instant(F.col("t"))))
+        for t, back, micros in rows(found):
+            assert t == back and micros == (t - at("1970-01-01")) / (at("1970-01-01 00:00:00.000001") - at("1970-01-01"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
