@@ -187,11 +187,19 @@ def _operator_time(where: str = "TRUE") -> str:
         GROUP BY operator_code, machine_code"""
 
 
-def _iluo(low: int, middle: int, high: int, where: str = "TRUE") -> str:
+_WORK = ("click", "error", "purchase", "signup", "view")
+
+
+def _pivot(show: str, body: str) -> str:
+    cells = ", ".join(f"MAX({show}) FILTER (WHERE machine_code = '{m}') AS {m}" for m in _WORK)
+    return f"SELECT operator_code, {cells} FROM ({body}) GROUP BY operator_code"
+
+
+def _iluo(low: int, middle: int, high: int, where: str = "TRUE", worked: str = "TRUE") -> str:
     return f"""SELECT *, {_round("seconds / 3600.0e0", 1)} AS hours,
             CASE WHEN seconds < {low} THEN 'I' WHEN seconds < {middle} THEN 'L'
                  WHEN seconds < {high} THEN 'U' ELSE 'O' END AS level
-        FROM ({_operator_time()}) WHERE {where}"""
+        FROM ({_operator_time(worked)}) WHERE {where}"""
 
 
 # --- orders ---
@@ -224,7 +232,7 @@ def _sap_orders(where: str = "TRUE", limit: int | None = 100) -> str:
 
 # --- mold changes ---
 
-def _timed_changes(where: str = "TRUE") -> str:
+def _timed_changes(where: str = "TRUE", seen: str = "TRUE") -> str:
     return f"""SELECT c.*, COALESCE(stop_end, shift_start) AS new_start,
             CASE WHEN stop_end IS NULL THEN 'DEBEQU' ELSE 'PROSTOJ' END AS time_source,
             DATE_DIFF('minute', old_end, COALESCE(stop_end, shift_start)) AS minutes
@@ -243,14 +251,14 @@ def _timed_changes(where: str = "TRUE") -> str:
                 WHERE machine_code IS NOT NULL AND mold_code IS NOT NULL AND {where}
                 WINDOW w AS (PARTITION BY machine_code ORDER BY shift_start NULLS FIRST,
                     shift_end NULLS FIRST, mold_code, product_code NULLS FIRST)) c
-            WHERE old_mold <> new_mold AND old_end IS NOT NULL) c
+            WHERE old_mold <> new_mold AND old_end IS NOT NULL AND {seen}) c
         WHERE DATE_DIFF('minute', old_end, COALESCE(stop_end, shift_start)) BETWEEN 1 AND 480"""
 
 
-def _mold_changes(where: str = "TRUE", limit: int | None = 500) -> str:
+def _mold_changes(where: str = "TRUE", limit: int | None = 500, seen: str = "TRUE") -> str:
     columns = "machine_code, old_mold, new_mold, product_code, old_end, new_start, " \
               "time_source, minutes"
-    return f"""SELECT {columns} FROM ({_timed_changes(where)})
+    return f"""SELECT {columns} FROM ({_timed_changes(where, seen)})
         {_order("old_end DESC", columns)} {_limit(limit)}"""
 
 
@@ -504,6 +512,11 @@ BODIES: dict[str, str] = {
     "energy_live__stored": _energy_live(),
     "energy_alerts__stored": _energy_alerts(_days("shift_start", *EVENT_DAYS), 500),
     "downtime_log__stored": _downtime_log(),
+    "mold_changes__detected_first": _mold_changes(
+        limit=None, seen=f"{_CLICK_VIEW} AND new_mold IN ('click', 'view')"),
+    "iluo_matrix__pivot": _pivot("level", _iluo(144_000, 288_000, 1_728_000)),
+    "iluo_matrix__pivot_hours": _pivot("hours", _iluo(
+        144_000, 288_000, 1_728_000, worked=_days("shift_start", *EVENT_DAYS))),
     "mold_changes__stored": _mold_changes(_CLICK_VIEW, None),
 }
 

@@ -274,6 +274,12 @@ VARIANTS: dict[str, Query] = {
     "energy_power": lambda s, sf: power_by_minute(bound(s, sf, "power_readings")).drop("minute_end"),
     "energy_power__closed": _closed_power,
     "energy_power__streamed": _streamed_power,
+    "mold_changes__detected_first": lambda s, sf: ops.mold_changes(
+        bound(s, sf, "production_runs"), bound(s, sf, "downtimes"), CLICK_VIEW, None,
+        detect_before_filter=True),
+    "iluo_matrix__pivot": lambda s, sf: ops.iluo_pivot(ops.iluo_matrix(_operator_time(s, sf))),
+    "iluo_matrix__pivot_hours": lambda s, sf: ops.iluo_pivot(
+        ops.iluo_matrix(_operator_time(s, sf, "2024-01-05", "2024-01-20")), "hours"),
     # Tables stored by day and machine.
     "energy_live__stored": lambda s, sf: ops.energy_live(
         _stored(s, sf, "energy_readings").energy_readings),

@@ -41,25 +41,51 @@ def _stops_near(downtimes: DataFrame, runs: DataFrame, spec: FilterSpec) -> Data
     return downtimes
 
 
+def _last_before(runs: DataFrame, selected: DataFrame, spec: FilterSpec) -> DataFrame:
+    """Of each machine in ``selected`` the last run before the first day of the filter.
+
+    The latest time per machine comes from a scan of machine and time alone. The
+    earliest of these times bounds the scan of whole runs, which then keeps one
+    run per machine; runs without a time are before all others.
+    """
+    earlier = runs.where((F.to_date("shift_start") < F.lit(spec.start_date)) | F.col("shift_start").isNull())
+    if DAY in runs.columns:
+        earlier = earlier.where((F.col(DAY) < F.lit(spec.start_date)) | F.col(DAY).isNull())
+    machines = selected.select("machine_code").distinct()
+    latest = (earlier.select("machine_code", "shift_start").join(machines, "machine_code", "left_semi")
+              .groupBy(F.col("machine_code").alias("_machine")).agg(F.max("shift_start").alias("_latest")))
+    oldest = latest.agg(F.min("_latest")).scalar()
+    near = earlier.where((F.col("shift_start") >= oldest) | F.col("shift_start").isNull())
+    if DAY in runs.columns:
+        near = near.where((F.col(DAY) >= F.to_date(oldest)) | F.col(DAY).isNull())
+    last = near.join(latest, (F.col("machine_code") == F.col("_machine"))
+                     & F.col("shift_start").eqNullSafe(F.col("_latest")))
+    order = ["shift_start", "shift_end", "mold_code", "product_code"]
+    found = last.groupBy("machine_code").agg(F.max(F.struct(*order)).alias("_last"))
+    return found.select("machine_code", *(F.col(f"_last.{c}").alias(c) for c in order))
+
+
 def _changes(
-    runs: DataFrame, downtimes: DataFrame, spec: FilterSpec, by_mold: bool
+    runs: DataFrame, downtimes: DataFrame, spec: FilterSpec, by_mold: bool,
+    detect_before_filter: bool = False,
 ) -> DataFrame:
     """Every change of mold on a machine, with its duration.
 
     The new mold starts at the end of the last stop within the window around
     the old run's end, or with its shift if there is none. Filters apply
     before runs are compared: "previous" is the previous run that passed them.
-    Stops are not filtered by date.
+    With ``detect_before_filter`` it is the previous run of the machine, and the
+    filters are on the run with the new mold. Stops are not filtered by date.
     """
-    honoured = {"days": "shift_start", "machines": "machine_code"}
-    if by_mold:
-        honoured["molds"] = "mold_code"
-    selected = spec.apply(
-        runs.where(F.col("machine_code").isNotNull() & F.col("mold_code").isNotNull()), **honoured
-    ).select(
+    runs = runs.where(F.col("machine_code").isNotNull() & F.col("mold_code").isNotNull()).select(
         "machine_code", "mold_code", "shift_start", "shift_end",
-        F.coalesce("product_code", F.lit("")).alias("product_code"),
-    )
+        F.coalesce("product_code", F.lit("")).alias("product_code"), *[DAY] * (DAY in runs.columns))
+    runs = spec.apply(runs, machines="machine_code")
+    if by_mold and not detect_before_filter:
+        runs = spec.apply(runs, molds="mold_code")
+    selected = spec.apply(runs, days="shift_start").drop(DAY)
+    if detect_before_filter and spec.start_date:
+        selected = selected.unionByName(_last_before(runs, selected, spec))
     changes = value_switches(
         selected, key="machine_code", time="shift_start", value="mold_code", carry="shift_end",
         ties=("shift_end", "mold_code", "product_code"),
@@ -71,6 +97,8 @@ def _changes(
         F.col("previous_shift_end").alias("old_end"),
         "shift_start",
     )
+    if by_mold and detect_before_filter:
+        changes = spec.apply(changes, molds="new_mold")
     stops = latest_end_within(
         _stops_near(downtimes, selected, spec).select(
             F.col("machine_code").alias("key"), F.col("start_ts").alias("start"),
@@ -104,11 +132,18 @@ def _mean_minutes() -> Column:
 
 def mold_changes(
     runs: DataFrame, downtimes: DataFrame, spec: FilterSpec = EVERYTHING,
-    limit: int | None = 500, ordered: bool = True,
+    limit: int | None = 500, ordered: bool = True, detect_before_filter: bool = False,
 ) -> DataFrame:
-    """Single changes, latest first; unsorted if not ``ordered`` and whole."""
-    return ranked(_changes(runs, downtimes, spec, by_mold=True), F.desc("old_end"), limit=limit,
-                  ordered=ordered)
+    """Single changes, latest first; unsorted if not ``ordered`` and whole.
+
+    Days and molds cut the runs before these are compared, so a change at the
+    start of the first day is not seen, and the old mold is the last selected
+    one. With ``detect_before_filter`` changes are found among all runs of a
+    machine; those to a selected mold on a selected day are shown. Of the runs
+    before the first day one per machine is read whole.
+    """
+    changes = _changes(runs, downtimes, spec, True, detect_before_filter)
+    return ranked(changes, F.desc("old_end"), limit=limit, ordered=ordered)
 
 
 def mold_change_quality(changes: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from presswork.filters import ALL, FilterSpec, not_blank
 from presswork.functions import round_to
 
+NO_MACHINE = "-"
 # Fixed values of the result: seconds from which a level is reached; below L the level is I.
 LEVELS = {"L": 144_000, "U": 288_000, "O": 1_728_000}
 
@@ -49,6 +50,32 @@ def iluo_matrix(
     })
 
 
+def iluo_pivot(matrix: DataFrame, show: str = "level", most: int = 1000) -> DataFrame:
+    """The rows of :func:`iluo_matrix` as a table: a row per operator, a column per machine.
+
+    Cells hold the ``show`` column, null where the operator never worked on the
+    machine. Columns are the machine codes that occur, in their order; work
+    without a machine is the last one, ``-``. The codes are looked up first, at
+    most ``most``: more are an error, since each would be a column. Operators
+    come in order. No work gives no rows, and no column but the operator.
+    """
+    if show not in ("level", "hours", "seconds"):
+        raise ValueError(f"cells show level, hours or seconds, not {show!r}")
+    found = matrix.select("machine_code").distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"there are more than {most} machines; narrow the filter or raise the bound")
+    codes = sorted(r.machine_code for r in found if r.machine_code is not None)
+    without = any(r.machine_code is None for r in found)
+    if {"operator_code", NO_MACHINE if without else None} & {c.lower() for c in codes}:
+        raise ValueError("a machine has the name of another column")
+    named = matrix.withColumn("machine_code", F.coalesce("machine_code", F.lit(NO_MACHINE)))
+    columns = [*codes, *[NO_MACHINE] * without]
+    if not columns:
+        return matrix.select("operator_code")
+    return (named.groupBy("operator_code").pivot("machine_code", columns)
+            .agg(F.first(show)).orderBy("operator_code"))
+
+
 def operator_list(log: DataFrame) -> DataFrame:
     """Operator codes in use."""
     return (

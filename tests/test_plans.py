@@ -254,6 +254,75 @@ def test_lookups_keep_missing_codes(spark, table):
     assert found == [(None, 0), ("A", 5)]
 
 
+def detected_first(runs, spec):
+    """(machine, old mold, new mold, old end, new start) of all changes, then the filters; no stops."""
+    found = []
+    for machine in {r[0] for r in runs}:
+        own = sorted((r for r in runs if r[0] == machine and r[0] is not None and r[1] is not None),
+                     key=lambda r: [(x is not None, x) for x in (r[2], r[3], r[1], r[4] or "")])
+        for old, new in zip(own, own[1:]):
+            if old[1] == new[1] or old[3] is None or new[2] is None:
+                continue
+            minutes = (new[2].replace(second=0) - old[3].replace(second=0)).total_seconds() / 60
+            if (1 <= minutes <= 480 and (not spec.start_date or new[2].date() >= spec.start_date)
+                    and (not spec.end_date or new[2].date() <= spec.end_date)
+                    and (not spec.molds or new[1] in spec.molds)
+                    and (not spec.machines or machine in spec.machines)):
+                found.append((machine, old[1], new[1], old[3], new[2]))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("spec", [
+    FilterSpec(), FilterSpec("2024-01-02"), FilterSpec("2024-01-02", "2024-01-02", molds=["a", "b"]),
+    FilterSpec(end_date="2024-01-01"), FilterSpec("2024-01-03", machines=["k1", "hot"]),
+    FilterSpec("2025-01-01")])
+@pytest.mark.parametrize("by_day", [False, True])
+def test_changes_found_before_the_filters(spark, table, spec, by_day):
+    rng = random.Random(9)
+    runs = []
+    for _ in range(1500):
+        start = START + timedelta(minutes=rng.randint(0, 4000))
+        runs.append((rng.choice(["hot"] * 4 + ["k1", "k2", "k3", None]), rng.choice("abc") if rng.random() < .97 else None,
+                     rng.choice([start] * 30 + [None]), rng.choice([start - timedelta(minutes=rng.randint(0, 300))] * 9 + [None]),
+                     rng.choice(["p", None])))
+    df = spark.createDataFrame(runs, "machine_code string, mold_code string, shift_start timestamp_ntz,"
+                                     " shift_end timestamp_ntz, product_code string")
+    df = df.withColumn("day", F.to_date("shift_start")) if by_day else df
+    found = ops.mold_changes(df, table("downtimes"), spec, limit=None, detect_before_filter=True)
+    assert sorted(rows(found, "machine_code", "old_mold", "new_mold", "old_end", "new_start")) == detected_first(runs, spec)
+
+
+def test_look_back_reads_one_run_per_machine(stored):
+    spec = FilterSpec("1998-01-01", "1998-02-01")
+    plan = plan_of(ops.mold_changes(
+        stored.production_results, stored.downtimes, spec, detect_before_filter=True))
+    # history: machine and time alone; then whole runs from the time that is needed on
+    assert re.search(r"LessThan\(shift_start,1998-01-01T00:00\).*ReadSchema: "
+                     r"struct<machine_code:string,mold_code:string,shift_start:timestamp_ntz>", plan)
+    assert "GreaterThanOrEqual(shift_start,ScalarSubquery" in plan
+
+
+def test_skills_as_a_table(spark):
+    def made(*cells):
+        df = spark.createDataFrame(list(cells), "operator_code string, machine_code string, seconds long")
+        return ops.iluo_matrix(df)
+
+    cells = [("2", "M1", 3600), ("1", "M1", 300_000), ("1", "M0", 150_000), ("1", None, 7200), ("3", "M 2", 1_728_000)]
+    pivot = ops.iluo_pivot(made(*cells))
+    assert pivot.columns == ["operator_code", "M 2", "M0", "M1", "-"]
+    assert rows(pivot) == [("1", None, "L", "U", "I"), ("2", None, None, "I", None), ("3", "O", None, None, None)]
+    assert rows(ops.iluo_pivot(made(*cells), "hours").select("`-`", "M1")) == [(2.0, 83.3), (None, 1.0), (None, None)]
+    empty = ops.iluo_pivot(made(*cells).limit(0))
+    assert empty.columns == ["operator_code"] and rows(empty) == []
+    assert ops.iluo_pivot(made(*cells), most=4).count() == 3
+    with pytest.raises(ValueError, match="more than 3 machines"):
+        ops.iluo_pivot(made(*cells), most=3)
+    with pytest.raises(ValueError, match="name of another column"):
+        ops.iluo_pivot(made(("1", "operator_code", 5)))
+    with pytest.raises(ValueError, match="cells show"):
+        ops.iluo_pivot(made(*cells), "machine_code")
+
+
 def needs_of(spark, seed, lines=400):
     """Tables of planned needs with ties, few and missing doses, and repeated orders and materials."""
     rng = random.Random(seed)
