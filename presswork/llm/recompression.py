@@ -1,6 +1,7 @@
 """Names for token runs and pairs of tokens: a parse of word sequences that equal passages share.
 
-Every word has a name made from its bytes. A round names each run of equal
+Every word has a name made from its bytes. Names only lead to places that may be
+equal; whether they are is told by a digest of the words themselves. A round names each run of equal
 symbols, or gives every symbol a side made from its name and joins each left
 symbol with a right symbol that follows it. A name is made from the names that
 it stands for, so the same passage gets the same name in every document without
@@ -9,14 +10,20 @@ alone; so inside a window all symbols are the same wherever its words stand, but
 for a few at its ends, and which these are shows from the window itself.
 """
 
+from hashlib import blake2b
+
 import numpy as np
 
-from .shared import WHITE, per_process
+from .shared import WHITE
 
 ROUNDS = 2
+#: Longer words, in bytes, are named by XXH64.
+LANES = 64
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _S = tuple(np.uint64(x) for x in (27, 29, 31, 33, 40))
 
+#: The first bytes of eight, by how many.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _WHITE = np.zeros(256, bool)
 _WHITE[list(WHITE)] = True
 
@@ -28,33 +35,38 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S[2])
 
 
-def _letters() -> np.ndarray:
-    return mixed(np.arange(1, 257, dtype=np.uint64) * _A)
-
-
-def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first powers of an odd number and of its inverse, modulo 2^64."""
-    inverse = np.uint64(pow(int(_A), -1, 1 << 64))
-    up, down = np.full(count, _A), np.full(count, inverse)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
 def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Name, length and first byte of each word of ``data``."""
-    held = per_process("letters", lambda: {"letters": _letters(), "powers": _powers(1 << 20)})
-    if len(data) > len(held["powers"][0]):
-        held["powers"] = _powers(2 * len(data))
+    """Name, length and first byte of each word of ``data``.
+
+    Words of up to 8 bytes of one length have names of their own; longer ones take
+    in 8 bytes after the other. Very long words are named by XXH64.
+    """
     raw = np.frombuffer(data, np.uint8)
     solid = np.concatenate([[False], ~_WHITE[raw], [False]])
     edges = np.flatnonzero(solid[1:] != solid[:-1])
     begin, end = edges[::2], edges[1::2]
-    up, down = held["powers"]
-    total = np.empty(len(raw) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(held["letters"][raw] * up[:len(raw)], out=total[1:])
-    names = (total[end] - total[begin]) * down[begin]
-    return mixed(names + (end - begin).astype(np.uint64)), end - begin, begin
+    size = end - begin
+    eights = np.ndarray(len(raw) + 1, "<u8", data + bytes(8), strides=(1,))
+    names = mixed(size.astype(np.uint64) * _A)
+    for at in range(0, LANES, 8):
+        open_ = np.flatnonzero(size > at)
+        if not len(open_):
+            break
+        taken = eights[begin[open_] + at] & _KEEP[np.minimum(size[open_] - at, 8)]
+        names[open_] = mixed(names[open_] ^ taken)
+    long_ = np.flatnonzero(size > LANES).tolist()
+    if long_:
+        from xxhash import xxh64_intdigest
+
+        names[long_] = [xxh64_intdigest(data[begin[i]:end[i]], 7) for i in long_]
+    return names, size, begin
+
+
+def digests(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2b of each stretch of ``text``, as rows of two numbers."""
+    found = b"".join([blake2b(text[a:b], digest_size=16).digest()
+                      for a, b in zip(starts.tolist(), ends.tolist())])
+    return np.frombuffer(found, "<i8").reshape(-1, 2)
 
 
 def window_hashes(names: np.ndarray, window: int) -> np.ndarray:

@@ -85,6 +85,11 @@ def place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "uid")
 
 
+def boxed(rows: DataFrame, **own: Column) -> DataFrame:
+    """All columns as one, ``row``, beside ``own`` columns made from them; so no names can clash."""
+    return rows.select(F.struct("*").alias("row"), *(c.alias(name) for name, c in own.items()))
+
+
 def first_rows(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str,
                null_ids_stay: bool) -> DataFrame:
     """``docs`` with one row of each group of ``grouped``; all columns, rows of no group stay.
@@ -102,19 +107,19 @@ def first_rows(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str,
     found = stored(
         grouped.groupBy("doc_id", "uid", place().eqNullSafe(F.col("first")).alias("stays")).count()
         .where("not stays or count > 1")
-        .select(F.col("doc_id").alias("_id"), F.col("uid").alias("_uid"), "stays"), "copies")
-    keyed = docs.withColumn("_key", text_uid(id_col, text_col))
+        .select(F.col("doc_id").alias("copy_id"), F.col("uid").alias("copy_uid"), "stays"), "copies")
+    keyed = boxed(docs, id=F.col(id_col), uid=text_uid(id_col, text_col))
 
     def same(rows: DataFrame) -> Column:
-        return keyed[id_col].eqNullSafe(rows["_id"]) & (keyed["_key"] == rows["_uid"])
+        return keyed["id"].eqNullSafe(rows["copy_id"]) & (keyed["uid"] == rows["copy_uid"])
 
-    left = keyed.join(found, same(found), "left_anti").select(docs.columns)
+    left = keyed.join(found, same(found), "left_anti").select("row.*")
     repeated = found.where("stays")
     if repeated.isEmpty():
         return left
-    one = (keyed.join(repeated, same(repeated), "left_semi").groupBy(id_col, "_key")
-           .agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")))
-    return left.unionByName(one.select("_row.*"))
+    one = (keyed.join(repeated, same(repeated), "left_semi").groupBy("id", "uid")
+           .agg(F.min_by("row", F.xxhash64("row")).alias("row")))
+    return left.union(one.select("row.*"))
 
 
 def per_process(name: str, make: Callable, kept: int = 2):

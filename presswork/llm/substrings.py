@@ -8,62 +8,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import recompression
-from .shared import discard, plain, stored, text_uid, word_blocks
+from .shared import WHITE, boxed, discard, plain, stored, text_uid, word_blocks
 
 WINDOW = 13
 #: Bytes of text that are parsed at once.
 SLICE = 1 << 19
 
 
-def _slices(texts: list[bytes], window: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _slices(texts: list[bytes], window: int, with_text: bool = True) -> Iterator[tuple]:
     """Words of all texts, slice by slice: names, lengths, number of the text, number of the word in it.
 
-    Each slice begins with the last ``window`` - 1 words of the one before, so
-    that every window lies whole in just one slice that it is new to.
+    And, ``with_text``, the words themselves, joined by one space. Each slice begins with the last
+    ``window`` - 1 words of the one before, so that every window lies whole in
+    just one slice that it is new to.
     """
     data = b" ".join(texts)
     first_byte = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
     seen = np.zeros(len(texts), np.int64)
-    kept, at = None, 0
+    kept, tail, at = None, b"", 0
     while at < len(data):
         to = min(len(data), at + SLICE)
-        while to < len(data) and data[to] not in b" \t\n\v\f\r":
+        while to < len(data) and data[to] not in WHITE:
             to += 1
         names, sizes, begin = recompression.words(data[at:to])
+        text = b" ".join(data[at:to].split()) if with_text else b""
         owner = np.searchsorted(first_byte, begin + at, "right") - 1
         starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else owner
         counts = np.diff(np.append(starts, len(owner)))
         number = np.arange(len(owner)) - np.repeat(starts, counts) + seen[owner]
         seen[owner[starts]] += counts
         new = (names, sizes, owner, number)
-        new = new if kept is None else tuple(map(np.concatenate, zip(kept, new)))
-        kept = tuple(x[-(window - 1):] for x in new) if window > 1 else None
+        if kept is not None:
+            new = tuple(map(np.concatenate, zip(kept, new)))
+            text = b" ".join(part for part in (tail, text) if part)
+        if window > 1 and len(new[0]):
+            kept = tuple(x[-(window - 1):] for x in new)
+            length = int(kept[1].sum()) + max(0, len(kept[1]) - 1)
+            tail = text[len(text) - length:]
         if len(new[0]) >= window:
-            yield new
+            yield *new, text
         at = to
 
 
+def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte (exclusive) of words that are joined by one space."""
+    ends = np.cumsum(sizes + 1) - 1
+    return ends - sizes, ends
+
+
 def _spans(batch: pa.RecordBatch, window: int) -> Iterator[pa.RecordBatch]:
-    """Runs of consecutive windows with one anchor: doc_id, uid, anchor, alike, span."""
+    """Runs of consecutive windows with one anchor: doc_id, uid, anchor, alike, alike2, span."""
     ids, uids = batch["doc_id"], batch["uid"]
-    for names, sizes, owner, number in _slices(batch["text"].to_pylist(), window):
+    for names, sizes, owner, number, text in _slices(batch["text"].to_pylist(), window):
         anchor, place = recompression.parse(names, sizes, owner, window)
-        hashes = recompression.window_hashes(names, window)
         count = len(anchor)
         inside = owner[:count] == owner[window - 1:]
         new = np.concatenate([[True], (place[1:] != place[:-1]) | (anchor[1:] != anchor[:-1])
                               | (owner[1:count] != owner[:count - 1]) | (inside[1:] != inside[:-1])])
         start = np.flatnonzero(new)
-        # each window's hash at its place in the run, summed: the hash of all that the run covers
-        order = np.arange(count) - np.repeat(start, np.diff(np.append(start, count)))
-        alike = np.add.reduceat(recompression.mixed(hashes + order.astype(np.uint64)), start)
         length = np.diff(np.append(start, count))
-        start, alike, length = (x[inside[start]] for x in (start, alike, length))
+        start, length = start[inside[start]], length[inside[start]]
+        first, end = _places(sizes)
+        # all words that the run covers
+        alike = recompression.digests(text, first[start], end[start + length + window - 2])
         which = pa.array(owner[start])
         yield pa.RecordBatch.from_arrays(
             [ids.take(which), uids.take(which), pa.array(anchor[start].view(np.int64)),
-             pa.array(alike.view(np.int64)), pa.array(number[start] << 8 | length)],
-            ["doc_id", "uid", "anchor", "alike", "span"])
+             pa.array(alike[:, 0]), pa.array(alike[:, 1]), pa.array(number[start] << 8 | length)],
+            ["doc_id", "uid", "anchor", "alike", "alike2", "span"])
+
+
+def _anchors(batch: pa.RecordBatch, window: int) -> Iterator[pa.RecordBatch]:
+    """Each anchor of each text, once per run of its windows: anchor, doc_id."""
+    for names, sizes, owner, _, _ in _slices(batch["text"].to_pylist(), window, with_text=False):
+        anchor, place = recompression.parse(names, sizes, owner, window)
+        count = len(anchor)
+        inside = owner[:count] == owner[window - 1:]
+        new = np.concatenate([[True], (place[1:] != place[:-1]) | (anchor[1:] != anchor[:-1])
+                              | (owner[1:count] != owner[:count - 1])])
+        start = np.flatnonzero(new & inside)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(anchor[start].view(np.int64)), batch["doc_id"].take(pa.array(owner[start]))],
+            ["anchor", "doc_id"])
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -82,6 +108,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     3. What remains, runs cut off by an edge of a passage, is settled window by
        window against one document for each different run with the anchor.
 
+    Runs and windows are compared by a digest of the words that they cover.
+
     Every least document is found by an aggregate before the shuffle; joins back
     have plain shuffles on both sides that Spark can split. So an anchor may be
     in any share of the documents.
@@ -92,29 +120,34 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def anchors(batches):
         for batch in batches:
-            for rows in _spans(batch, window):
-                yield rows.select(["anchor", "doc_id"])
+            yield from _anchors(batch, window)
 
     def hashed(batches):
         for batch in batches:
-            columns = {name: [] for name in ("doc_id", "uid", "anchor", "pending", "word", "hash")}
+            columns = {name: [] for name in ("doc_id", "uid", "pending", "word", "alike", "alike2")}
             for row in batch.to_pylist():
-                names = np.concatenate([recompression.words(part)[0] for part in _parts(row["text"])])
-                hashes = recompression.window_hashes(names, window).view(np.int64)
+                parts = list(word_blocks(row["text"], SLICE))
+                first_byte, end = _places(np.concatenate(
+                    [np.fromiter(map(len, words), np.int64, len(words)) for words in parts]))
+                words = b" ".join(map(b" ".join, parts))
                 found = row["spans"]
                 first = np.array([f["span"] for f in found]) >> 8
                 count = np.array([f["span"] for f in found]) & 255
                 at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(
                     np.cumsum(count) - count, count)
-                columns["doc_id"].append(np.full(len(at), row["doc_id"]))
-                columns["uid"].append(np.full(len(at), row["uid"]))
-                columns["anchor"].append(np.repeat([f["anchor"] for f in found], count))
-                columns["pending"].append(np.repeat([f["pending"] for f in found], count))
-                columns["word"].append(at)
-                columns["hash"].append(hashes[at])
-                if sum(map(len, columns["word"])) > 1 << 18:
-                    yield _batch(columns)
-                    columns = {name: [] for name in columns}
+                pending = np.repeat([f["pending"] for f in found], count)
+                for a in range(0, len(at), 1 << 16):
+                    part = at[a:a + (1 << 16)]
+                    alike = recompression.digests(words, first_byte[part], end[part + window - 1])
+                    columns["doc_id"].append(np.full(len(part), row["doc_id"]))
+                    columns["uid"].append(np.full(len(part), row["uid"]))
+                    columns["pending"].append(pending[a:a + (1 << 16)])
+                    columns["word"].append(part)
+                    columns["alike"].append(alike[:, 0])
+                    columns["alike2"].append(alike[:, 1])
+                    if sum(map(len, columns["word"])) > 1 << 18:
+                        yield _batch(columns)
+                        columns = {name: [] for name in columns}
             if columns["word"]:
                 yield _batch(columns)
 
@@ -128,12 +161,14 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
         .where("least < most").select("anchor", "least"), "shared-anchors")
     runs = stored(
-        named.mapInArrow(spans, "doc_id long, uid long, anchor long, alike long, span long")
+        named.mapInArrow(
+            spans, "doc_id long, uid long, anchor long, alike long, alike2 long, span long")
         .join(shared, "anchor"), "shared-runs")
-    again = stored(runs.groupBy("anchor", "alike")
+    again = stored(runs.groupBy("alike", "alike2")
                    .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("most"))
                    .where("first < most").drop("most"), "equal-runs")
-    settled = stored(runs.join(again, ["anchor", "alike"], "left").drop("alike"), "settled-runs")
+    settled = stored(runs.join(again, ["alike", "alike2"], "left").drop("alike", "alike2"),
+                     "settled-runs")
     discard(runs)
     whole = settled.where("doc_id > first").select("doc_id", "uid", "span")
 
@@ -141,33 +176,22 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                .withColumn("pending", F.expr("doc_id > least")))
     open_anchors = stored(sources.where("pending").select("anchor").distinct(), "open-anchors")
     wanted = (sources.join(open_anchors, "anchor", "left_semi").groupBy("doc_id", "uid")
-              .agg(F.collect_set(F.struct("anchor", "span", "pending")).alias("spans")))
+              .agg(F.collect_set(F.struct("span", "pending")).alias("spans")))
     windows = stored(
         named.join(wanted, ["doc_id", "uid"]).mapInArrow(
             hashed,
-            "doc_id long, uid long, anchor long, pending boolean, word long, hash long"),
+            "doc_id long, uid long, pending boolean, word long, alike long, alike2 long"),
         "open-windows")
-    met = stored(windows.groupBy("anchor", "hash")
+    met = stored(windows.groupBy("alike", "alike2")
                  .agg(F.min("doc_id").alias("first"),
                       F.max(F.when(F.col("pending"), F.col("doc_id"))).alias("last"))
                  .where("first < last").drop("last"), "equal-windows")
-    single = (windows.where("pending").join(met, ["anchor", "hash"]).where("doc_id > first")
+    single = (windows.where("pending").join(met, ["alike", "alike2"]).where("doc_id > first")
               .select("doc_id", "uid", F.expr("word << 8 | 1").alias("span")))
     return (whole.unionByName(single).groupBy("doc_id", "uid")
             .agg(F.collect_set("span").alias("windows")))
 
 
-def _parts(data: bytes) -> Iterator[bytes]:
-    """A text in slices that end between words."""
-    at = 0
-    while at < len(data):
-        to = min(len(data), at + SLICE)
-        while to < len(data) and data[to] not in b" \t\n\v\f\r":
-            to += 1
-        yield data[at:to]
-        at = to
-
-
 def _batch(columns: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(np.concatenate(x)) for x in columns.values()], list(columns))
@@ -194,6 +218,23 @@ def kept_words(data: bytes, windows: list[int] | None, window: int = WINDOW) ->
     return at, at - len(parts), b" ".join(parts)
 
 
+def _split(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """``row`` (all columns of a document) and ``split``: n_words, n_removed, kept."""
+    found = stored(repeated_windows(docs, id_col, text_col, window), "repeats")
+
+    @F.arrow_udf("n_words long, n_removed long, kept binary")
+    def split(texts: pa.Array, windows: pa.Array) -> pa.Array:
+        rows = [kept_words(t.as_py(), w.as_py(), window) for t, w in zip(texts, windows)]
+        return pa.array([dict(zip(("n_words", "n_removed", "kept"), r)) for r in rows],
+                        pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()),
+                                   ("kept", pa.binary())]))
+
+    rows = boxed(docs, id=F.col(id_col), key=text_uid(id_col, text_col))
+    joined = rows.join(found, (rows["id"] == found["doc_id"]) & (rows["key"] == found["uid"]), "left")
+    text = F.encode(plain(F.col("row").getField(text_col)), "utf-8")
+    return joined.select("row", split(text, F.col("windows")).alias("split"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    window: int = WINDOW) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and ``kept`` (bytes), in place of columns of these names.
@@ -203,37 +244,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     smaller id; windows are judged on the texts as they came. Within one
     document, and among rows with one id, nothing is a repeat. Rows with a null
     id keep all words and are no source. Null and empty texts have no words;
-    shorter texts than a window have none removed. Equal hashes of 64 bits for
-    a window together with 64 bits for its anchor count as equal words.
+    shorter texts than a window have none removed. Names of symbols only tell
+    where to look; passages are equal if 128 bits of BLAKE2b of their words are.
     """
-    found = stored(repeated_windows(docs, id_col, text_col, window), "repeats").select(
-        F.col("doc_id").alias("_id"), F.col("uid").alias("_uid"), F.col("windows").alias("_windows"))
-
-    @F.arrow_udf("n_words long, n_removed long, kept binary")
-    def split(texts: pa.Array, windows: pa.Array) -> pa.Array:
-        rows = [kept_words(t.as_py(), w.as_py(), window) for t, w in zip(texts, windows)]
-        return pa.array([dict(zip(("n_words", "n_removed", "kept"), r)) for r in rows],
-                        pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()),
-                                   ("kept", pa.binary())]))
-
-    joined = docs.drop("n_words", "n_removed", "kept").withColumn("_key", text_uid(id_col, text_col))
-    joined = joined.join(found, (joined[id_col] == found["_id"]) & (joined["_key"] == found["_uid"]),
-                         "left")
-    return (joined.withColumn("_split", split(F.encode(plain(F.col(text_col)), "utf-8"),
-                                              F.col("_windows")))
-            .select(*[joined[c] for c in docs.columns if c not in ("n_words", "n_removed", "kept")],
-                    "_split.n_words", "_split.n_removed", "_split.kept"))
+    ours = ("n_words", "n_removed", "kept")
+    return _split(docs, id_col, text_col, window).select(
+        *(F.col("row").getField(c).alias(c) for c in docs.columns if c not in ours), "split.*")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the texts that are left; a text that repeats nothing stays as it is.
 
     Of other texts the kept words are joined by one space. ``n_chars``, if there
-    is one, is that of the new text.
+    is one, is that of the new text. Rows with a null id stay as they are.
     """
-    left = F.when(F.col("n_removed") > 0, F.decode("kept", "utf-8")).otherwise(F.col(text_col))
-    done = remove_repeats(docs, id_col, text_col).withColumn(text_col, left)
+    changed = F.col("split.n_removed") > 0
+    new = {text_col: F.decode("split.kept", "utf-8")}
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length(text_col))
-                               .otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return done.select(docs.columns)
+        new["n_chars"] = F.length(new[text_col]).cast(docs.schema["n_chars"].dataType)
+    old = {c: F.col("row").getField(c) for c in docs.columns}
+    return _split(docs, id_col, text_col, WINDOW).select(
+        *(F.when(changed, new[c]).otherwise(v).alias(c) if c in new else v.alias(c)
+          for c, v in old.items()))

@@ -81,10 +81,52 @@ def test_anchor_depends_on_the_window_only():
 def test_word_names_tell_words_apart():
     words = [b"a", b"b", b"ab", b"ba", b"aa", b"a\x00", b"\x00a", "é".encode(), b"x" * 5000, b"x" * 5001]
     names, sizes, begin = recompression.words(b" \n".join(words * 2) + b"\t")
+    assert begin[1] == 3
     assert len(set(names.tolist())) == len(words) and names[:10].tolist() == names[10:].tolist()
     assert sizes.tolist() == [len(w) for w in words * 2]
 
 
+def thue_morse(steps):
+    word = "a"
+    for _ in range(steps):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+@pytest.mark.parametrize("place", [0, 6, 12])
+def test_words_that_sums_of_powers_confuse_are_told_apart(docs, place):
+    one = thue_morse(11)
+    other = one.translate(str.maketrans("ab", "ba"))
+    passage = lambda word: " ".join(["w"] * place + [word] + ["w"] * (12 - place))
+    rows = [(1, passage(one)), (2, passage(other)), (3, passage(one))]
+    assert [r[2] for r in found(docs(*rows))] == [0, 0, 13]
+
+
+def test_names_only_lead_to_places(docs, monkeypatch):
+    """If all words had one name, the words themselves would still be compared."""
+    real = recompression.words
+    monkeypatch.setattr(substrings.recompression, "words",
+                        lambda data: (np.ones_like((r := real(data))[0]), *r[1:]))
+    rows = [(1, " ".join(map(str, range(30)))), (2, " ".join(map(str, range(10, 40)))),
+            (3, " ".join(map(str, range(100, 130))))]
+    texts = [t.encode() for _, t in rows]
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "uid": [1, 2, 3], "text": texts})
+    found_ = pa.Table.from_batches(substrings._spans(batch, 13)).to_pylist()
+    windows = {tuple(t.split()[i:i + 13]) for _, t in rows for i in range(18)}
+    assert len({r["anchor"] for r in found_}) == 1
+    assert len({(r["alike"], r["alike2"]) for r in found_}) == len(windows) < len(found_)
+
+
+def test_digests_are_of_the_words_alone():
+    data = b"  a b\n\nc \td" + b" a b c d"
+    (names, sizes, owner, number, text), = substrings._slices([data], 2)
+    first, end = substrings._places(sizes)
+    assert [text[a:b] for a, b in zip(first, end)] == [b"a", b"b", b"c", b"d"] * 2
+    got = recompression.digests(text, first[:5:4], end[3::4])
+    assert (got[0] == got[1]).all() and len(set(got[0])) == 2
+
+
 def test_hard_rows(docs):
     long = " ".join(f"word{i}" for i in range(40))
     rows = [(0, None), (1, ""), (2, " \n "), (3, long), (3, long), (3, "other " + long), (4, long + " tail"),
