@@ -15,7 +15,9 @@ CAPACITY = 2048
 GROUP_ROWS = 4096
 SEED = 17
 #: Words after which a worker begins to forget those that it has not met since.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Longer words, in characters, are not remembered: in scripts without spaces a word is a whole text.
+LONGEST = 48
 
 
 #: A full stop or comma after something else than a letter or digit of Latin-1 in lower case.
@@ -29,7 +31,9 @@ class WordIds(dict):
     signs from each other, so a text's ids are those of its words in order, and
     full stops and commas after a letter or digit are words of their own. Lower
     case and the class of a sign are only taken over from Python for characters
-    of Latin-1, where both agree; other texts keep their words as they are.
+    of Latin-1, where both agree; other texts, and those that may hold special
+    tokens, keep their words as they are. A worker remembers some words of a
+    bounded length, so what it holds does not grow with the texts.
     """
 
     def __init__(self, tokenizer):
@@ -47,6 +51,8 @@ class WordIds(dict):
             text.encode("latin-1")
         except UnicodeEncodeError:
             return text.split(" ")
+        if "<|" in text:
+            return text.split(" ")
         text = text.lower()
         if not _MIXED_SIGNS.search(text):
             text = text.replace(".", " .").replace(",", " ,")
@@ -75,6 +81,8 @@ class WordIds(dict):
     def of_words(self, lists: list[list[str]]) -> list[bytes]:
         """The ids of each list of words."""
         wanted = set().union(*lists)
+        long_ = [w for w in wanted if len(w) > LONGEST]
+        wanted.difference_update(long_)
         unseen = [w for w in wanted if w not in self]
         if len(self) + len(unseen) > REMEMBERED:
             self.older = dict(self)
@@ -83,7 +91,11 @@ class WordIds(dict):
         again = {w: self.older[w] for w in unseen if w in self.older}
         self.update(again)
         self.learn([w for w in unseen if w not in again])
-        return [b"".join(map(self.__getitem__, words)) for words in lists]
+        if not long_:
+            return [b"".join(map(self.__getitem__, words)) for words in lists]
+        got = self.tokenizer.encode_batch_fast(long_, add_special_tokens=False)
+        once = {w: np.array(g.ids, dtype="<u4").tobytes() for w, g in zip(long_, got)}
+        return [b"".join([once[w] if w in once else self[w] for w in words]) for words in lists]
 
     def of(self, texts: Iterable[str], block: int = 1 << 18) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers.
@@ -111,9 +123,10 @@ class WordIds(dict):
 
 
 def token_ids(text: Column, tokenizer_path: str, end_id: int = 1) -> Column:
-    """The ids of each text without special tokens, then ``end_id``: little-endian unsigned 32-bit.
+    """The library's ids of each text, none added, then ``end_id``: little-endian unsigned 32-bit.
 
-    Null texts count as empty, so every row has at least the end id.
+    Strings of special tokens in a text become these, as the library does by
+    default. Null texts count as empty, so every row has at least the end id.
     """
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
@@ -123,9 +136,7 @@ def token_ids(text: Column, tokenizer_path: str, end_id: int = 1) -> Column:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
-            tokenizer = Tokenizer.from_file(tokenizer_path)
-            tokenizer.encode_special_tokens = True
-            return WordIds(tokenizer)
+            return WordIds(Tokenizer.from_file(tokenizer_path))
 
         words = per_process(f"words {tokenizer_path}", load)
         last = end_id.to_bytes(4, "little")
@@ -197,7 +208,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
     task runs again, and are counted there for the number of groups.
     """
     bad = F.col("length").isNull() | (F.col("length") < 0) | (F.col("length") > capacity)
-    pieces = pieces.drop("sequence_id", "offset", "_group")
+    pieces = pieces.drop("sequence_id", "offset")
     held = stored(pieces.withColumn("length", F.when(bad, F.raise_error(F.lit(
         f"a piece needs a length from 0 to {capacity}"))).otherwise(F.col("length"))), "pieces")
     groups = max(1, -(-held.count() // group_rows))
@@ -205,11 +216,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
                            T.StructField("offset", T.LongType())])
 
     def fit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.select(range(1, table.num_columns))  # without the group, the first column
         bins, offsets = first_fit_decreasing(table["length"].to_pylist(), capacity)
         first = key[0].as_py() << 32
-        return (table.drop_columns(["_group"])
-                .append_column("sequence_id", pa.array([first + b for b in bins], pa.int64()))
+        return (table.append_column("sequence_id", pa.array([first + b for b in bins], pa.int64()))
                 .append_column("offset", pa.array(offsets, pa.int64())))
 
-    return (held.withColumn("_group", F.floor(F.rand(seed) * groups))
-            .groupBy("_group").applyInArrow(fit, schema))
+    group = "group of " + " ".join(held.columns)  # a name that no column has
+    dealt = held.select(F.floor(F.rand(seed) * groups).alias(group), "*")
+    return dealt.groupBy(f"`{group.replace('`', '``')}`").applyInArrow(fit, schema)

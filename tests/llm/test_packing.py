@@ -18,9 +18,7 @@ HARD = [
 
 
 def library():
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(PATH)
 
 
 def brute(texts):
@@ -45,6 +43,18 @@ def test_ids_are_those_of_the_library(docs, documents, monkeypatch):
             assert list(words.of([t or "" for t in [*texts, *HARD]], block)) == want
 
 
+def test_long_words_are_not_remembered():
+    """In scripts without spaces every text is one word."""
+    words = packing.WordIds(library())
+    texts = ["".join(chr(0x4E00 + (i * 31 + j * 7) % 5000) for j in range(800)) for i in range(2000)]
+    sizes = []
+    for at in range(0, len(texts), 500):
+        assert len(list(words.of(texts[at:at + 500]))) == 500
+        sizes.append(sum(map(len, [*words, *words.older])))
+    assert sizes == [sizes[0]] * len(sizes)
+    assert list(words.of([texts[0] + " a", "b"])) == [packed(i[:-1]) for i in brute([texts[0] + " a", "b"])]
+
+
 def test_first_fit_decreasing_against_a_plain_search():
     rng = random.Random(3)
     for _ in range(50):
@@ -98,6 +108,12 @@ def test_hard_rows(docs):
     assert queries.packed(docs("x").limit(0)).collect() == []
 
 
+def test_pack_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(5, "a", 1), (6, "b", 2)], "length int, _group string, `group of length _group` int")
+    got = packing.pack(df, 10).collect()
+    assert {(r["_group"], r["group of length _group"], r.length) for r in got} == {("a", 1, 5), ("b", 2, 6)}
+
+
 def test_pack_carries_columns_and_repeated_rows(spark):
     rows = [(None, 5, "a")] * 4 + [(1, 0, None), (1, 7, "b")]
     df = spark.createDataFrame(rows, "offset int, length long, sequence_id string")

@@ -60,7 +60,6 @@ def test_passages_go(steps):
 
 def test_all_that_is_left_is_packed(steps):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     want = {r.doc_id: tokenizer.encode(r.text, add_special_tokens=False).ids + [1] for r in steps[4].collect()}
     assert check(steps[5].collect(), want) < 0.05
 
@@ -75,7 +74,6 @@ def test_run_gives_the_last_stage(spark, steps):
 
 def test_sequences_hold_the_ids_of_the_texts(steps):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     found = {}
     for r in sorted(steps[5].collect(), key=lambda r: (r.doc_id, r.start)):
         assert len(r.ids) == 4 * r.length
