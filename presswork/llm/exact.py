@@ -15,28 +15,53 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(plain(text), r"[\x20\x09-\x0D]+", " ")
 
 
-def _hashed(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, digest_all: bool,
-            columns: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
-    """All rows with n, prefix and text_sha256, and the n and prefix that more than one row has."""
-    body = docs.select(F.col(id_col).alias("doc_id"), text_uid(id_col, text_col).alias("uid"),
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), text_uid(id_col, text_col).alias("uid"),
                        normalised(F.col(text_col)).alias("body"))
-    length = F.length("body").alias("n")
-    prefix = F.xxhash64(F.substring("body", 1, prefix_chars)).alias("prefix")
-    repeated = F.col("count") > 1
 
+
+def _keys(prefix_chars: int) -> tuple[Column, Column]:
+    return (F.length("body").alias("n"),
+            F.xxhash64(F.substring("body", 1, prefix_chars)).alias("prefix"))
+
+
+def _repeated(body: DataFrame, prefix_chars: int) -> DataFrame:
+    """The n and prefix that more than one row has, found by length first."""
+    length, prefix = _keys(prefix_chars)
+    repeated = F.col("count") > 1
     lengths = stored(body.select(length).groupBy("n").count().where(repeated).select("n"),
                      "exact-lengths")
-    prefixes = stored(body.select(length, prefix).join(lengths, "n", "left_semi")
-                      .groupBy("n", "prefix").count().where(repeated).select("n", "prefix"),
-                      "exact-prefixes")
-    sha = F.sha2(F.encode("body", "utf-8"), 256)
+    return stored(body.select(length, prefix).join(lengths, "n", "left_semi")
+                  .groupBy("n", "prefix").count().where(repeated).select("n", "prefix"),
+                  "exact-prefixes")
+
+
+def _survivors(body: DataFrame, prefixes: DataFrame, prefix_chars: int) -> DataFrame:
+    """doc_id, uid and text_sha256 of the rows whose length and prefix another row has.
+
+    Bodies of other rows are dropped by the semi-join: in their scan while the
+    prefixes are few enough for a broadcast or a Bloom filter.
+    """
+    return stored(body.select("doc_id", "uid", "body", *_keys(prefix_chars))
+                  .join(prefixes, ["n", "prefix"], "left_semi")
+                  .select("doc_id", "uid", F.sha2(F.encode("body", "utf-8"), 256).alias("text_sha256")),
+                  "exact-survivors")
+
+
+def _hashed(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, digest_all: bool,
+            ) -> tuple[DataFrame, DataFrame]:
+    """All rows with text_sha256, null or not where it is not needed, and the rows that need it."""
+    body = _rows(docs, id_col, text_col)
+    prefixes = _repeated(body, prefix_chars)
     if digest_all:
-        hashed = body.select(*columns, length, prefix, sha.alias("text_sha256"))
-    else:
-        found = prefixes.withColumn("again", F.lit(True))
-        hashed = (body.select(*columns, length, prefix, "body").join(found, ["n", "prefix"], "left")
-                  .select(*columns, "n", "prefix", F.when(F.col("again"), sha).alias("text_sha256")))
-    return stored(hashed, "exact-hashed"), prefixes
+        hashed = stored(body.select("doc_id", *_keys(prefix_chars), F.sha2(
+            F.encode("body", "utf-8"), 256).alias("text_sha256")), "exact-hashed")
+        return hashed, hashed.join(prefixes, ["n", "prefix"], "left_semi")
+    survivors = _survivors(body, prefixes, prefix_chars)
+    one = survivors.select(F.col("doc_id").alias("its_id"), F.col("uid").alias("its_uid"),
+                           "text_sha256").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("uid") == F.col("its_uid"))
+    return body.select("doc_id", "uid").join(one, same, "left"), survivors
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -59,9 +84,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     has a plain shuffle on both sides that Spark can split, so that a group may
     hold any share of the rows.
     """
-    hashed, prefixes = _hashed(docs, id_col, text_col, prefix_chars, digest_all)
+    hashed, repeated = _hashed(docs, id_col, text_col, prefix_chars, digest_all)
     groups = stored(
-        hashed.join(prefixes, ["n", "prefix"], "left_semi").groupBy("text_sha256")
+        repeated.groupBy("text_sha256")
         .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .where(F.col("group_size") > 1), "exact-groups")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
@@ -77,10 +102,13 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows go by id and text: other texts of an id that goes stay. Repeated rows of
     one id and one text leave one. Rows with a null id all stay, or with
-    ``null_ids_stay=False`` only one of a group without other ids.
+    ``null_ids_stay=False`` only one of a group without other ids. Null and empty
+    texts are equal; an empty table stays empty; columns may have any name.
+    Texts are read for their length and prefix, but only those whose length and
+    prefix occur again are carried on and hashed whole.
     """
-    hashed, _ = _hashed(docs, id_col, text_col, PREFIX_CHARS, False, ("doc_id", "uid"))
-    again = hashed.where("text_sha256 is not null").select("doc_id", "uid", "text_sha256")
+    body = _rows(docs, id_col, text_col)
+    again = _survivors(body, _repeated(body, PREFIX_CHARS), PREFIX_CHARS)
     firsts = stored(again.groupBy("text_sha256").agg(F.min(place()).alias("first"),
                                                      F.count("*").alias("group_size"))
                     .where("group_size > 1").drop("group_size"), "exact-firsts")
