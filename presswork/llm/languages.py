@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import plain, stored
+from .shared import boxed, plain, stored
 
 #: Buckets for the hashes of byte trigrams: the size of the model for each language.
 BUCKETS = 1 << 14
@@ -50,11 +50,13 @@ class TextModel:
     logs: np.ndarray
 
 
-def train_text_model(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> TextModel:
+def train_text_model(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text",
+                     most: int = 500) -> TextModel:
     """Counts the trigrams of all labelled texts by language; rows with a null language are left out.
 
     Each task adds up what it reads; the driver gets :data:`BUCKETS` numbers a
-    language. Without labelled texts the model has no language.
+    language. More than ``most`` languages, as unclean labels have, are an error.
+    Without labelled texts the model has no language. Null texts count as empty.
     """
     def count(batches):
         totals: dict[str, np.ndarray] = {}
@@ -69,7 +71,11 @@ def train_text_model(labelled: DataFrame, lang_col: str = "lang", text_col: str
                 [pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])],
                 ["lang", "bucket", "n"])
 
-    found = (labelled.where(F.col(lang_col).isNotNull())
+    known = labelled.where(F.col(lang_col).isNotNull())
+    codes = known.select(lang_col).distinct().limit(most + 1).count()
+    if codes > most:
+        raise ValueError(f"there are more than {most} languages; clean the labels or raise the bound")
+    found = (known
              .select(F.col(lang_col).alias("lang"), plain(F.col(text_col)).alias("text"))
              .mapInArrow(count, "lang string, bucket long, n long")
              .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow())
@@ -128,58 +134,61 @@ def identify(records: DataFrame, model: TextModel) -> DataFrame:
     """``records`` with text_language, language and confidence in place of text.
 
     ``records`` has text, declared, host, domain and suffix, each of which may be
-    null, and any others, which stay. ``language`` has the largest posterior,
+    null, and any others, which stay; columns that are called like the three
+    results are replaced. Repeated rows stay, each a record. ``language`` has the largest posterior,
     which is ``confidence``; ties go to the first code. Where a record has no
     text and shares no address with others, that is the most frequent language.
     Without a language in the model all three columns are null.
 
-    The prior of a host is smoothed by that of its domain, this by that of its
-    suffix, and this by all records. A record's own text is left out of the
+    The prior of a host is smoothed by that of its domain, and this by all
+    records; the suffix is evidence of its own, as the declared language is, and
+    so is not a level of the prior, where it would count twice. A record's own text is left out of the
     counts it is judged by. Counts are aggregated before the shuffle and joined
     back from written tables, which Spark broadcasts if they are small, and by
     shuffles that it can split if not; so a host may have any share of the records.
     """
     size = len(model.languages)
+    results = ("text_language", "language", "confidence")
     if not size:
+        kept = [c for c in records.columns if c not in ("text", *results)]
         none = F.lit(None)
-        return records.drop("text").withColumns({
-            "text_language": none.cast("string"), "language": none.cast("string"),
-            "confidence": none.cast("double")})
+        return records.select(*kept, none.cast("string").alias("text_language"),
+                              none.cast("string").alias("language"), none.cast("double").alias("confidence"))
     levels = ("host", "domain", "suffix", "declared")
-    scored = records.withColumn("_text", text_scores(F.col("text"), model)).drop("text")
-    scored = stored(scored.withColumn("_own", _softmax(F.col("_text"))), "text-scores")
-    totals = stored(scored.agg(_total(F.col("_own"), size).alias("_all")), "language-totals")
+    kept = records.drop("text", *results).columns
+    scored = boxed(records, scores=text_scores(F.col("text"), model),
+                   **{level: F.col(level) for level in levels})
+    scored = scored.withColumn("row", F.struct(*(F.col("row").getField(c).alias(c) for c in kept)))
+    scored = stored(scored.withColumn("own", _softmax(F.col("scores"))), "text-scores")
+    totals = stored(scored.agg(_total(F.col("own"), size).alias("all")), "language-totals")
     zero = F.array(*[F.lit(0.0)] * size)
-    everything = totals.first()["_all"]
+    everything = totals.first()["all"]
     overall = F.array(*[F.lit(float(n or 0)) for n in everything])
 
     joined = scored
     for level in levels:
-        counts = stored(scored.where(F.col(level).isNotNull()).groupBy(F.col(level).alias("_key"))
-                        .agg(_total(F.col("_own"), size).alias(f"_{level}")), f"by-{level}")
-        joined = joined.join(counts, joined[level] == counts["_key"], "left").drop("_key")
-
-    less = lambda c: F.zip_with(c, F.col("_own"), lambda n, o: F.greatest(n - o, F.lit(0.0)))
-    without = {level: F.coalesce(less(F.col(f"_{level}")), zero) for level in levels}
-    joined = joined.withColumns({f"_{level}": c for level, c in without.items()}).withColumn(
-        "_all", less(overall))
+        counts = stored(scored.where(F.col(level).isNotNull()).groupBy(F.col(level).alias("key"))
+                        .agg(_total(F.col("own"), size).alias(f"of_{level}")), f"by-{level}")
+        joined = joined.join(counts, joined[level] == counts["key"], "left").drop("key")
+
+    less = lambda c: F.zip_with(c, F.col("own"), lambda n, o: F.greatest(n - o, F.lit(0.0)))
+    without = {f"of_{level}": F.coalesce(less(F.col(f"of_{level}")), zero) for level in levels}
+    joined = joined.withColumns(without).withColumn("of_all", less(overall))
     even = F.array(*[F.lit(1.0 / size)] * size)
-    joined = joined.withColumn("_prior", _smoothed(F.col("_all"), even))
-    for level in ("suffix", "domain", "host"):
-        joined = joined.withColumn("_prior", _smoothed(F.col(f"_{level}"), F.col("_prior")))
-    score = F.zip_with("_text", "_prior", lambda t, p: t + F.log(p))
+    joined = joined.withColumn("prior", _smoothed(F.col("of_all"), even))
+    for level in ("domain", "host"):
+        joined = joined.withColumn("prior", _smoothed(F.col(f"of_{level}"), F.col("prior")))
+    score = F.zip_with("scores", "prior", lambda t, p: t + F.log(p))
     for level in ("declared", "suffix"):
         # how often records in each language have this value, against how often any record has
-        share = F.zip_with(f"_{level}", "_all", lambda n, all_: (n + 0.1) / (all_ + 0.1 * 10))
+        share = F.zip_with(f"of_{level}", "of_all", lambda n, all_: (n + 0.1) / (all_ + 0.1 * 10))
         score = F.when(F.col(level).isNull(), score).otherwise(
             F.zip_with(score, share, lambda s, p: s + F.log(p)))
     names = F.array(*map(F.lit, model.languages))
     best = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
-    return (joined.withColumn("_post", _softmax(score))
-            .withColumns({"text_language": best(F.col("_own")), "language": best(F.col("_post")),
-                          "confidence": F.array_max("_post")})
-            .select(*[c for c in records.columns if c != "text"],
-                    "text_language", "language", "confidence"))
+    return joined.withColumn("post", _softmax(score)).select(
+        *(F.col("row").getField(c).alias(c) for c in kept), best(F.col("own")).alias("text_language"),
+        best(F.col("post")).alias("language"), F.array_max("post").alias("confidence"))
 
 
 def _softmax(scores: Column) -> Column:

@@ -69,7 +69,7 @@ def plain_identify(records, langs, logs):
             return (n + languages.STRENGTH * above) / (n.sum() + languages.STRENGTH)
 
         prior = smooth(others(None), np.full(size, 1 / size))
-        for level in (4, 3, 2):
+        for level in (3, 2):
             prior = smooth(others(level), prior)
         score = scores[i] + np.log(prior)
         for level in (1, 4):
@@ -121,6 +121,39 @@ def test_address_decides_where_the_text_does_not(spark, model):
     assert got[200] == got[201] == "de" and got[100] == "en"
 
 
+def test_suffix_counts_once(spark, model):
+    """Of two records without a text, one on an unseen host, the suffix is evidence but no prior."""
+    rng = random.Random(4)
+    rows = [(i, text(rng, "de", 30), None, f"h{i}.x", f"h{i}.x", "x", "") for i in range(12)]
+    rows += [(100 + i, text(rng, "en", 30), None, f"e{i}.y", f"e{i}.y", "y", "") for i in range(60)]
+    rows += [(200, "", None, "new.x", "new.x", "x", "")]
+    got = {r.id: r for r in languages.identify(spark.createDataFrame(rows, SPEC), model).collect()}
+    own = np.array([12 + 1 / 3, 60 + 1 / 3, 1 / 3])  # de, en, fr; about, as the texts are clear
+    prior = (np.array([12.0, 60, 0]) + languages.STRENGTH / 3) / (72 + languages.STRENGTH)
+    post = prior * (np.array([12.0, 0, 0]) + 0.1) / (np.array([12.0, 60, 0]) + 1)
+    assert got[200].language == "de"
+    assert got[200].confidence == pytest.approx(post[0] / post.sum(), abs=0.02) and len(own) == 3
+
+
+def test_columns_of_any_name_stay(spark, model):
+    names = ("scores", "own", "prior", "post", "of_all", "of_host", "key", "row", "_text", "_key", "language")
+    spec = ", ".join(["text string", "declared string", "host string", "domain string", "suffix string",
+                      *(f"{n} string" for n in names)])
+    df = spark.createDataFrame([("der garten und haus", None, "h.de", "h.de", "de", *names)], spec)
+    for found in (model, languages.TextModel((), np.zeros((0, languages.BUCKETS)))):
+        row, = languages.identify(df, found).collect()
+        assert all(row[n] == n for n in names if n != "language")
+        assert row.__fields__[-3:] == ["text_language", "language", "confidence"]
+        assert row.language == ("de" if found is model else None)
+
+
+def test_too_many_languages_are_an_error(spark):
+    df = spark.createDataFrame([("a", f"l{i}") for i in range(6)], "text string, lang string")
+    with pytest.raises(ValueError, match="more than 5 languages"):
+        languages.train_text_model(df, most=5)
+    assert len(languages.train_text_model(df, most=6).languages) == 6
+
+
 def test_empty_tables_and_no_model(spark, labelled):
     nothing = languages.train_text_model(labelled.limit(0))
     rows = spark.createDataFrame([(1, "a", None, None, None, None, "")], SPEC)
