@@ -68,22 +68,22 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     and ``blocked``. Captures with a null URL or time match no entry.
 
     Both sides are cut into months: an interval stands once in every month that
-    it covers between the first and the last capture, and a capture looks only
-    into its own. So a key with a long history costs each
+    it covers and any capture is of, and a capture looks only into its own. One
+    wrong date adds one month, however far off it is. So a key with a long history costs each
     capture the few entries of one month, and a host that holds a third of the
     captures is spread over months and split further by Spark, which finds a
     plain shuffle on both sides, or broadcasts the intervals if they are small.
     """
     seen = url_keys(captures.select(F.col(id_col).alias("id"), "url", "fetched_at"))
-    first, last = (seen.agg(end("fetched_at")).scalar() for end in (F.min, F.max))
+    # at most the months of the years 1 to 9999
+    months = seen.agg(F.sort_array(F.collect_set(F.trunc("fetched_at", "month")))).scalar()
     wanted = (seen.where("keys is not null and fetched_at is not null")
               .select("id", "url", "fetched_at", "host", F.explode("keys").alias("list_key"))
               .withColumn("month", F.trunc("fetched_at", "month")))
-    open_in = (validity(entries)
-               .where((F.col("valid_from") <= last) & (F.col("valid_to") > first))
-               .withColumn("month", F.explode(F.sequence(
-                   F.trunc(F.greatest(F.col("valid_from"), first), "month"),
-                   F.trunc(F.least(F.col("valid_to"), last), "month"), F.expr("interval 1 month")))))
+    open_in = (validity(entries).withColumn("months", months)
+               .withColumn("month", F.explode(F.filter("months", lambda m: (
+                   m >= F.trunc("valid_from", "month")) & (m < F.col("valid_to")))))
+               .drop("months"))
     holds = ((F.col("valid_from") <= F.col("fetched_at"))
              & (F.col("fetched_at") < F.col("valid_to")))
     met = (wanted.join(open_in, ["list_key", "month"]).where(holds)

@@ -59,6 +59,21 @@ def test_against_a_plain_search(spark):
     assert len(got) == len(set(rows)) and sum(r.list_key is not None for r in got) > 10
 
 
+def test_a_wrong_date_adds_one_month(spark):
+    far = [dt.datetime(1, 1, 1), dt.datetime(9998, 12, 31, 23), day(10)]
+    seen = spark.createDataFrame([(i, "http://c.com", at) for i, at in enumerate(far)],
+                                 "page_id long, url string, fetched_at timestamp_ntz")
+    entries = [("c.com", "block", day(0)), ("c.com", "allow", day(5)), ("c.com", "block", dt.datetime(1, 1, 1))]
+    listed = spark.createDataFrame(entries, "list_key string, action string, dated timestamp_ntz")
+    result = url_lists.filter_urls(seen, listed)
+    keyed = [tuple(r) for r in url_lists.url_keys(seen).collect()]
+    assert {tuple(r) for r in result.collect()} == plain(keyed, entries)
+    made = url_lists.validity(listed).count()
+    explode = result._jdf.queryExecution().toString()
+    assert "sequence(" not in explode.split("== Optimized Logical Plan ==")[1].split("== Physical")[0].replace(
+        "sequence(2", "") and made == 3
+
+
 def test_keys(spark):
     df = spark.createDataFrame([(u,) for u in URLS], "url string")
     got = {r.url: (r.host, r.keys) for r in url_lists.url_keys(df).collect()}
