@@ -22,6 +22,8 @@ CHUNK = 1 << 18
 #: A reading task gets about so many bytes of an archive, a file holds about so many.
 SEGMENT = 1 << 25
 FILE = 1 << 30
+#: Tasks that read at most; with more segments each reads several.
+READERS = 8192
 MIN_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -218,12 +220,13 @@ CHUNK_ROWS = ("record_id string, record_type string, url string, refers_to strin
               "payload_bytes long, chunk_no int, data binary, last boolean, digest string")
 
 
-def read_archives(segments: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def read_archives(segments: DataFrame, chunk: int = CHUNK, readers: int = READERS) -> DataFrame:
     """The records of the segments as rows of record and chunk, in order within a record.
 
     ``digest`` is that of the payload up to and with the chunk, ``declared`` that
     of the header; a response whose last digest is another is an error. A revisit
     has one chunk without data. ``payload_bytes`` is the length of the whole payload.
+    Up to ``readers`` tasks read one segment each, more segments are dealt to these.
     """
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
@@ -249,8 +252,8 @@ def read_archives(segments: DataFrame, chunk: int = CHUNK) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_pylist(held, schema)
 
-    return (segments.repartition(max(1, segments.count()), "path", "start")
-            .mapInArrow(read, CHUNK_ROWS))
+    tasks = max(1, min(segments.count(), readers))
+    return segments.repartition(tasks, "path", "start").mapInArrow(read, CHUNK_ROWS)
 
 
 def page_number(name: Column) -> Column:
