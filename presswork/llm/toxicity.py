@@ -38,6 +38,10 @@ SAMPLE_CHARS = 200_000
 #: Scores from here on are toxic.
 CUT = 0.7
 REMEMBERED = 100_000
+#: Longer words, in characters, are not remembered.
+LONGEST = 48
+#: Characters of a word whose grams are made at once.
+BLOCK = 1 << 16
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -49,6 +53,18 @@ def grams(word: str) -> list[str]:
     return sorted({padded, *(padded[i:i + n] for n in (4, 5) for i in range(len(padded) - n + 1))})
 
 
+def weight_of(word: str, weights: dict[str, float]) -> float:
+    """The summed weight of a word's grams, each once; a long word is cut into overlapping blocks."""
+    if len(word) <= BLOCK:
+        return sum(weights.get(g, 0.0) for g in grams(word))
+    padded, found = f"<{word}>", set()
+    for at in range(0, len(padded), BLOCK):
+        part = padded[at:at + BLOCK + 4]
+        found.update(g for n in (4, 5) for i in range(min(BLOCK, len(part) - n + 1))
+                     if (g := part[i:i + n]) in weights)
+    return sum(weights[g] for g in sorted(found)) + weights.get(padded, 0.0)
+
+
 def words_of(text: str) -> set[str]:
     """The distinct words of a text, in lower case."""
     return set(_WORD.findall(text.lower()))
@@ -74,7 +90,7 @@ class Model:
     bias: float
 
     def word(self, word: str) -> float:
-        return sum(self.weights.get(g, 0.0) for g in grams(word))
+        return weight_of(word, self.weights)
 
     def score(self, text: str) -> float:
         return _logistic(self.bias + sum(map(self.word, words_of(text))))
@@ -234,9 +250,11 @@ def toxicity(text: Column, model: Model) -> Column:
             for word in words:
                 value = known.get(word)
                 if value is None:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    value = known[word] = sum(weights.get(g, 0.0) for g in grams(word))
+                    value = weight_of(word, weights)
+                    if len(word) <= LONGEST:
+                        if len(known) > REMEMBERED:
+                            known.clear()
+                        known[word] = value
                 total += value
             scores.append(total)
         return pa.array(1 / (1 + np.exp(-np.clip(np.array(scores, dtype=float), -30, 30))))
@@ -246,12 +264,21 @@ def toxicity(text: Column, model: Model) -> Column:
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id",
                     text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted (1 from ``cut`` on)."""
+    """One row per row of ``docs``: doc_id, held_out, score, predicted (1 from ``cut`` on).
+
+    Null and empty texts score as no word does. Null ids are not held out;
+    repeated rows stay. Whole texts are scored, words of any length block by
+    block. Only the two named columns are read. An empty table stays empty.
+    """
     return (docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"),
                         toxicity(F.col(text_col), model).alias("score"))
             .withColumn("predicted", (F.col("score") >= cut).cast("int")))
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """``docs`` without those that score ``cut`` or more; all columns stay."""
+    """``docs`` without those that score ``cut`` or more; all columns stay, of any name.
+
+    Rows are judged by their text alone: null ids and repeated rows go or stay
+    with it, a null text is an empty one. An empty table stays empty.
+    """
     return docs.where(toxicity(F.col(text_col), model) < cut)

@@ -45,6 +45,16 @@ def test_one_label_only(rows, score):
     assert toxicity.fit(examples(rows), 0.5).score("anything") == pytest.approx(score)
 
 
+def test_long_words_are_cut_into_blocks(monkeypatch):
+    word = "".join(chr(97 + i * i % 7) for i in range(500))
+    weights = {g: 1.0 + i for i, g in enumerate(toxicity.grams(word)) if i % 3}
+    whole = sum(weights.get(g, 0.0) for g in toxicity.grams(word))
+    for block in (1, 3, 5, 64, 500):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        assert toxicity.weight_of(word, weights) == pytest.approx(whole)
+        assert toxicity.weight_of("a", {"<a>": 2.0}) == toxicity.weight_of("abcdef", {"<abcdef>": 2.0}) == 2.0
+
+
 def test_hard_rows(spark, docs):
     rows = [(i, t) for i, (t, _) in enumerate(labelled())] + [(None, "stupid idiots"), (900, None),
                                                                (900, ""), (901, "stupid idiots " * 20_000)]
