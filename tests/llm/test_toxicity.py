@@ -1,4 +1,7 @@
+import math
+import random
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -40,6 +43,71 @@ def test_swapped_names_hardly_change_the_score():
     assert fair.score("the women are here") < 0.7 <= fair.score("you are stupid idiots")
 
 
+def plain_fit(rows, share, fairness, evidence=4.0, decay=1e-6, steps=60, rate=0.3):
+    """The fit in loops over texts, words and grams: weights by gram and the bias."""
+    ones = sum(y for _, y, _ in rows)
+    weight = [share / ones if y else (1 - share) / (len(rows) - ones) for _, y, _ in rows]
+    counts = [Counter(g for w in words for g in toxicity.grams(w)) for words, _, _ in rows]
+    pairs = [p for _, _, found in rows for p in found]
+    moved = []
+    for gone, come in pairs:
+        change = Counter(g for w in come for g in toxicity.grams(w))
+        change.subtract(Counter(g for w in gone for g in toxicity.grams(w)))
+        moved.append(change)
+    named = {g for gone, come in pairs for w in gone | come for g in toxicity.grams(w)}
+
+    def telling(gram):
+        cells = [[0, 0], [0, 0]]
+        for (_, y, _), count in zip(rows, counts):
+            cells[y][gram in count] += 1
+        total, result = len(rows), 0.0
+        for y in (0, 1):
+            for has in (0, 1):
+                seen, side = cells[y][has], cells[0][has] + cells[1][has]
+                if seen:
+                    result += 2 * seen * math.log(seen * total / (sum(cells[y]) * side))
+        return gram in named or result >= evidence ** 2
+
+    grams = sorted(g for g in {g for c in counts for g in c} | named if telling(g))
+    w, bias = dict.fromkeys(grams, 0.0), math.log(share / (1 - share))
+    squares, bias_squares = dict.fromkeys(grams, 1e-8), 1e-8
+    for _ in range(steps):
+        slope, bias_slope = {g: decay * w[g] for g in grams}, 0.0
+        for k, ((_, y, _), count) in enumerate(zip(rows, counts)):
+            score = bias + sum(n * w.get(g, 0.0) for g, n in count.items())
+            off = weight[k] * (1 / (1 + math.exp(-max(-30, min(30, score)))) - y)
+            bias_slope += off
+            for g, n in count.items():
+                if g in slope:
+                    slope[g] += n * off
+        for change in moved:
+            difference = sum(n * w.get(g, 0.0) for g, n in change.items())
+            for g, n in change.items():
+                slope[g] += 2 * fairness / len(moved) * difference * n
+        for g in grams:
+            squares[g] += slope[g] ** 2
+            w[g] -= rate / math.sqrt(squares[g]) * slope[g]
+        bias_squares += bias_slope ** 2
+        bias -= rate / math.sqrt(bias_squares) * bias_slope
+    return w, bias
+
+
+@pytest.mark.parametrize("fairness", [0.0, 1.0, 10.0])
+def test_fit_against_plain_loops(fairness):
+    rng = random.Random(7)
+    rows = examples(rng.sample(labelled(), 90) + [("", 0), ("", 1), ("a", 0)])
+    model = toxicity.fit(rows, 0.3, fairness=fairness, steps=60)
+    weights, bias = plain_fit(rows, 0.3, fairness)
+    assert model.bias == pytest.approx(bias, rel=1e-6)
+    assert set(model.weights) <= set(weights) and len(weights) > 50
+    for gram, value in weights.items():
+        assert model.weights.get(gram, 0.0) == pytest.approx(value, rel=1e-5, abs=1e-7)
+    scores = [1 / (1 + math.exp(-bias - sum(weights.get(g, 0.0) for w in words for g in toxicity.grams(w))))
+              for words, _, _ in rows]
+    texts = [t for t, _ in rng.sample(labelled(), 20)]
+    assert max(scores) > 0.5 and all(0 <= model.score(t) <= 1 for t in texts)
+
+
 @pytest.mark.parametrize("rows, score", [([], 0.5), ([("a", 1)], 2 / 3), ([("a", 0), ("b", 0)], 0.25)])
 def test_one_label_only(rows, score):
     assert toxicity.fit(examples(rows), 0.5).score("anything") == pytest.approx(score)
