@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from presswork.filters import EVERYTHING, FilterSpec, not_blank
 from presswork.functions import label_or_code, or_zero, round_to, share
 from presswork.operators.orders import MISSING
+from presswork.plans.distinct import counted
 from presswork.plans.ranking import named_by, ranked
 
 # Fixed values of the result: orders in these states still need material.
@@ -258,18 +259,19 @@ def material_summary(
     """Orders, machines and consumption per material, most first.
 
     A material may hold most of the rows; they are summed per order and
-    machine before anything is gathered by material. ``base`` as in
+    machine before anything is gathered by material, and orders and machines
+    are both counted over these sums. ``base`` as in
     :func:`material_use_by_order`.
     """
-    materials = (
+    per_order = (
         _used(consumption_base(results, spec) if base is None else base, bom, spec)
         .groupBy("material_code", "order_code", "machine_code")
         .agg(F.sum(_kilos(_spent_pieces())).alias("total_kg"),
              F.sum(_kilos(F.col("qty_scrap"))).alias("scrap_kg"))
-        .groupBy("material_code")
-        .agg(F.count_distinct("order_code").alias("orders"),
-             F.count_distinct("machine_code").alias("machines"),
-             F.sum("total_kg").alias("total_kg"), F.sum("scrap_kg").alias("scrap_kg"))
+    )
+    materials = (
+        counted(per_order, ["material_code"], {"order_code": "orders", "machine_code": "machines"},
+                ["total_kg", "scrap_kg"])
         .join(_texts(consumables), "material_code")
         .select("material_code", "material_name", "unit", "orders", "machines",
                 *(round_to(F.col(c) * F.col("_times"), 2).alias(c)
@@ -280,34 +282,32 @@ def material_summary(
         _unit(), "orders", "machines", "total_kg", "scrap_kg")
 
 
-def _distinct(column: str) -> Column:
-    """Distinct values, a missing one counting as a value."""
-    missing = F.max(F.col(column).isNull().cast("long"))
-    return F.count_distinct(column) + F.coalesce(missing, F.lit(0))
-
-
 def material_totals(planned: DataFrame, by_order: DataFrame) -> DataFrame:
     """One row over the rows of both reports: what is still needed and what was used.
 
-    For the totals of all orders give it both reports without a limit, and not ordered.
+    For the totals of all orders give it both reports without a limit, and not
+    ordered. Rows are summed per order and machine once, and orders, machines
+    and totals are taken from these sums. A missing code counts as one, but for
+    the machines of open orders.
     """
-    def total(column: str, alias: str | None = None) -> Column:
-        return or_zero(F.sum(column)).alias(alias or column)
-
-    def kilos(column: str) -> Column:
-        return round_to(or_zero(F.sum(column)), 2).alias(column)
-
-    machine = F.when(F.col("machine_code") != MISSING, F.col("machine_code"))
-    future = planned.agg(
-        kilos("needed_kg"), kilos("planned_kg"), kilos("used_kg"), total("remaining_pieces"),
-        _distinct("order_code").alias("open_orders"),
-        F.count_distinct(machine).alias("open_machines"),
-    )
-    past = by_order.agg(
-        kilos("total_kg"), kilos("good_kg"), kilos("scrap_kg"), total("pieces"),
-        _distinct("order_code").alias("orders"), _distinct("machine_code").alias("machines"),
-    )
-    columns = [*future.columns, *past.columns]
+    def sums(df: DataFrame, kilos: tuple[str, ...], pieces: str) -> DataFrame:
+        per_order = df.groupBy("order_code", "machine_code").agg(
+            *(F.sum(c).alias(c) for c in (*kilos, pieces)))
+        return per_order.withColumns({
+            # counted are values that are there
+            "order_": F.struct("order_code"), "machine_": F.struct("machine_code"),
+            "named": F.when(F.col("machine_code") != MISSING, F.col("machine_code"))})
+
+    def totals(per_order: DataFrame, codes: dict[str, str], kilos: tuple[str, ...], pieces: str) -> DataFrame:
+        return counted(per_order, [], codes, [*kilos, pieces]).withColumns(
+            {c: round_to(or_zero(c), 2) for c in kilos} | {pieces: or_zero(pieces)})
+
+    needed, used = ("needed_kg", "planned_kg", "used_kg"), ("total_kg", "good_kg", "scrap_kg")
+    future = totals(sums(planned, needed, "remaining_pieces"),
+                    {"order_": "open_orders", "named": "open_machines"}, needed, "remaining_pieces")
+    past = totals(sums(by_order, used, "pieces"), {"order_": "orders", "machine_": "machines"}, used, "pieces")
+    columns = [*needed, "remaining_pieces", "open_orders", "open_machines",
+               *used, "pieces", "orders", "machines"]
     return (
         future.unionByName(past, allowMissingColumns=True)
         .agg(*(F.max(c).alias(c) for c in columns))

@@ -1,0 +1,44 @@
+"""Several distinct counts without Expand, and reports that use them."""
+
+import random
+
+import pytest
+from conftest import SMALL, rows
+from pyspark.sql import functions as F
+
+from checks import registry
+from presswork.plans.distinct import counted
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("keys", [[], ["k"], ["k", "j"]])
+def test_counts_and_sums(spark, keys):
+    rng = random.Random(len(keys))
+    # "hot" holds a third of the rows; codes are missing or repeat between groups
+    data = [(rng.choice(["hot", "hot", "a", "b", None]), rng.choice([1, 2]),
+             rng.choice([None, *"xyz"]), rng.choice([None, *range(40)]), rng.choice([None, 1, 2, 30]))
+            for _ in range(900)]
+    df = spark.createDataFrame(data, "k string, j int, a string, b int, v long")
+    sums = df.groupBy("k", "j", "a", "b").agg(F.sum("v").alias("v"))
+    found = counted(sums, keys, {"a": "as", "b": "bs"}, ["v"])
+    want = df.groupBy(*keys).agg(F.sum("v"), F.count_distinct("a"), F.count_distinct("b"))
+    assert sorted(rows(found), key=str) == sorted(rows(want), key=str)
+    assert "Expand" not in plan_of(found) and "Expand" in plan_of(want)
+    empty = rows(counted(sums.limit(0), keys, {"a": "as", "b": "bs"}, ["v"]))
+    assert empty == ([] if keys else [(None, 0, 0)])
+
+
+@pytest.mark.parametrize("name", ["material_summary", "material_totals", "material_daily_trend"])
+def test_materials_are_counted_without_expand(spark, name):
+    assert "Expand" not in plan_of(registry.queries()[name](spark, SMALL))
+
+
+def test_all_counts_start_from_one_shuffle(spark):
+    df = spark.range(1000).selectExpr("id % 7 AS a", "id % 11 AS b", "id AS v")
+    found = counted(df.groupBy("a", "b").agg(F.sum("v").alias("v")), [], {"a": "as", "b": "bs"}, ["v"])
+    assert rows(found) == [(499_500, 7, 11)]
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") == 1 and final.count("Range (0, 1000") == 1
