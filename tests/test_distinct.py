@@ -39,6 +39,6 @@ def test_materials_are_counted_without_expand(spark, name):
 def test_all_counts_start_from_one_shuffle(spark):
     df = spark.range(1000).selectExpr("id % 7 AS a", "id % 11 AS b", "id AS v")
     found = counted(df.groupBy("a", "b").agg(F.sum("v").alias("v")), [], {"a": "as", "b": "bs"}, ["v"])
-    assert rows(found) == [(499_500, 7, 11)]
+    assert [tuple(r) for r in found.collect()] == [(499_500, 7, 11)]
     final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert final.count("ReusedExchange") == 1 and final.count("Range (0, 1000") == 1
