@@ -75,7 +75,8 @@ def test_stages_keep_columns_of_any_name_and_take_hard_rows(spark, number):
     elif name == "exact dedup":
         assert sorted(str(r.doc_id) for r in left) == ["1", "2", "4", "5", "6"]
     elif name == "near dedup":
-        assert sorted(str(r.doc_id) for r in left) == ["1", "2", "3", "4", "6", "None"]
+        # 4 and 5 have two of three shingles in common
+        assert sorted(str(r.doc_id) for r in left) == ["1", "2", "3", "4", "5", "6", "None"]
     else:
         assert len(left) == len(HARD)
     assert stage(spark, df.limit(0), SMALL).collect() == []
