@@ -139,6 +139,15 @@ def per_process(name: str, make: Callable, kept: int = 2):
     return states[name]
 
 
+def forget() -> None:
+    """Drops what earlier operators keep in this Python worker, for one that keeps nothing."""
+    import sys
+
+    held = sys.modules.get("_presswork_held")
+    if held is not None:
+        held.__dict__.get("states", {}).clear()
+
+
 #: The bytes that separate words: [\x20\x09-\x0D], also what ``bytes.split`` takes for white space.
 WHITE = b" \t\n\v\f\r"
 

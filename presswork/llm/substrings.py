@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import recompression
-from .shared import WHITE, boxed, discard, plain, stored, text_uid, word_blocks
+from .shared import WHITE, boxed, discard, forget, plain, stored, text_uid, word_blocks
 
 WINDOW = 13
 #: Bytes of text that are parsed at once.
@@ -115,14 +115,17 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     in any share of the documents.
     """
     def spans(batches):
+        forget()
         for batch in batches:
             yield from _spans(batch, window)
 
     def anchors(batches):
+        forget()
         for batch in batches:
             yield from _anchors(batch, window)
 
     def hashed(batches):
+        forget()
         for batch in batches:
             columns = {name: [] for name in ("doc_id", "uid", "pending", "word", "alike", "alike2")}
             for row in batch.to_pylist():

@@ -43,3 +43,5 @@ def test_a_worker_keeps_the_states_it_used_last():
 
     assert [use(n) for n in "aabacab"] == list("aabacab")
     assert made == ["a", "b", "c", "b"]
+    shared.forget()
+    assert use("b") == "b" and made[4:] == ["b"]
