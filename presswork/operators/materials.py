@@ -149,6 +149,17 @@ def planned_material_need(
     )
 
 
+def _runs(results: DataFrame, spec: FilterSpec) -> DataFrame:
+    """The runs of orders and products, each with the columns of :func:`consumption_base` but the day."""
+    return spec.apply(
+        results.where(not_blank("order_code") & not_blank("product_code")),
+        days="shift_start", shift="shift", workshop="workshop", machines="machine_code",
+    ).select("order_code", "machine_code", "machine_name", "product_code", "product_name", "bom_revision",
+             *(or_zero(f"qty_{kind}").alias(f"qty_{kind}") for kind in ("made", "good", "scrap")),
+             F.lit(1).alias("_runs"),
+             F.col("shift_start").alias("first_start"), F.col("shift_end").alias("last_end"))
+
+
 def consumption_base(results: DataFrame, spec: FilterSpec = EVERYTHING) -> DataFrame:
     """Pieces per day, order, machine and product revision: what the consumption reports start from.
 
@@ -194,6 +205,9 @@ def material_use_by_order(
 
     Rows are summed before the material texts are joined, and not regrouped
     after it: the join on a frequent material can then be split at run time.
+    Runs of one order, machine and product are few. So they meet the bill of
+    materials as they are, and are dealt to the tasks that sum them as pieces and
+    doses: sums of kilos in advance are no fewer rows, and wider ones.
     ``base`` is :func:`consumption_base` of the same results and filter, if it
     is at hand.
     """
@@ -207,26 +221,25 @@ def material_use_by_order(
         "_doses": dose * F.col("_runs"), "_dosed": F.when(dose.isNotNull(), F.col("_runs")).otherwise(0),
     }
     use = (
-        _used(consumption_base(results, spec) if base is None else base, bom, spec)
+        _used(_runs(results, spec) if base is None else base, bom, spec)
+        .repartition(*groups)
         .groupBy(*groups)
         .agg(*(F.sum(c).alias(name) for name, c in sums.items()),
              F.min("first_start").alias("first_start"), F.max("last_end").alias("last_end"))
         .where(F.col("pieces") > 0)
         .join(_texts(consumables), "material_code")
         .withColumns({name: F.col(name) * F.col("_times") for name in sums})
-        .withColumn("total_kg", round_to(F.col("total_kg"), 2))
-        .select(*groups, "material_name", "unit", *sums, "first_start", "last_end")
+        .withColumns({name: round_to(F.col(name), 2) for name in ("total_kg", "good_kg", "scrap_kg")})
+        .withColumn("dose", round_to(F.when(F.col("_dosed") > 0, F.col("_doses") / F.col("_dosed")), 4))
+        .select(*groups, "material_name", "unit", "dose", "pieces", "good_pieces", "scrap_pieces",
+                "total_kg", "good_kg", "scrap_kg", "first_start", "last_end")
     )
-    mean_dose = F.when(F.col("_dosed") > 0, F.col("_doses") / F.col("_dosed"))
     return ranked(use, F.desc("total_kg"), limit=limit, ordered=ordered).select(
         "order_code", "machine_code",
         label_or_code("machine_name", "machine_code").alias("machine_name"),
         "product_code", label_or_code("product_name", "product_code").alias("product_name"),
         "material_code", label_or_code("material_name", "material_code").alias("material_name"),
-        _unit(), round_to(mean_dose, 4).alias("dose"),
-        "pieces", "good_pieces", "scrap_pieces", "total_kg",
-        round_to(F.col("good_kg"), 2).alias("good_kg"),
-        round_to(F.col("scrap_kg"), 2).alias("scrap_kg"),
+        _unit(), "dose", "pieces", "good_pieces", "scrap_pieces", "total_kg", "good_kg", "scrap_kg",
         "first_start", "last_end",
     )
 

@@ -515,3 +515,15 @@ def test_shares_add_up_and_counts_agree(spark):
     assert sum(column("mold_change_kpi", "changes")) == changes
     assert sum(column("mold_change_trend", "changes")) == changes
     assert column("mold_change_kpi_summary", "changes") == [changes]
+
+
+def test_runs_are_shuffled_narrow_and_once_per_join(stored):
+    """Use by order sums no runs before the bill of materials, and ships pieces and doses, not kilos."""
+    plan = ops.material_use_by_order(
+        stored.production_results, stored.bom, stored.consumables, limit=None,
+    )._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan.split("RepartitionByExpression")
+    assert len(dealt) == 2
+    above, below = dealt
+    assert "total_kg" in above and "_kg" not in below and "_doses" not in below
+    assert "sum(qty_made" not in below
