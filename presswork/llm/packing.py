@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import per_process, plain, stored
+from .shared import forget, give_back, per_process, plain, stored
 
 CAPACITY = 2048
 GROUP_ROWS = 4096
@@ -140,7 +140,9 @@ def token_ids(text: Column, tokenizer_path: str, end_id: int = 1) -> Column:
 
         words = per_process(f"words {tokenizer_path}", load)
         last = end_id.to_bytes(4, "little")
-        return pa.array([ids + last for ids in words.of(texts.to_pylist())], pa.binary())
+        found = pa.array([ids + last for ids in words.of(texts.to_pylist())], pa.binary())
+        give_back()
+        return found
 
     return encode(plain(text))
 
@@ -216,6 +218,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
                            T.StructField("offset", T.LongType())])
 
     def fit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        forget()
         table = table.select(range(1, table.num_columns))  # without the group, the first column
         bins, offsets = first_fit_decreasing(table["length"].to_pylist(), capacity)
         first = key[0].as_py() << 32

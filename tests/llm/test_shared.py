@@ -1,4 +1,6 @@
 import os
+import pathlib
+import re
 from types import SimpleNamespace
 
 import pytest
@@ -45,3 +47,15 @@ def test_a_worker_keeps_the_states_it_used_last():
     assert made == ["a", "b", "c", "b"]
     shared.forget()
     assert use("b") == "b" and made[4:] == ["b"]
+
+
+def test_forgotten_memory_goes_back_to_the_system():
+    def resident():
+        return int(re.search(r"VmRSS:\s+(\d+)", pathlib.Path("/proc/self/status").read_text())[1])
+
+    before = resident()
+    shared.per_process("many bytes", lambda: [bytes(1000) for _ in range(200_000)])
+    kept = [bytes(900) for _ in range(10)]  # noqa: F841 lies above what is freed
+    assert resident() - before > 150_000
+    shared.forget()
+    assert resident() - before < 50_000
