@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: The temporary folders of sessions on this machine.
 _LOCAL: dict[str, str] = {}
 
+#: What the innermost :func:`lasting` that runs will delete; none outside of one.
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
 
 def scratch(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
@@ -47,6 +51,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh(spark, name)
+    if (passing := _PASSING.get()) is not None:
+        passing.append(path)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -56,13 +62,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lasting(name: str, make: Callable[[], DataFrame | None]) -> DataFrame | None:
+    """What ``make`` returns, stored; what :func:`stored` wrote inside of it goes then.
+
+    Nothing else may read the steps inside later on. None stays None.
+    """
+    outer = _PASSING.set(steps := [])
+    try:
+        made = make()
+    finally:
+        _PASSING.reset(outer)
+    if made is None:
+        return None
+    kept = stored(made, name)
+    _delete(made.sparkSession, steps)
+    return kept
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what :func:`stored` wrote for ``df``, once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {file.rpartition("/")[0] for file in df.inputFiles()}:
-        if "/presswork/" in path:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    folders = {file.rpartition("/")[0] for file in df.inputFiles()}
+    _delete(df.sparkSession, [path for path in folders if "/presswork/" in path])
+
+
+def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def small_batches(spark: SparkSession, megabytes: int = 8) -> None:

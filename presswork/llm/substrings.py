@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import recompression
-from .shared import WHITE, boxed, discard, forget, plain, stored, text_uid, word_blocks
+from .shared import WHITE, boxed, discard, forget, lasting, plain, stored, text_uid, word_blocks
 
 WINDOW = 13
 #: Bytes of text that are parsed at once.
@@ -167,6 +167,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         named.mapInArrow(
             spans, "doc_id long, uid long, anchor long, alike long, alike2 long, span long")
         .join(shared, "anchor"), "shared-runs")
+    discard(shared)
     again = stored(runs.groupBy("alike", "alike2")
                    .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("most"))
                    .where("first < most").drop("most"), "equal-runs")
@@ -223,7 +224,7 @@ def kept_words(data: bytes, windows: list[int] | None, window: int = WINDOW) ->
 
 def _split(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """``row`` (all columns of a document) and ``split``: n_words, n_removed, kept."""
-    found = stored(repeated_windows(docs, id_col, text_col, window), "repeats")
+    found = lasting("repeats", lambda: repeated_windows(docs, id_col, text_col, window))
 
     @F.arrow_udf("n_words long, n_removed long, kept binary")
     def split(texts: pa.Array, windows: pa.Array) -> pa.Array:

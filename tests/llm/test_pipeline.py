@@ -7,6 +7,7 @@ import corpus_pipeline
 from presswork.llm import queries, toxicity
 
 from .test_packing import check
+from .test_shared import written
 from .test_similar import plain_kept
 from .test_substrings import plain_repeats
 
@@ -119,3 +120,18 @@ def test_sequences_hold_the_ids_of_the_texts(steps):
         found[r.doc_id] = found.get(r.doc_id, b"") + r.ids
     assert {d: np.frombuffer(ids, "<u4").tolist() for d, ids in found.items()} == {
         r.doc_id: tokenizer.encode(r.text, add_special_tokens=False).ids + [1] for r in steps[4].collect()}
+
+
+@pytest.mark.parametrize("number", [2, 3])
+def test_dedup_leaves_only_what_its_result_reads(spark, documents, number):
+    """What a stage wrote on its way is no load on the disk of the next one."""
+    before = written(spark)
+    left = corpus_pipeline.STAGES[number][1](spark, documents, SMALL)
+    rows = left.count()
+    held = {path for file in left.inputFiles() for path in written(spark) if path.name in file}
+    size = sum(f.stat().st_size for p in written(spark) - before for f in p.rglob("*.parquet"))
+    read = sum(f.stat().st_size for p in held for f in p.rglob("*.parquet"))
+    names = {p.name.rpartition("-")[0] for p in written(spark) - before}
+    assert not names & {"all-prints", "shingles", "meeting-texts", "candidate-texts", "settled-runs",
+                        "open-windows", "shared-anchors", "links"}, names
+    assert 0 < read <= size < 200 * documents.count() and rows

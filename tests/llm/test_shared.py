@@ -59,3 +59,26 @@ def test_forgotten_memory_goes_back_to_the_system():
     assert resident() - before > 150_000
     shared.forget()
     assert resident() - before < 50_000
+
+
+def written(spark):
+    """The steps that lie in the shared folder now."""
+    return set(pathlib.Path(shared.scratch(spark)).glob("presswork/*"))
+
+
+def test_steps_inside_go_when_the_result_is_stored(spark):
+    before = written(spark)
+    outside = shared.stored(spark.range(4), "outside")
+
+    def inner():
+        return shared.stored(spark.range(3), "step").union(outside)
+
+    def outer():
+        return shared.lasting("inner", inner).union(shared.stored(spark.range(1), "step"))
+
+    df = shared.lasting("result", outer)
+    assert df.count() == 8 and outside.count() == 4
+    assert sorted(p.name.rpartition("-")[0] for p in written(spark) - before) == ["outside", "result"]
+    assert shared.lasting("none", lambda: shared.discard(shared.stored(spark.range(1), "step"))) is None
+    shared.stored(spark.range(2), "later")
+    assert len(written(spark) - before) == 3
