@@ -5,6 +5,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,7 @@ LONGEST = 48
 
 
 #: A full stop or comma after something else than a letter or digit of Latin-1 in lower case.
-_MIXED_SIGNS = re.compile(r"(?<![0-9a-zß-öø-ÿ])[.,]")
+_MIXED_SIGNS = re.compile(r"[.,](?<![0-9a-zß-öø-ÿ][.,])")
 
 
 class WordIds(dict):
@@ -44,19 +45,20 @@ class WordIds(dict):
         self.ends[sorted(ends)] = True
 
     @staticmethod
-    def words(text: str) -> list[str]:
+    def spaced(text: str) -> str:
+        """The text with one space between any two words."""
         for white in "\n\t\r":
             text = text.replace(white, " ")
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return text.split(" ")
+            return text
         if "<|" in text:
-            return text.split(" ")
+            return text
         text = text.lower()
         if not _MIXED_SIGNS.search(text):
             text = text.replace(".", " .").replace(",", " ,")
-        return text.split(" ")
+        return text
 
     def learn(self, words: list[str]) -> None:
         """Encodes words that are new; those of letters only, many at a time."""
@@ -78,26 +80,38 @@ class WordIds(dict):
                 self[word] = data[at:to]
                 at = to
 
-    def of_words(self, lists: list[list[str]]) -> list[bytes]:
-        """The ids of each list of words."""
-        wanted = set().union(*lists)
-        long_ = [w for w in wanted if len(w) > LONGEST]
-        wanted.difference_update(long_)
-        unseen = [w for w in wanted if w not in self]
+    def of_different(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; no word comes twice."""
+        long_ = [w for w in words if len(w) > LONGEST]
+        short = [w for w in words if len(w) <= LONGEST] if long_ else words
+        unseen = [w for w in short if w not in self]
         if len(self) + len(unseen) > REMEMBERED:
             self.older = dict(self)
             self.clear()
-            unseen = wanted
+            unseen = short
         again = {w: self.older[w] for w in unseen if w in self.older}
         self.update(again)
         self.learn([w for w in unseen if w not in again])
         if not long_:
-            return [b"".join(map(self.__getitem__, words)) for words in lists]
+            return [*map(self.__getitem__, words)]
         got = self.tokenizer.encode_batch_fast(long_, add_special_tokens=False)
         once = {w: np.array(g.ids, dtype="<u4").tobytes() for w, g in zip(long_, got)}
-        return [b"".join([once[w] if w in once else self[w] for w in words]) for words in lists]
-
-    def of(self, texts: Iterable[str], block: int = 1 << 18) -> Iterator[bytes]:
+        return [once[w] if w in once else self[w] for w in words]
+
+    def of_spaced(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; its words are split, looked up once and put together by Arrow."""
+        words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        different = words.flatten().dictionary_encode()
+        ids = pa.array(self.of_different(different.dictionary.to_numpy(zero_copy_only=False).tolist()),
+                       pa.large_binary())
+        joined = ids.take(different.indices)
+        _, ends, data = joined.buffers()
+        at = np.frombuffer(ends, np.int64)[np.asarray(words.offsets)].tolist()
+        data = memoryview(data or b"")
+        for begin, end in zip(at, at[1:]):
+            yield bytes(data[begin:end])
+
+    def of(self, texts: Iterable[str], block: int = 1 << 21) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers.
 
         Short texts are looked up together, long ones in blocks of words.
@@ -105,7 +119,7 @@ class WordIds(dict):
         held, size = [], 0
         for text in texts:
             if size + len(text) > block:
-                yield from self.of_words(held)
+                yield from self.of_spaced(held)
                 held, size = [], 0
             if len(text) > block:
                 parts, at = [], 0
@@ -113,13 +127,13 @@ class WordIds(dict):
                     to = at + block
                     while to < len(text) and text[to] != " ":
                         to += 1
-                    parts += self.of_words([self.words(text[at:to])])
+                    parts += self.of_spaced([self.spaced(text[at:to])])
                     at = to
                 yield b"".join(parts)
                 continue
-            held.append(self.words(text))
+            held.append(self.spaced(text))
             size += len(text)
-        yield from self.of_words(held)
+        yield from self.of_spaced(held)
 
 
 def token_ids(text: Column, tokenizer_path: str, end_id: int = 1) -> Column:

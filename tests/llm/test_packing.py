@@ -55,6 +55,19 @@ def test_long_words_are_not_remembered():
     assert list(words.of([texts[0] + " a", "b"])) == [packed(i[:-1]) for i in brute([texts[0] + " a", "b"])]
 
 
+def test_words_are_looked_up_once_in_a_batch(monkeypatch):
+    """Frequent words cost a look-up per batch, not one each time; long texts go in blocks."""
+    words, asked = packing.WordIds(library()), []
+    look_up = words.of_different
+    monkeypatch.setattr(words, "of_different", lambda some: asked.append(len(some)) or look_up(some))
+    texts = ["the of and, to. in " * 500, "of\tthe\nzebra", "", "the"] * 20
+    want = [packed(i[:-1]) for i in brute(texts)]
+    assert list(words.of(texts)) == want
+    assert asked == [9]  # the empty word, a full stop and a comma are among them
+    assert list(words.of([" ".join(texts)], 5000)) == [b"".join(want)]
+    assert list(words.of([])) == [] and list(words.of(["", ""])) == [b"", b""]
+
+
 def test_first_fit_decreasing_against_a_plain_search():
     rng = random.Random(3)
     for _ in range(50):
