@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from presswork.llm import queries, search
 
@@ -85,3 +86,61 @@ def test_query_against_all_pairs(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
     got = sorted(tuple(r) for r in queries.QUERIES["op3_top_k"](spark, folder).collect())
     assert got == plain(rows)
+
+
+def test_queries_walk_a_tree_together(monkeypatch):
+    """A node is opened once for all queries of a block, also where no box can be left out."""
+    rng = np.random.default_rng(2)
+    points, asked = rng.integers(-150, 150, (3000, 32)), rng.integers(-150, 150, (200, 32))
+    tree = search.build_tree(np.arange(3000), points, 16)
+    visited = []
+    pop = search.heapq.heappop
+    monkeypatch.setattr(search.heapq, "heappop", lambda h: visited.append(1) or pop(h))
+    got = search.search_tree(tree, np.arange(200), asked, np.full(200, search.LEAST))
+    scores = asked @ points.T
+    assert got == [sorted(((int(s), i) for i, s in enumerate(row) if i != q), key=lambda x: (-x[0], x[1]))[:5]
+                   for q, row in enumerate(scores)]
+    assert len(visited) <= len(tree["left"])
+
+
+@pytest.mark.parametrize("size, kind", [(3, np.int8), (150, np.int16), (30_000, np.int16), (1 << 29, np.int32),
+                                        (1 << 32, np.int64)])
+def test_trees_one_after_the_other(size, kind):
+    """Floors rise from tree to tree, and numbers of any size are summed exactly."""
+    rng = np.random.default_rng(3)
+    points, ids = rng.integers(-size, size, (600, 8)), rng.permutation(600)
+    points[:, 0] = np.where(points[:, 0] > 0, size - 1, -size)
+    trees = [search.build_tree(ids[a::3], points[a::3], 16) for a in range(3)]
+    trees = [t | {c: search._narrow(t[c]) for c in ("points", "low", "high")} for t in trees]
+    assert trees[0]["points"].dtype == kind
+    asked, names = points[:60], ids[:60]
+    (query, scores, found), need = search.search_trees(
+        trees, names, search._narrow(asked), np.full(60, search.LEAST))
+    sums = lambda v, w: sum(int(a) * int(b) for a, b in zip(v, w))
+    want = [sorted(((max(search.LEAST, min(search.LARGEST, sums(v, w))), int(j)) for w, j in zip(points, ids) if j != i),
+                   key=lambda x: (-x[0], x[1]))[:5] for v, i in zip(asked, names)]
+    assert [(int(s), int(i)) for s, i in zip(scores, found)] == [pair for row in want for pair in row]
+    assert need.tolist() == [row[-1][0] for row in want] and query.tolist() == [q for q in range(60) for _ in range(5)]
+
+
+def test_equal_scores_of_one_id_leave_room_for_others(spark):
+    rows = [(0, [1.0, 0.0])] + [(7, [1.0, float(k)]) for k in range(9)] + [(k, [0.5, float(k)]) for k in range(1, 6)]
+    assert run(spark, rows) == plain(rows) and len(plain(rows)) == 5
+
+
+def test_trees_are_sent_once(spark, monkeypatch):
+    """What goes to the tasks that search is each tree once and each block once a task, in small numbers."""
+    sent = []
+    real = type(spark.range(0)).repartitionById
+
+    def dealt(df, parts, by):
+        sent.append((parts, df.groupBy("asks").agg(F.count("*"), F.max(F.length("data"))).collect()))
+        return real(df, parts, by)
+
+    monkeypatch.setattr(type(spark.range(0)), "repartitionById", dealt)
+    rows = vectors(random.Random(6), 600, 16, 0.0)
+    assert run(spark, rows, shard_rows=10, block_rows=20) == plain(rows)
+    (parts, counts), = sent
+    counts = {asks: (n, size) for asks, n, size in counts}
+    assert parts < counts[False][0] <= 60 and counts[True][0] <= parts * 3
+    assert counts[True][1] < 20 * 16 * 8
