@@ -93,7 +93,9 @@ def planned_material_need(
 
     With a limit only lines that can reach the result meet the bill of materials.
     Product and status texts are looked up for the rows shown only, and of the
-    products only those that these rows name are read for it.
+    products only those that these rows name are read for it. Without a limit
+    product texts join the bill of materials, which has far fewer rows than
+    the lines that meet it.
     """
     orders = spec.apply(
         headers.where(F.col("status_code").isin(*OPEN_STATES) & not_blank("order_code")),
@@ -112,6 +114,8 @@ def planned_material_need(
 
     if limit is not None:
         items = _within_reach(items, orders, doses, consumables, limit)
+    else:
+        doses = doses.join(products.select("product_code", "product_name"), "product_code", "left")
 
     keys = ["order_code", "product_code", "material_code"]
     needs = (
@@ -121,16 +125,16 @@ def planned_material_need(
         .select(
             *keys, "planned_pieces", "good_pieces", "scrap_pieces", "remaining_pieces", "_dose",
             "machine_code", "machine_name", "mold_code", "status_code", "material_name", "unit",
-            _needed("_dose").alias("needed_kg"),
+            _needed("_dose").alias("needed_kg"), *["product_name"] * (limit is None),
         )
     )
-    columns = needs.columns
+    columns = [c for c in needs.columns if c != "product_name"]
     if limit is not None:
         needs = ranked(needs, F.desc("needed_kg"), limit=limit)
         products = named_by(products, needs, "product_code")
+        needs = needs.join(products.select("product_code", "product_name"), "product_code", "left")
     named = (
-        needs.join(products.select("product_code", "product_name"), "product_code", "left")
-        .join(status.select("status_code", "status_label"), "status_code", "left")
+        needs.join(status.select("status_code", "status_label"), "status_code", "left")
         .select(*columns, "product_name", "status_label")
     )
     return ranked(named, F.desc("needed_kg"), limit=limit, ordered=ordered).select(
@@ -188,6 +192,12 @@ def _used(base: DataFrame, bom: DataFrame, spec: FilterSpec) -> DataFrame:
     return base.join(spec.apply(bom, material="material_code"), _BOM_KEY)
 
 
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` dealt to tasks by these columns, to two where a session has one: a single one counts as sorted."""
+    alone = rows.sparkSession.conf.get("spark.sql.shuffle.partitions") == "1"
+    return rows.repartition(2, *by) if alone else rows.repartition(*by)
+
+
 def _spent_pieces() -> Column:
     """Pieces that consumed new material: scrap of a recyclable material does not."""
     return F.when(F.col("recyclable") == 0, F.col("qty_made")).otherwise(F.col("qty_good"))
@@ -207,7 +217,8 @@ def material_use_by_order(
     after it: the join on a frequent material can then be split at run time.
     Runs of one order, machine and product are few. So they meet the bill of
     materials as they are, and are dealt to the tasks that sum them as pieces and
-    doses: sums of kilos in advance are no fewer rows, and wider ones.
+    doses: sums of kilos in advance are no fewer rows, and wider ones. They are
+    dealt by order and machine alone, so that sums of these need no shuffle.
     ``base`` is :func:`consumption_base` of the same results and filter, if it
     is at hand.
     """
@@ -221,8 +232,7 @@ def material_use_by_order(
         "_doses": dose * F.col("_runs"), "_dosed": F.when(dose.isNotNull(), F.col("_runs")).otherwise(0),
     }
     use = (
-        _used(_runs(results, spec) if base is None else base, bom, spec)
-        .repartition(*groups)
+        _dealt(_used(_runs(results, spec) if base is None else base, bom, spec), "order_code", "machine_code")
         .groupBy(*groups)
         .agg(*(F.sum(c).alias(name) for name, c in sums.items()),
              F.min("first_start").alias("first_start"), F.max("last_end").alias("last_end"))

@@ -527,3 +527,39 @@ def test_runs_are_shuffled_narrow_and_once_per_join(stored):
     above, below = dealt
     assert "total_kg" in above and "_kg" not in below and "_doses" not in below
     assert "sum(qty_made" not in below
+
+
+def test_sums_per_order_and_machine_start_from_the_dealt_runs(stored):
+    """What totals sum of the use by order is shuffled no second time."""
+    use = ops.material_use_by_order(
+        stored.production_results, stored.bom, stored.consumables, limit=None, ordered=False)
+    sums = use.groupBy("order_code", "machine_code").agg(F.sum("total_kg"), F.sum("pieces"))
+    shuffles = [df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+                for df in (use, sums)]
+    assert shuffles[0] == shuffles[1]
+
+
+def test_product_texts_meet_the_bill_of_materials_only(stored):
+    """Without a limit no line of an order is shuffled for the text of its product."""
+    plan = ops.planned_material_need(
+        stored.order_headers, stored.order_lines, stored.products, stored.bom, stored.consumables,
+        stored.order_status, limit=None, ordered=False)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join LeftOuter, (product_code")
+    assert "product_name" in below and "qty_planned" in above and "qty_planned" not in below
+
+
+def test_repeated_and_missing_product_texts(table):
+    """A product with two texts has each row twice, one without texts once, with a limit or not."""
+    headers = table("order_headers", {"order_code": "O", "machine_code": "M", "status_code": "L"})
+    lines = table("order_lines", *({"order_code": "O", "product_code": p, "bom_revision": 0, "qty_planned": 9}
+                                   for p in "ABC"))
+    products = table("products", {"product_code": "A", "product_name": "x"}, {"product_code": "A", "product_name": "y"},
+                     {"product_code": "B"})
+    bom = table("bom", *({"product_code": p, "bom_revision": 0, "material_code": m, "qty_per_piece": d}
+                         for p, m, d in (("A", "m", 1.0), ("A", "n", 2.0), ("B", "m", 3.0), ("C", "n", 4.0))))
+    rest = (bom, table("consumables", {"material_code": "m"}, {"material_code": "n"}), table("order_status"))
+    found = [rows(ops.planned_material_need(headers, lines, products, *rest, limit=limit),
+                  "product_code", "product_name", "material_code", "needed_kg") for limit in (None, 50)]
+    assert found[0] == found[1] == [
+        ("C", "C", "n", 36.0), ("B", "B", "m", 27.0), ("A", "x", "n", 18.0), ("A", "y", "n", 18.0),
+        ("A", "x", "m", 9.0), ("A", "y", "m", 9.0)]
